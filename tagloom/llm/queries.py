@@ -5,14 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import gam, quality_rules, secrets, sharding
+from tagloom.llm import bpe, decontaminate, gam, quality_rules, secrets, sharding
 from tagloom.llm.common import held_out, table
 
 
+VOCABULARY = "byte_bpe_50k.json"
+
+
+def vocabulary_path(name: str = VOCABULARY) -> str:
+    """Where the driver finds a vocabulary file of the installed package of public tokenizers."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    items = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(items.cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "spans")
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.encode(spark, docs, vocabulary_path(), decoded=True, digests=True).drop("text")
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = gam.score(docs, gam.fit(docs, table(spark, sf_dir, "labels")))
@@ -32,5 +53,5 @@ def op9_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op7_quality_classifier, op8_quality_rules, op9_histogram_shards)}
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_secret_scan, op3_bpe_round_trip, op7_quality_classifier, op8_quality_rules, op9_histogram_shards)}
 ORACLE_SQL: dict[str, str] = {}
