@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import bpe, decontaminate, gam, quality_rules, secrets, sharding
+from tagloom.llm import bpe, decontaminate, gam, quality_rules, secrets, sharding, warc
 from tagloom.llm.common import held_out, table
 
 
@@ -34,6 +34,10 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(spark, docs, vocabulary_path(), decoded=True, digests=True).drop("text")
 
 
+def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = gam.score(docs, gam.fit(docs, table(spark, sf_dir, "labels")))
@@ -53,5 +57,5 @@ def op9_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_secret_scan, op3_bpe_round_trip, op7_quality_classifier, op8_quality_rules, op9_histogram_shards)}
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_secret_scan, op3_bpe_round_trip, op5_warc_round_trip, op7_quality_classifier, op8_quality_rules, op9_histogram_shards)}
 ORACLE_SQL: dict[str, str] = {}
