@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import bpe, decontaminate, gam, quality_rules, secrets, sharding, warc
+from tagloom.llm import bpe, decontaminate, gam, html_text, quality_rules, secrets, sharding, warc
 from tagloom.llm.common import held_out, table
 
 
@@ -57,5 +57,9 @@ def op9_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_secret_scan, op3_bpe_round_trip, op5_warc_round_trip, op7_quality_classifier, op8_quality_rules, op9_histogram_shards)}
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages")).select("page_id", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_secret_scan, op3_bpe_round_trip, op5_warc_round_trip, op7_quality_classifier, op8_quality_rules, op9_histogram_shards, op10_html_text)}
 ORACLE_SQL: dict[str, str] = {}
