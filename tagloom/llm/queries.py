@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import bpe, decontaminate, gam, html_text, quality_rules, secrets, sharding, warc
+from tagloom.llm import bpe, decontaminate, gam, html_text, jaccard, line_dedup, quality_rules, secrets, sharding, warc
 from tagloom.llm.common import held_out, table
 
 
@@ -34,10 +34,19 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(spark, docs, vocabulary_path(), decoded=True, digests=True).drop("text")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars_left"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
 def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = gam.score(docs, gam.fit(docs, table(spark, sf_dir, "labels")))
@@ -61,5 +70,5 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages")).select("page_id", "text", F.length("text").cast("long").alias("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_secret_scan, op3_bpe_round_trip, op5_warc_round_trip, op7_quality_classifier, op8_quality_rules, op9_histogram_shards, op10_html_text)}
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_secret_scan, op3_bpe_round_trip, op4_line_dedup, op5_warc_round_trip, op6_ngram_jaccard_join, op7_quality_classifier, op8_quality_rules, op9_histogram_shards, op10_html_text)}
 ORACLE_SQL: dict[str, str] = {}
