@@ -206,12 +206,54 @@ def _merged(spans: F.Column) -> F.Column:
     return F.aggregate(F.array_sort(spans), empty, step)
 
 
-def cut_text(text: F.Column, cuts: F.Column) -> F.Column:
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``docs`` with every removal span cut out of ``text``.
+
+    Each block of the benchmark is cut in turn, beside the row, so that no text is shuffled.
+    """
+    for windows in benchmark_blocks(benchmark, window):
+        docs = _clean_block(docs, windows)
+    return docs
+
+
+def _clean_block(docs: DataFrame, windows: Windows) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(windows)
+    at = docs.columns.index("text")
+
+    def each(batches):
+        shard, held = Shard(shared.value), []
+
+        def flush():
+            cuts = shard.results().column("cuts").to_pylist()
+            for part in held:
+                own, cuts = cuts[: part.num_rows], cuts[part.num_rows :]
+                texts = [cut_text(t, c) if c else t for t, c in zip(part.column(at).to_pylist(), own, strict=True)]
+                columns = list(part.columns)
+                columns[at] = pa.array(texts, pa.string())
+                yield pa.RecordBatch.from_arrays(columns, part.schema.names)
+            held.clear()
+
+        for batch in batches:
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
+                for text in part.column(at).cast(pa.binary()).to_pylist():
+                    shard.add(None, text or b"")
+                held.append(part)
+                if shard.full() or sum(p.nbytes for p in held) > SHARD_BYTES:
+                    yield from flush()
+        if held:
+            yield from flush()
+
+    return docs.mapInArrow(each, docs.schema)
+
+
+def cut_text(text: str, cuts: list[dict[str, int]]) -> str:
     """``text`` without its cuts (in code points)."""
-    start = F.lit(0).cast("long")
-    state = F.struct(F.lit("").alias("kept"), start.alias("at"))
-    step = lambda s, c: F.struct(F.concat(s["kept"], F.substring(text, (s["at"] + 1).cast("int"), (c["start"] - s["at"]).cast("int"))).alias("kept"), c["end"].alias("at"))
-    return F.aggregate(cuts, state, step, lambda s: F.concat(s["kept"], F.substring(text, (s["at"] + 1).cast("int"), F.length(text))))
+    out, at = [], 0
+    for c in cuts:
+        out.append(text[at : c["start"]])
+        at = c["end"]
+    return "".join([*out, text[at:]])
 
 
 def _row_key() -> F.Column:
