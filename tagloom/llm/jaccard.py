@@ -284,13 +284,17 @@ def check(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         for batch in batches:
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             keep = []
+
+            def members(cid: int, column: int, i: int) -> np.ndarray:
+                s = cache.get(cid)
+                if s is None:
+                    if len(cache) >= 200:
+                        del cache[next(iter(cache))]
+                    s = cache[cid] = shingle_sets([batch.column(column)[i].as_py()])[0]
+                return s
+
             for i in range(len(a)):
-                for cid, column in ((a[i], 2), (b[i], 3)):
-                    if cid not in cache:
-                        if len(cache) >= 200:
-                            del cache[next(iter(cache))]
-                        cache[cid] = shingle_sets([batch.column(column)[i].as_py()])[0]
-                x, y = cache[a[i]], cache.get(b[i])
+                x, y = members(a[i], 2, i), members(b[i], 3, i)
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * common >= SHARE * (len(x) + len(y) - common))
             mask = pa.array(keep, pa.bool_())
