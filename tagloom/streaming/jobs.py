@@ -48,7 +48,7 @@ def follow_stream(boxes: DataFrame, least: float = 0.3, max_skip: int = 5) -> Da
         live = {int(r[0]): (int(r[1]), *r[2:]) for r in np.array(last).reshape(-1, 6).tolist()}
         out = Follower(least, max_skip, live, begun)
         rows = pd.concat(list(parts)).sort_values(["frame_idx", "pos"])
-        track = [t for frame, part in rows.groupby("frame_idx", sort=True) for t in out.step(int(frame), part[BOX].to_numpy(float))]
+        track = out.run(rows.frame_idx.to_numpy(), rows[BOX].to_numpy(float))
         state.update((out.begun, [float(x) for t, v in out.live.items() for x in (t, *v)]))
         yield rows[["video", "pos"]].assign(track_id=track)
 
