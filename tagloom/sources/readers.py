@@ -23,9 +23,15 @@ def read_detections(spark: SparkSession, path: str, schema: str = DETECTIONS) ->
 
 
 def read_catalog(spark: SparkSession, path: str, sep: str = ";", encoding: str = "windows-1251", skip_bad: bool = False) -> DataFrame:
-    """A catalog of strings: name and barcode under whatever headers."""
-    raw = spark.read.csv(path, header=True, sep=sep, encoding=encoding, mode="DROPMALFORMED" if skip_bad else "PERMISSIVE")
-    return rename_headers(raw)
+    """A catalog of strings in an 8-bit encoding: name and barcode under whatever headers.
+
+    Spark reads bytes as Latin-1 characters, and these are exchanged for those of the encoding.
+    """
+    raw = spark.read.csv(path, header=True, sep=sep, encoding="iso-8859-1", mode="DROPMALFORMED" if skip_bad else "PERMISSIVE")
+    high = bytes(range(128, 256))
+    byte_chars, chars = high.decode("iso-8859-1"), "".join(bytes([b]).decode(encoding, "replace") for b in high)
+    names = [c.translate(str.maketrans(byte_chars, chars)) for c in raw.columns]
+    return rename_headers(raw.select(*[F.translate(F.col(f"`{c}`"), byte_chars, chars).alias(n) for c, n in zip(raw.columns, names, strict=True)]))
 
 
 def rename_headers(df: DataFrame) -> DataFrame:
