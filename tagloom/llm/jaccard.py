@@ -2,24 +2,29 @@ r"""N-gram Jaccard join: a blocked sparse product of the incidence of documents
 
 A document's set is its distinct 5-word shingles, as 64-bit hashes. Documents with equal sets form a
 class, and links are sought between classes. The product runs block by block, a block being the
-shingles that one hash partition holds, over rows that the size bound leaves:
-
-1. Prefix. A link means that the sets share at least 80 of 100 of the larger one. So, under any
-   common order of shingles, linked sets already share one among the first n - ceil(0.8 n) + 1.
-   Only these entries of the incidence matrix are dealt out. The order puts shingles that many
-   documents hold last (counted within bounded stretches of the corpus and summed; the count only
-   orders, so that being a lower bound costs time and no links).
-2. Product. Entries are dealt by shingle and sorted. For a shingle with few classes every pair within
-   the size bound (0.8) becomes a candidate with one overlap; for one with many, each class is paired
-   with the first class of the block only. Hot shingles are dealt over many blocks by class.
-3. Check. Candidates are checked on whole texts: intersection and union of the two sets.
-4. Hot shingles. Classes of hot blocks that are not yet in one component are paired with further
-   leaders (smallest in several hashed orders); what still is apart after that is paired in full,
-   size bound by size bound, so that no link is lost. Pairs already in one component need no check,
-   because the result is the components; copies are never expanded into all pairs.
-
-Nothing of a hot shingle meets in one task: blocks bound what is paired, leaders are found by
-aggregates, and full pairing goes through an equi-join that Spark may split.
+shingles that one hash partition holds, over rows that the size bounds leave. Linked sets of sizes
+n and m share at least 4 (n + m) / 9 members and differ in at most (n + m) / 9.
+
+1. Prefix. Under any common order of shingles, linked sets share one among the first
+   n - ceil(0.8 n) + 1 of each. Only these entries of the incidence matrix are dealt out, with their
+   place. The order puts shingles that many documents hold last (counted within bounded stretches of
+   the corpus and summed; the count only orders, so that being a lower bound costs time and no links).
+2. Product. Entries are dealt by shingle and sorted. For a shingle with few classes every pair whose
+   places leave room for the overlap becomes a candidate.
+3. Bound. Each class has a bitmap with the parity of its members' hashes. Two bitmaps differ in no
+   more bits than the sets do in members, so a pair whose bitmaps differ in more than (n + m) / 9
+   bits is discarded without a look at its texts. No link is lost by that.
+4. Check. What is left is checked on whole texts: intersection and union of the two sets.
+5. Hot shingles, with many classes. Sets that have a hot shingle in their prefix have all their cold
+   ones there, so a pair that shares a cold one is a candidate already, and any other differs in all
+   its cold ones: it needs a look only where these are few. Each class is first paired with leaders
+   of like size (those with the fewest cold shingles, by a hashed choice of its hot ones); what still
+   is in different components after that is paired in full within the bounds, so that no link is
+   lost. Pairs in one component need no check, because the result is the components; copies are never
+   expanded into all pairs.
+
+Nothing of a hot shingle meets in one task: its entries are dealt over many blocks, leaders are found
+by aggregates, and full pairing goes through an equi-join that Spark may split.
 
 Defined results: null, empty and blank texts have an empty set and link with nothing; a text of
 fewer than five words has one shingle, all its words; a document with a null doc_id gets no
@@ -46,6 +51,8 @@ LEAST_HOT = 16
 SMALL_RUN = 24
 BLOCK_CLASSES = 4_000
 LEADERS = 4
+WORDS = 4  # of 64 bits, in the small bitmap that goes with each entry of a hot shingle
+SIZE_STEP = 1.25  # sizes of linked sets are at most one step apart
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 MASK = (1 << 64) - 1
@@ -126,18 +133,42 @@ def needed(n: int) -> int:
     return -(-SHARE * n // 100)
 
 
-def prefix(s: np.ndarray, hot: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first members of a set that a linked set must meet, and which of them are hot."""
+def prefix(s: np.ndarray, hot: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """The first members of a set that a linked set must meet, which of them are hot, and how many of the set are cold."""
     size = len(s) - needed(len(s)) + 1
     at = np.minimum(np.searchsorted(hot, s), max(0, len(hot) - 1))
     is_hot = hot[at] == s if len(hot) else np.zeros(len(s), bool)
-    cold = s[~is_hot][:size]
+    cold = s[~is_hot]
     late = s[is_hot][np.argsort(order[at[is_hot]], kind="stable")][: size - len(cold)] if len(cold) < size else s[:0]
-    return np.concatenate([cold, late]), np.arange(size) >= len(cold)
+    return np.concatenate([cold[:size], late]), np.arange(size) >= len(cold), len(cold)
+
+
+def parity_bits(s: np.ndarray) -> bytes:
+    """A bitmap of about two bits for each member (a power of two): the parity of the members that fall on each bit."""
+    m = 1 << max(6, (2 * len(s) - 1).bit_length())
+    at = (mix(s) & np.uint64(m - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=m) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def parity_words(s: np.ndarray) -> list[int]:
+    """The same in a bitmap of one size for all sets, as integers."""
+    at = (mix(s) & np.uint64(64 * WORDS - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=64 * WORDS) & 1).astype(np.uint8), bitorder="little").view("<i8").tolist()
+
+
+def differing_bits(a: bytes, b: bytes) -> int:
+    """In how many bits two bitmaps differ, the longer folded to the shorter; never more than the sets do in members."""
+    x, y, n = int.from_bytes(a, "little"), int.from_bytes(b, "little"), 8 * max(len(a), len(b))
+    if len(a) < len(b):
+        x, y = y, x
+    while n > 8 * min(len(a), len(b)):
+        n //= 2
+        x = (x >> n) ^ (x & (1 << n) - 1)
+    return (x ^ y).bit_count()
 
 
 def describe(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Classes (doc_id, n, cid) of all documents, and counts of shingles (h, times) that recur within a stretch."""
+    """Classes (doc_id, n, cid, bits, words) of all documents, and counts of shingles (h, times) that recur within a stretch."""
 
     def each(batches):
         seen: set[int] = set()
@@ -148,16 +179,18 @@ def describe(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             h, times = np.unique(np.concatenate(held), return_counts=True)
             often = times >= 3
             k = int(often.sum())
-            return _rows([None] * k, [None] * k, h[often].view(np.int64), times[often])
+            return _rows([None] * k, [None] * k, h[often].view(np.int64), times[often], [None] * k, [None] * k)
 
         for batch in batches:
             texts = [t or b"" for t in batch.column(1).to_pylist()]
-            ns, cids = [], []
+            ns, cids, bits, words = [], [], [], []
             for a, b in _slices(texts):
                 for s in shingle_sets(texts[a:b]):
                     cid = class_of(s)
                     ns.append(len(s))
                     cids.append(cid)
+                    bits.append(parity_bits(s) if len(s) else None)
+                    words.append(parity_words(s) if len(s) else None)
                     if cid not in seen:
                         seen.add(cid)
                         held.append(s)
@@ -165,15 +198,15 @@ def describe(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 if size >= STRETCH:
                     yield frequent()
                     seen, held, size = set(), [], 0
-            yield _rows(batch.column(0), ns, cids, [0] * len(ns))
+            yield _rows(batch.column(0), ns, cids, [0] * len(ns), bits, words)
         if held:
             yield frequent()
 
-    def _rows(doc_id, n, h, times):
-        return pa.RecordBatch.from_arrays([pa.array(doc_id, pa.int64()), pa.array(n, pa.int64()), pa.array(h, pa.int64()), pa.array(times, pa.int64())], ["doc_id", "n", "h", "times"])
+    def _rows(doc_id, n, h, times, bits, words):
+        return pa.RecordBatch.from_arrays([pa.array(doc_id, pa.int64()), pa.array(n, pa.int64()), pa.array(h, pa.int64()), pa.array(times, pa.int64()), pa.array(bits, pa.binary()), pa.array(words, pa.list_(pa.int64()))], ["doc_id", "n", "h", "times", "bits", "words"])
 
-    both = materialize(_texts(docs).mapInArrow(each, "doc_id bigint, n bigint, h bigint, times bigint"), "jaccard-classes")
-    return both.where("times = 0").select("doc_id", "n", F.col("h").alias("cid")), both.where("times > 0").select("h", "times")
+    both = materialize(_texts(docs).mapInArrow(each, "doc_id bigint, n bigint, h bigint, times bigint, bits binary, words array<bigint>"), "jaccard-classes")
+    return both.where("times = 0").select("doc_id", "n", F.col("h").alias("cid"), "bits", "words"), both.where("times > 0").select("h", "times")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -194,8 +227,15 @@ def hot_shingles(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return h, np.stack([place, times])
 
 
+ENTRY = ("k", "h", "cid", "n", "pos", "cold")
+
+
 def postings(spark: SparkSession, docs: DataFrame, hot: np.ndarray, order: np.ndarray) -> DataFrame:
-    """Entries of the incidence matrix that the size bound leaves: block key k, shingle h, class cid, set size n."""
+    """Entries of the incidence matrix that the size bound leaves.
+
+    k: the shingle, or one of a hot shingle's blocks; h: a hot shingle, else 0; cid: the class; n: its
+    size; pos: place in its order; cold: for entries of hot shingles, how many cold ones the class has.
+    """
     shared = spark.sparkContext.broadcast((hot, order))
 
     def each(batches):
@@ -205,53 +245,55 @@ def postings(spark: SparkSession, docs: DataFrame, hot: np.ndarray, order: np.nd
         for batch in batches:
             texts = [t or b"" for t in batch.column(1).to_pylist()]
             for a, b in _slices(texts):
-                out: list[list[np.ndarray]] = [[], [], [], []]
+                out: list[list[np.ndarray]] = [[] for _ in ENTRY]
                 for s in shingle_sets(texts[a:b]):
                     if not len(s) or (cid := class_of(s)) in seen:
                         continue
                     seen.add(cid)
-                    h, is_hot = prefix(s, hot, place)
+                    h, is_hot, cold = prefix(s, hot, place)
                     key = h.copy()
                     if is_hot.any():
                         own = h[is_hot]
                         block = np.uint64(cid & (1 << 63) - 1) % blocks[np.searchsorted(hot, own)].astype(np.uint64)
                         key[is_hot] = mix(own + (block + np.uint64(1)) * BASE)
-                    for column, values in zip(out, (key.view(np.int64), h.view(np.int64), np.full(len(h), cid, np.int64), np.full(len(h), len(s), np.int32)), strict=True):
+                    size = len(h)
+                    rows = (key.view(np.int64), np.where(is_hot, h, np.uint64(0)).view(np.int64), np.full(size, cid, np.int64), np.full(size, len(s), np.int32), np.arange(size, dtype=np.int32), np.where(is_hot, cold, 0).astype(np.int32))
+                    for column, values in zip(out, rows, strict=True):
                         column.append(values)
                 if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["k", "h", "cid", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ENTRY)
                 if len(seen) > 500_000:
                     seen = set()
 
-    return _texts(docs).mapInArrow(each, "k bigint, h bigint, cid bigint, n int")
+    return _texts(docs).mapInArrow(each, "k bigint, h bigint, cid bigint, n int, pos int, cold int")
 
 
 def product(entries: DataFrame) -> DataFrame:
-    """Candidates of each block (a < b, h null), and the entries of blocks with many classes (a: class, h: shingle, n: size)."""
+    """Candidates of each block (a < b, h null), and the entries of shingles with many classes (a: class, h: shingle, n, pos, cold)."""
 
-    def run_rows(k, h, cid, n):
+    def run_rows(k, h, cid, n, pos, cold):
         first = np.concatenate([[True], (k[1:] != k[:-1]) | (cid[1:] != cid[:-1])])
-        k, h, cid, n = k[first], h[first], cid[first], n[first]
+        k, h, cid, n, pos, cold = (x[first] for x in (k, h, cid, n, pos, cold))
         at = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
         size = np.diff(np.append(at, len(k)))
+        many = (size > SMALL_RUN) | (h[at] != 0)
+        big = np.repeat(many, size)
+        n, pos = n.astype(np.int64), pos.astype(np.int64)
         a, b = [], []
-        big = np.zeros(len(k), bool)
-        for i, m in zip(at[size > 1].tolist(), size[size > 1].tolist(), strict=True):
-            if m > SMALL_RUN or h[i] != k[i]:
-                big[i : i + m] = True
-                x, y = np.zeros(m - 1, np.int64), np.arange(1, m)
-            else:
+        for m in range(2, SMALL_RUN + 1):
+            runs = at[(size == m) & ~many]
+            if len(runs):
                 x, y = np.triu_indices(m, 1)
-            near = 100 * np.minimum(n[i + x], n[i + y]) >= SHARE * np.maximum(n[i + x], n[i + y])
-            a.append(cid[i + x[near]])
-            b.append(cid[i + y[near]])
-        single = np.isin(np.arange(len(k)), at[(size == 1) & (h[at] != k[at])])  # of a hot shingle, alone in its block
-        big |= single
+                x, y = (runs[:, None] + x).ravel(), (runs[:, None] + y).ravel()
+                need = -(-4 * (n[x] + n[y]) // 9)
+                near = (n[x] - pos[x] >= need) & (n[y] - pos[y] >= need)
+                a.append(cid[x[near]])
+                b.append(cid[y[near]])
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
         pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
         none = pa.nulls(len(pair), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy()), none, none.cast(pa.int32())], ["a", "b", "h", "n"])
-        yield pa.RecordBatch.from_arrays([pa.array(cid[big]), pa.nulls(int(big.sum()), pa.int64()), pa.array(h[big]), pa.array(n[big].astype(np.int32))], ["a", "b", "h", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy()), none, *[none.cast(pa.int32())] * 3], NAMES)
+        yield pa.RecordBatch.from_arrays([pa.array(cid[big]), pa.nulls(int(big.sum()), pa.int64()), pa.array(np.where(h == 0, k, h)[big]), *(pa.array(x[big].astype(np.int32)) for x in (n, pos, cold))], NAMES)
 
     def each(batches):
         tail = None
@@ -262,8 +304,8 @@ def product(entries: DataFrame) -> DataFrame:
             k = now[0]
             if not len(k):
                 continue
-            cut = int(np.searchsorted(k, k[-1], side="left"))  # the last run may go on; a run that grows long is cut and led anew
-            if len(k) - cut > 200_000:
+            cut = int(np.searchsorted(k, k[-1], side="left"))  # the last run may go on
+            if len(k) - cut > 200_000:  # a run so long is passed on in parts
                 cut = len(k)
             if cut:
                 yield from run_rows(*(x[:cut] for x in now))
@@ -271,7 +313,25 @@ def product(entries: DataFrame) -> DataFrame:
         if tail is not None and len(tail[0]):
             yield from run_rows(*tail)
 
-    return entries.repartition("k").sortWithinPartitions("k", "cid").mapInArrow(each, "a bigint, b bigint, h bigint, n int")
+    return entries.repartition("k").sortWithinPartitions("k", "cid").mapInArrow(each, "a bigint, b bigint, h bigint, n int, pos int, cold int")
+
+
+NAMES = ["a", "b", "h", "n", "pos", "cold"]
+
+
+def within_bound(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes whose bitmaps (cid, n, bits) allow a link."""
+    left = sketches.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"))
+    right = sketches.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
+
+    def each(batches):
+        for batch in batches:
+            _, _, na, nb, ba, bb = (c.to_pylist() for c in batch.columns)
+            keep = [(100 + SHARE) * differing_bits(x, y) <= (100 - SHARE) * (n + m) for n, m, x, y in zip(na, nb, ba, bb, strict=True)]
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
+
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ba", "bb").mapInArrow(each, "a bigint, b bigint")
 
 
 def check(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -319,32 +379,46 @@ def class_texts(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataF
     return met.mapInArrow(each, "cid bigint, text binary").dropDuplicates(["cid"])
 
 
-def hot_pairs(entries: DataFrame, labels: DataFrame, order: int | None) -> DataFrame:
-    """Pairs of classes that share a hot shingle and are in different components, within the size bound.
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    return rows.join(labels.select(F.col("node").alias("cid"), "label"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+
 
-    order: pair each class with the shingle's first class in that hashed order; None: pair all.
+def leader_pairs(entries: DataFrame, labels: DataFrame, order: int) -> DataFrame:
+    """Pairs of a class with leaders in other components: those of like size with the fewest cold shingles.
+
+    Classes meet at one of their hot shingles, the first in a hashed order, which near copies mostly share.
     """
-    labelled = entries.join(labels.select(F.col("node").alias("cid"), "label"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    spread = labelled.groupBy("h").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("h")
-    rest = labelled.join(spread, "h", "left_semi")
+    own = entries.groupBy("cid").agg(F.min(F.struct(F.xxhash64("h", F.lit(order)).alias("x"), "h")).alias("at"), F.max("n").alias("n"), F.max("cold").alias("cold"))
+    own = own.select("cid", F.col("at.h").alias("h"), "n", "cold", F.floor(F.log("n") / F.log(F.lit(SIZE_STEP))).alias("step"))
+    lead = F.struct((F.col("cold") * 1000 / F.col("n")).cast("long").alias("share"), F.xxhash64("cid", F.lit(order)).alias("x"), "cid", "n")
+    first = own.groupBy("h", "step").agg(F.min(lead).alias("f"))
+    first = _labelled(first.select("h", "step", F.col("f.cid").alias("cid"), F.col("f.n").alias("m")), labels).select("h", F.explode(F.array(*(F.col("step") + i for i in (-1, 0, 1)))).alias("step"), F.col("cid").alias("b"), "m", F.col("label").alias("to"))
     near = F.expr(f"100L * least(n, m) >= {SHARE}L * greatest(n, m)")
-    if order is None:
-        other = rest.select("h", F.col("cid").alias("b"), F.col("n").alias("m"), F.col("label").alias("to"))
-        met = rest.join(other, "h").where("cid < b and label <> to").where(near)
-    else:
-        first = rest.groupBy("h").agg(F.min(F.struct(F.xxhash64("cid", F.lit(order)).alias("x"), "cid", "n", "label")).alias("f"))
-        met = rest.join(first.select("h", F.col("f.cid").alias("b"), F.col("f.n").alias("m"), F.col("f.label").alias("to")), "h").where("label <> to").where(near)
+    met = _labelled(own, labels).join(first, ["h", "step"]).where("label <> to").where(near)
     return met.select(F.least("cid", "b").alias("a"), F.greatest("cid", "b").alias("b")).distinct()
 
 
+def full_pairs(entries: DataFrame, labels: DataFrame, sketches: DataFrame) -> DataFrame:
+    """All pairs of classes in different components that meet at a hot shingle and that the bounds leave, that of the small bitmap included."""
+    small = sketches.select("cid", *[F.col("words")[i].alias(f"w{i}") for i in range(WORDS)])
+    labelled = _labelled(entries, labels).join(small, "cid")
+    spread = labelled.groupBy("h").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("h")
+    rest = labelled.join(spread, "h", "left_semi")
+    other = rest.select("h", F.col("cid").alias("b"), F.col("n").alias("m"), F.col("pos").alias("place"), F.col("cold").alias("chill"), F.col("label").alias("to"), *[F.col(f"w{i}").alias(f"v{i}") for i in range(WORDS)])
+    differ = " + ".join(f"bit_count(w{i} ^ v{i})" for i in range(WORDS))
+    room = F.expr(f"9L * (n - pos) >= 4L * (n + m) and 9L * (m - place) >= 4L * (n + m) and 9L * (cold + chill) <= n + m and 9L * ({differ}) <= n + m")
+    return rest.join(other, "h").where("cid < b and label <> to").where(room).select(F.col("cid").alias("a"), "b").distinct()
+
+
 def link_components(docs: DataFrame, classes: DataFrame, counts: DataFrame) -> DataFrame:
     """(node, label): classes that link, directly or through others, by the smallest class name among them."""
     spark = docs.sparkSession
     hot, order = hot_shingles(counts)
     found = materialize(product(postings(spark, docs, hot, order)), "jaccard-product")
-    pairs = found.where("h is null").select("a", "b").distinct()
-    entries = found.where("h is not null").select("h", F.col("a").alias("cid"), "n")
-    pairs = materialize(pairs, "jaccard-pairs")
+    candidates = found.where("h is null").select("a", "b").distinct()
+    entries = found.where("h is not null").select("h", F.col("a").alias("cid"), "n", "pos", "cold")
+    sketches = classes.where("n > 0").groupBy("cid").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("words").alias("words"))
+    pairs = materialize(within_bound(candidates, sketches), "jaccard-pairs")
     wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).union(entries.select("cid")).distinct()
     texts = materialize(class_texts(docs, classes, wanted), "jaccard-texts")
     edges = materialize(check(pairs, texts), "jaccard-links")
@@ -353,7 +427,8 @@ def link_components(docs: DataFrame, classes: DataFrame, counts: DataFrame) -> D
         entries = materialize(entries.distinct(), "jaccard-hot")
         tested = pairs
         for k in [*range(LEADERS), None]:
-            more = materialize(hot_pairs(entries, labels, k).join(tested, ["a", "b"], "left_anti"), f"jaccard-more-{k}")
+            more = full_pairs(entries, labels, sketches) if k is None else leader_pairs(entries, labels, k)
+            more = materialize(within_bound(more.join(tested, ["a", "b"], "left_anti"), sketches), f"jaccard-more-{k}")
             if more.limit(1).count():
                 tested = tested.union(more)
                 edges = materialize(edges.union(check(more, texts)), f"jaccard-links-{k}")

@@ -175,6 +175,35 @@ def test_jaccard_join(spark, seed):
     assert max(Counter(c for _, c in got.values()).values()) > 300
 
 
+def test_jaccard_hot_shingles(spark):
+    """Many near copies, long ones that only chains of links join, and a passage that many unlike texts share."""
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    base, passage = [word() for _ in range(120)], [word() for _ in range(60)]
+    texts = []
+    for _ in range(90):
+        t = list(base)
+        for _ in range(rng.randrange(5)):
+            t[rng.randrange(len(t))] = word()
+        texts.append(t)
+    texts += [passage + [word() for _ in range(rng.randrange(1, 30))] for _ in range(80)]
+    texts += [base[k : k + 70] for k in range(0, 50, 3)] + [base[:k] for k in range(60, 120, 4)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(docs(spark, rows).repartition(3)).collect()}
+    assert got == helpers.jaccard(rows)
+
+
+def test_bitmaps_never_differ_in_more_bits_than_sets_do_in_members():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        a = np.unique(rng.integers(0, 2**63, rng.integers(1, 400)).astype(np.uint64))
+        b = np.union1d(a[rng.random(len(a)) < 0.8], rng.integers(0, 2**63, rng.integers(0, 300)).astype(np.uint64))
+        differ = len(np.setxor1d(a, b))
+        assert jaccard.differing_bits(jaccard.parity_bits(a), jaccard.parity_bits(b)) <= differ
+        words = zip(jaccard.parity_words(a), jaccard.parity_words(b), strict=True)
+        assert sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in words) <= differ
+
+
 def test_jaccard_cases(spark):
     assert jaccard.join(docs(spark, [])).count() == 0
     got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard.join(docs(spark, [(None, "a b"), (2, "a b"), (2, "c"), (1, "A b"), (3, None)])).collect())
