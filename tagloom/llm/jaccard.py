@@ -45,7 +45,7 @@ from tagloom.llm.components import components
 WIDTH = 5
 SHARE = 80  # of 100
 CHUNK = 1_000_000  # bytes of text hashed at a time
-STRETCH = 2_000_000  # shingles counted together
+STRETCH = 4_000_000  # shingles counted together
 MOST_HOT = 400_000
 LEAST_HOT = 16
 SMALL_RUN = 24
@@ -177,7 +177,7 @@ def describe(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
         def frequent():
             h, times = np.unique(np.concatenate(held), return_counts=True)
-            often = times >= 3
+            often = times >= 2
             k = int(often.sum())
             return _rows([None] * k, [None] * k, h[often].view(np.int64), times[often], [None] * k, [None] * k)
 
