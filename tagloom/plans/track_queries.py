@@ -113,7 +113,7 @@ def nearest_fallback(spark, sf_dir):
 
 
 @query(
-    "select a.pos, count(*) as near, array_to_string((list(b.product_name order by b.frame_timestamp, b.pos))[1:10], '|') as names from detections a join detections b on a.video = b.video and a.pos <> b.pos and abs(a.frame_timestamp - b.frame_timestamp) <= 600 where b.product_name <> '' and a.pos % 20 = 0 group by 1".replace(" and a.pos % 20 = 0", ""),
+    "select a.pos, count(*) as near, array_to_string((list(b.product_name order by b.frame_timestamp, b.pos))[1:10], '|') as names from detections a join detections b on a.video = b.video and a.pos <> b.pos and abs(a.frame_timestamp - b.frame_timestamp) <= 600 where b.product_name <> '' group by 1",
     "detections",
 )
 def shelf_context(spark, sf_dir):
