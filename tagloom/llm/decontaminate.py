@@ -11,7 +11,7 @@ wavelet-tree ranks, occurrences are located by sampled suffix positions, and the
 document are merged into removal spans.
 
 Windows are searched in blocks of at most about ``BLOCK_BYTES`` of benchmark text: each block is
-broadcast, and each further block is one more pass over the documents. So what is broadcast has a
+broadcast, and each further block is one more pass over the same whole texts. So what is broadcast has a
 fixed bound, whatever the benchmark's size.
 
 Defined results: null texts have no words; items without words have no window; a null item_id or
@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tagloom.llm.fm_index import FmIndex
 
@@ -209,28 +210,45 @@ def _merged(spans: F.Column) -> F.Column:
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with every removal span cut out of ``text``.
 
-    Each block of the benchmark is cut in turn, beside the row, so that no text is shuffled.
+    Each block of the benchmark searches the whole text; the hit words go along in a column beside the
+    row, so that no text is shuffled, and after the last block the text is cut once.
     """
-    for windows in benchmark_blocks(benchmark, window):
-        docs = _clean_block(docs, windows)
+    blocks = benchmark_blocks(benchmark, window)
+    for k, windows in enumerate(blocks):
+        docs = _clean_block(docs, windows, first=k == 0, last=k == len(blocks) - 1)
     return docs
 
 
-def _clean_block(docs: DataFrame, windows: Windows) -> DataFrame:
+HITS = "__hit_words"
+
+
+def _clean_block(docs: DataFrame, windows: Windows, first: bool, last: bool) -> DataFrame:
+    """The block's hit words added to those of the blocks before, or, after the last block, the texts cut."""
     shared = docs.sparkSession.sparkContext.broadcast(windows)
-    at = docs.columns.index("text")
+    names = [c for c in docs.columns if first or c != HITS]
+    at = names.index("text")
+    schema = T.StructType([docs.schema[c] for c in names] + ([] if last else [T.StructField(HITS, T.ArrayType(T.LongType()))]))
 
     def each(batches):
         shard, held = Shard(shared.value), []
 
         def flush():
-            cuts = shard.results().column("cuts").to_pylist()
+            found = shard.results()
+            spans, cuts = found.column("spans").to_pylist(), found.column("cuts").to_pylist()
             for part in held:
-                own, cuts = cuts[: part.num_rows], cuts[part.num_rows :]
-                texts = [cut_text(t, c) if c else t for t, c in zip(part.column(at).to_pylist(), own, strict=True)]
-                columns = list(part.columns)
-                columns[at] = pa.array(texts, pa.string())
-                yield pa.RecordBatch.from_arrays(columns, part.schema.names)
+                n = part.num_rows
+                own, own_cuts, spans, cuts = spans[:n], cuts[:n], spans[n:], cuts[n:]
+                before = [()] * n if first else part.column(len(names)).to_pylist()
+                columns = list(part.columns[: len(names)])
+                if last:
+                    texts = [
+                        cut_text(t, merged_cuts(t, b, s) if b else c) if b or c else t
+                        for t, b, s, c in zip(part.column(at).to_pylist(), before, own, own_cuts, strict=True)
+                    ]
+                    columns[at] = pa.array(texts, pa.string())
+                else:
+                    columns.append(pa.array([[*b, *(x for d in s for x in (d["start"], d["end"]))] for b, s in zip(before, own, strict=True)], pa.list_(pa.int64())))
+                yield pa.RecordBatch.from_arrays(columns, schema.names)
             held.clear()
 
         for batch in batches:
@@ -244,7 +262,14 @@ def _clean_block(docs: DataFrame, windows: Windows) -> DataFrame:
         if held:
             yield from flush()
 
-    return docs.mapInArrow(each, docs.schema)
+    return docs.mapInArrow(each, schema)
+
+
+def merged_cuts(text: str, before: list[int], spans: list[dict[str, int]]) -> list[dict[str, int]]:
+    """The cuts of hit words: starts and ends in turn from earlier blocks, and the spans of this one."""
+    starts = [*before[::2], *(s["start"] for s in spans)]
+    ends = [*before[1::2], *(s["end"] for s in spans)]
+    return char_spans(text.encode(), *merge_spans(np.array(starts), np.array(ends)))
 
 
 def cut_text(text: str, cuts: list[dict[str, int]]) -> str:

@@ -65,6 +65,21 @@ def test_decontamination(spark, monkeypatch, block_bytes):
         assert clean == {i: helpers.cut(t, want[i][1]) if want[i][1] else t for i, t in rows}
 
 
+@pytest.mark.parametrize("block_bytes", [4_000_000, 150, 40])
+def test_cleaning_does_not_depend_on_blocks(spark, monkeypatch, block_bytes):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block_bytes)
+    rows, items = contaminated()
+    word = [f"w{i}" for i in range(60)]
+    # items whose windows overlap or touch in a text, and one that stands there only after another is cut
+    items += [(200 + k, " ".join(word[k : k + 12])) for k in range(0, 48, 6)] + [(300, "left1 left2 right1 right2"), (301, "mid1 mid2 mid3")]
+    rows += [(200, "so " + ", ".join(word) + " on"), (201, "left1 left2 mid1 mid2 mid3 right1 right2"), (202, " ".join(word[3:40]))]
+    want = helpers.contamination(rows, items)
+    d = docs(spark, rows)
+    got = decontaminate.clean(d, spark.createDataFrame(items, "item_id bigint, text string"))
+    assert got.columns == d.columns
+    assert {r.doc_id: r.text for r in got.collect()} == {i: helpers.cut(t, want[i][1]) if want[i][1] else t for i, t in rows}
+
+
 def test_decontamination_of_nothing(spark):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert [r.n_hit for r in decontaminate.find(docs(spark, [(1, "a b"), (None, None)]), none).collect()] == [0, 0]
