@@ -7,8 +7,8 @@ the words inside 3-word windows that occur twice or more.
 
 The field's weights are learned by :func:`train` (gradient ascent on the conditional likelihood,
 with forward-backward sums). No table labels single lines, so a labelled text lends its quality to
-all of its lines. Training collects at most ``TRAIN_ROWS`` texts of at most ``TRAIN_LINES`` lines
-each; scoring reads every text whole. Without labelled rows of both kinds, ``DEFAULT`` is used.
+all of its lines. Training collects the features of all lines of at most ``TRAIN_ROWS`` texts, made
+in the tasks; scoring reads every text whole. Without labelled rows of both kinds, ``DEFAULT`` is used.
 
 Defined results: a null, empty or blank text has no words and is not kept (base_failed); repeated
 rows give repeated results; ``isspace`` and ``split`` of bytes know the six blanks of the word rule
@@ -28,7 +28,6 @@ from tagloom.llm.common import labelled_sample
 from tagloom.llm.lines import BLANK, LINE_FEATURES, SYMBOLS, line_features, lines_with_words
 
 TRAIN_ROWS = 1500
-TRAIN_LINES = 60
 MIN_WORDS = 50
 MIN_CONTENT = 0.5
 SCHEMA = "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_content_words bigint, base_failed boolean, kept boolean"
@@ -63,53 +62,63 @@ def viterbi(gain: list[float], stay: float) -> list[int]:
 
 
 def train(chains: list[tuple[np.ndarray, int]], epochs: int = 150, rate: float = 0.5, shrink: float = 1e-3) -> Crf:
-    """Fit by gradient ascent. chains: (line features, the label that all lines take), texts with more than one line in chains of equal length padded.
+    """Fit by gradient ascent. chains: (line features, the label that all lines take).
 
-    Classes are weighed alike, so that the rarer one counts.
+    Lines are laid out place by place, longer chains first, so that the chains that reach a place are
+    the first ones there and nothing is padded. Classes are weighed alike, so that the rarer one counts.
     """
-    longest = max(len(x) for x, _ in chains)
-    n, k = len(chains), len(LINE_FEATURES)
-    x = np.zeros((n, longest, k))
-    mask = np.zeros((n, longest))
-    y = np.array([label for _, label in chains], float)
+    chains = sorted(chains, key=lambda c: -len(c[0]))
+    sizes = np.array([len(x) for x, _ in chains])
+    reach = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left")  # chains that have a line at each place
+    at = np.concatenate([[0], np.cumsum(reach)])
+    longest, k = int(sizes[0]), len(LINE_FEATURES)
+    x = np.zeros((int(at[-1]), k))
     for i, (f, _) in enumerate(chains):
-        x[i, : len(f)], mask[i, : len(f)] = f, 1
-    weight = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, n - y.sum()))
-    weight = weight / np.maximum(1, mask.sum(1))
+        x[at[: len(f)] + i] = f
+    chain = np.arange(at[-1]) - np.repeat(at[:-1], reach)
+    label = np.array([y for _, y in chains], float)
+    share = np.where(label > 0, 0.5 / max(1, label.sum()), 0.5 / max(1, len(chains) - label.sum())) / sizes
+    y, weight = label[chain], share[chain]
+    ends = at[sizes - 1] + np.arange(len(chains))
+    second = np.arange(at[1], at[-1])  # lines that follow one
+    ahead = second - np.repeat(reach[:-1], reach[1:])  # the lines before them
     w, stay = np.zeros(k), 0.0
-    pairs = mask[:, 1:] * mask[:, :-1]
     for _ in range(epochs):
         g = x @ w
-        # forward and backward log sums; index 1 is content
-        a = np.zeros((n, longest, 2))
-        b = np.zeros((n, longest, 2))
-        a[:, 0, 1] = g[:, 0]
+        # forward and backward log sums of content (1) and boilerplate (0)
+        a1, a0, b1, b0 = g.copy(), np.zeros(len(g)), np.zeros(len(g)), np.zeros(len(g))
         for t in range(1, longest):
-            c, d = a[:, t - 1, 1], a[:, t - 1, 0]
-            a[:, t, 1] = np.where(mask[:, t] > 0, np.logaddexp(c + stay, d) + g[:, t], c)
-            a[:, t, 0] = np.where(mask[:, t] > 0, np.logaddexp(c, d + stay), d)
+            here, last = slice(at[t], at[t + 1]), slice(at[t - 1], at[t - 1] + reach[t])
+            c, d = a1[last], a0[last]
+            a1[here] += np.logaddexp(c + stay, d)
+            a0[here] = np.logaddexp(c, d + stay)
         for t in range(longest - 2, -1, -1):
-            c, d = b[:, t + 1, 1] + g[:, t + 1], b[:, t + 1, 0]
-            on = mask[:, t + 1] > 0
-            b[:, t, 1] = np.where(on, np.logaddexp(c + stay, d), 0)
-            b[:, t, 0] = np.where(on, np.logaddexp(c, d + stay), 0)
-        z = np.logaddexp(a[:, -1, 0], a[:, -1, 1])[:, None]
-        p = np.exp(a[:, :, 1] + b[:, :, 1] - z) * mask
-        same = (
-            np.exp(a[:, :-1, 1] + stay + g[:, 1:] + b[:, 1:, 1] - z) + np.exp(a[:, :-1, 0] + stay + b[:, 1:, 0] - z)
-        ) * pairs if longest > 1 else np.zeros((n, 0))
-        w = w + rate * 10 * (np.einsum("n,nt,ntk->k", weight, y[:, None] * mask - p, x) - shrink * w)
-        stay = min(3.0, stay + rate * ((weight[:, None] * (pairs - same)).sum() - shrink * stay))
+            here, after = slice(at[t], at[t] + reach[t + 1]), slice(at[t + 1], at[t + 2])
+            c, d = b1[after] + g[after], b0[after]
+            b1[here] = np.logaddexp(c + stay, d)
+            b0[here] = np.logaddexp(c, d + stay)
+        z = np.logaddexp(a0[ends], a1[ends])[chain]
+        p = np.exp(a1 + b1 - z)
+        same = np.exp(a1[ahead] + stay + g[second] + b1[second] - z[second]) + np.exp(a0[ahead] + stay + b0[second] - z[second])
+        w = w + rate * 10 * ((weight * (y - p)) @ x - shrink * w)
+        stay = min(3.0, stay + rate * ((weight[second] * (1 - same)).sum() - shrink * stay))
     return Crf(tuple(float(v) for v in w), float(stay))
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Crf:
-    """Learn from at most ``rows`` texts that ``labels.quality`` marks, outside the held-out fold."""
-    chains = []
-    for r in labelled_sample(docs, labels, "quality", rows).orderBy("doc_id").toLocalIterator():
-        lines = lines_with_words((r.text or "").encode())
-        if lines:
-            chains.append((np.array([line_features(x, again, len(lines)) for x, again in lines[:TRAIN_LINES]]), int(r.label)))
+    """Learn from all lines of at most ``rows`` texts that ``labels.quality`` marks, outside the held-out fold."""
+
+    def each(batches):
+        for batch in batches:
+            chains = []
+            for text in batch.column(1).to_pylist():
+                lines = lines_with_words(text or b"")
+                chains.append(np.array([line_features(x, again, len(lines)) for x, again in lines]).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(chains, pa.binary())], ["label", "features"])
+
+    sample = labelled_sample(docs, labels, "quality", rows).orderBy("doc_id")
+    told = sample.select(F.col("label").cast("int"), F.col("text").cast("binary")).mapInArrow(each, "label int, features binary")
+    chains = [(np.frombuffer(r.features).reshape(-1, len(LINE_FEATURES)), r.label) for r in told.toLocalIterator() if r.features]
     return train(chains) if len({label for _, label in chains}) == 2 else DEFAULT
 
 

@@ -102,6 +102,36 @@ def test_rules_without_labels(spark):
     assert quality_rules.fit(d, spark.createDataFrame([], "doc_id bigint, quality int, toxic int")) == quality_rules.DEFAULT
 
 
+def test_training_reads_lines_of_any_place(spark):
+    """Openings are alike; only what comes after line 60 tells the kinds apart."""
+    opening = "\n".join(f"The {i}th line is plain prose, as ever." for i in range(70))
+    rows = [(i, opening + "\n" + ("More prose, of a calm kind." if i % 2 else "### |||| $$$$ ####") * 3) for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i, _ in rows], "doc_id bigint, quality int, toxic int")
+    m = quality_rules.fit(docs(spark, rows), labels)
+    assert m.emission[quality_rules.LINE_FEATURES.index("symbols")] < -0.01
+
+
+def test_training_by_all_labellings():
+    """One step from zero weights and one more, by gradients over all labellings of chains of uneven length."""
+    rng = np.random.default_rng(3)
+    k = len(quality_rules.LINE_FEATURES)
+    chains = [(rng.normal(0, 1, (n, k)), int(y)) for n, y in ((1, 1), (5, 0), (3, 1), (5, 1), (2, 0))]
+    w, stay = np.zeros(k), 0.0
+    for _ in range(2):
+        dw, ds = np.zeros(k), 0.0
+        for x, y in chains:
+            share = 0.5 / sum(label == y for _, label in chains) / len(x)
+            all_labels = [np.array(v) for v in itertools.product((0, 1), repeat=len(x))]
+            same = [int((v[1:] == v[:-1]).sum()) for v in all_labels]
+            odds = np.exp([v @ (x @ w) + stay * s for v, s in zip(all_labels, same, strict=True)])
+            odds /= odds.sum()
+            dw += share * (y * x.sum(0) - sum(o * (v @ x) for o, v in zip(odds, all_labels, strict=True)))
+            ds += share * (len(x) - 1 - float(np.dot(odds, same)))
+        w, stay = w + 5.0 * (dw - 1e-3 * w), min(3.0, stay + 0.5 * (ds - 1e-3 * stay))
+    m = quality_rules.train(chains, epochs=2)
+    assert np.allclose(m.emission, w) and m.stay == pytest.approx(stay)
+
+
 def test_classifier_on_held_out_rows(spark):
     scored = {r.doc_id: r for r in op7_quality_classifier(spark, SF).collect()}
     labels = [r for r in table(spark, SF, "labels").collect() if scored[r.doc_id].held_out]
