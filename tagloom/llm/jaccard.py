@@ -271,12 +271,12 @@ def postings(spark: SparkSession, docs: DataFrame, hot: np.ndarray, order: np.nd
 def product(entries: DataFrame) -> DataFrame:
     """Candidates of each block (a < b, h null), and the entries of shingles with many classes (a: class, h: shingle, n, pos, cold)."""
 
-    def run_rows(k, h, cid, n, pos, cold):
+    def run_rows(parted, k, h, cid, n, pos, cold):
         first = np.concatenate([[True], (k[1:] != k[:-1]) | (cid[1:] != cid[:-1])])
         k, h, cid, n, pos, cold = (x[first] for x in (k, h, cid, n, pos, cold))
         at = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
         size = np.diff(np.append(at, len(k)))
-        many = (size > SMALL_RUN) | (h[at] != 0)
+        many = (size > SMALL_RUN) | (h[at] != 0) | np.isin(k[at], parted)
         big = np.repeat(many, size)
         n, pos = n.astype(np.int64), pos.astype(np.int64)
         a, b = [], []
@@ -297,6 +297,7 @@ def product(entries: DataFrame) -> DataFrame:
 
     def each(batches):
         tail = None
+        parted: list[int] = []  # keys of runs that are passed on in parts, each of which counts as large
         for batch in batches:
             now = [np.array(c.to_numpy(zero_copy_only=False)) for c in batch.columns]
             if tail is not None:
@@ -307,11 +308,12 @@ def product(entries: DataFrame) -> DataFrame:
             cut = int(np.searchsorted(k, k[-1], side="left"))  # the last run may go on
             if len(k) - cut > 200_000:  # a run so long is passed on in parts
                 cut = len(k)
+                parted.append(int(k[-1]))
             if cut:
-                yield from run_rows(*(x[:cut] for x in now))
+                yield from run_rows(parted, *(x[:cut] for x in now))
             tail = [x[cut:] for x in now]
         if tail is not None and len(tail[0]):
-            yield from run_rows(*tail)
+            yield from run_rows(parted, *tail)
 
     return entries.repartition("k").sortWithinPartitions("k", "cid").mapInArrow(each, "a bigint, b bigint, h bigint, n int, pos int, cold int")
 

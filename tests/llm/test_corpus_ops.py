@@ -208,6 +208,14 @@ def test_jaccard_hot_shingles(spark):
     assert got == helpers.jaccard(rows)
 
 
+def test_jaccard_run_in_parts(spark):
+    """A run too long for one part: the few entries of its last part are passed on like the others."""
+    n = 210_005
+    entries = spark.range(n).select(F.lit(7).cast("long").alias("k"), F.lit(0).cast("long").alias("h"), F.col("id").alias("cid"), F.lit(9).alias("n"), F.lit(0).alias("pos"), F.lit(0).alias("cold"))
+    got = jaccard.product(entries)
+    assert got.where("h is null").count() == 0 and got.where("h = 7").select("a").distinct().count() == n
+
+
 def test_bitmaps_never_differ_in_more_bits_than_sets_do_in_members():
     rng = np.random.default_rng(3)
     for _ in range(50):
