@@ -4,13 +4,15 @@ Patterns (fixed values) give the base spans, leftmost and non-overlapping for ea
 ``assign`` (a key word, ``:`` or ``=``, and a value of 8 characters or more), ``access`` (``AKIA``,
 16 characters or more) and ``hex`` (32 hexadecimal digits or more).
 
-The method adds ``entropy`` spans. A candidate is a run of 20 or more characters of
-``[A-Za-z0-9+/_=-]``; it is scored in the narrowest character class that holds it (hex, alnum,
-base64). A window slides over the candidate; the counts of its characters are updated by the one
-that enters and the one that leaves, and with them the sum of c*log2(c), from which the entropy
-follows. Windows at or above the class's threshold are merged into spans. Allow-listed candidates
-are passed over: those without a digit or without a letter, known placeholders, and UUIDs. An
-entropy span that overlaps a base span is left out, since that span already covers the secret.
+The method adds ``entropy`` spans. Candidates are the maximal runs of 20 or more characters of each
+character class (hex, alnum, base64), so that a secret joined to a name or a path by ``= - _ /`` is a
+candidate of its own; each is scored by its class's threshold. A window slides over the candidate; the
+counts of its characters are updated by the one that enters and the one that leaves, and with them the
+sum of c*log2(c), from which the entropy follows. Windows at or above the threshold are spans.
+Candidates without a digit or without a letter are passed over. What the allow-list matches (known
+placeholders, UUIDs) is in no window; what stands left and right of it is scored as usual. A span that
+overlaps a base span is left out, since that span already covers the secret; the others are merged over
+the classes.
 
 Defined results: a null text is an empty one and has no span; a text of any length is scanned whole;
 repeated rows give repeated results; an empty table gives an empty result; other columns are ignored.
@@ -37,8 +39,8 @@ HINT = re.compile(r"(?:pass|secr|toke|api)", re.I | re.A)
 WINDOW = 20
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 #: Class, its characters, and the entropy in bits from which a window counts.
-CLASSES = (("hex", re.compile(r"[0-9a-fA-F]+"), 3.1), ("alnum", re.compile(r"[A-Za-z0-9]+"), 3.7), ("base64", re.compile(r"[A-Za-z0-9+/_=-]+"), 3.9))
-DEFAULT_ALLOW = (r"(?i).*(?:example|placeholder|changeme|dummy|xxxx|0123456789|abcdefgh).*", r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}")
+CLASSES = (("hex", re.compile(r"[0-9a-fA-F]{20,}"), 3.1), ("alnum", re.compile(r"[A-Za-z0-9]{20,}"), 3.7), ("base64", CANDIDATE, 3.9))
+DEFAULT_ALLOW = ("wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", r"(?i)example|placeholder|changeme|dummy|xxxx+|0123456789|abcdefgh", r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}")
 DIGIT, LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
 SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 SCHEMA = "doc_id bigint, spans array<struct<kind:string,start:bigint,end:bigint>>"
@@ -85,14 +87,37 @@ def high_windows(run: str, threshold: float, width: int = WINDOW) -> Iterator[tu
         yield start, end
 
 
+def allowed_parts(text: str, allow: list[re.Pattern]) -> Iterator[tuple[int, str]]:
+    """The candidates of ``text`` without what the allow-list matches: their parts of a window's width or more, with their starts."""
+    for m in CANDIDATE.finditer(text):
+        run, at = m[0], 0
+        for a, b in sorted(x.span() for p in allow for x in p.finditer(run)):
+            if a - at >= WINDOW:
+                yield m.start() + at, run[at:a]
+            at = max(at, b)
+        if len(run) - at >= WINDOW:
+            yield m.start() + at, run[at:]
+
+
 def entropy_spans(text: str, allow: list[re.Pattern]) -> list[tuple[str, int, int]]:
+    """Spans by class, not merged over the classes."""
     out = []
-    for m in CANDIDATE.finditer(text):
-        run = m[0]
-        if not (DIGIT.search(run) and LETTER.search(run)) or any(p.fullmatch(run) for p in allow):
-            continue
-        threshold = next(t for _, chars, t in CLASSES if chars.fullmatch(run))
-        out += [("entropy", m.start() + a, m.start() + b) for a, b in high_windows(run, threshold)]
+    for start, part in allowed_parts(text, allow):
+        for _, chars, threshold in CLASSES:
+            for m in chars.finditer(part):
+                if DIGIT.search(m[0]) and LETTER.search(m[0]):
+                    out += [("entropy", start + m.start() + a, start + m.start() + b) for a, b in high_windows(m[0], threshold)]
+    return out
+
+
+def merged(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Overlapping and touching spans become one."""
+    out: list[tuple[str, int, int]] = []
+    for kind, a, b in sorted(spans):
+        if out and a <= out[-1][2]:
+            out[-1] = (kind, out[-1][1], max(b, out[-1][2]))
+        else:
+            out.append((kind, a, b))
     return out
 
 
@@ -100,11 +125,11 @@ def spans_of(text: str, allow: list[re.Pattern]) -> list[tuple[str, int, int]]:
     """All spans by start, then by kind as listed."""
     base = base_spans(text)
     more = [s for s in entropy_spans(text, allow) if all(s[2] <= b[1] or s[1] >= b[2] for b in base)]
-    return sorted(base + more, key=lambda s: (s[1], KINDS.index(s[0])))
+    return sorted(base + merged(more), key=lambda s: (s[1], KINDS.index(s[0])))
 
 
 def scan(docs: DataFrame, allow: tuple[str, ...] = DEFAULT_ALLOW) -> DataFrame:
-    """doc_id and the spans of each text. allow: patterns of whole candidates that are no secrets."""
+    """doc_id and the spans of each text. allow: patterns of what is no secret within a candidate."""
 
     def each(batches):
         patterns = [re.compile(p) for p in allow]

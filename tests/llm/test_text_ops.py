@@ -50,6 +50,26 @@ def test_scan_cases(spark):
     assert empty.base_sha256 == hashlib.sha256(b"").hexdigest()
 
 
+@pytest.mark.parametrize(("text", "want"), [
+    ("SESSION_ID=9F86D081884C7D659A2FEAA0C55AD015A3BF4F1B", "9F86D081884C7D659A2FEAA0C55AD015A3BF4F1B"), ("/key/3f9a7c21e08b5d64f1a290be", "3f9a7c21e08b5d64f1a290be"),
+    ("user-aK3xZ9qLm2PvR7tYw5BnC8dF", "aK3xZ9qLm2PvR7tYw5BnC8dF"), ("my_example_3f9a7c21e08b5d64f1a290be", "3f9a7c21e08b5d64f1a290be"), ("dummy-aK3xZ9qLm2PvR7tYw5BnC8dF", "aK3xZ9qLm2PvR7tYw5BnC8dF"),
+    ("id-123e4567-e89b-12d3-a456-426614174000", None), ("wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", None), ("a-long-name-with-words-and-1-digit", None), ("example-key-for-tests-0123456789abcdefgh", None),
+])
+def test_secrets_joined_to_names(text, want):
+    import re
+
+    spans = secrets.spans_of(f"see {text}, ok", [re.compile(p) for p in secrets.DEFAULT_ALLOW])
+    assert len(spans) == (want is not None)
+    if want:
+        _, a, b = spans[0]
+        assert want in f"see {text}, ok"[a:b]
+
+
+def test_a_base_span_hides_only_what_it_covers():
+    text = "aK3xZ9qLm2PvR7tYw5BnC8dF/" + "0123456789abcdef" * 2
+    assert [(k, text[a:b]) for k, a, b in secrets.spans_of(text, [])] == [("entropy", text[:24]), ("hex", text[25:])]
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_viterbi_by_all_labellings(seed):
     r = random.Random(seed)
