@@ -1,8 +1,10 @@
 r"""Line dedup by overlapping three-line windows.
 
 A text is its \n-split lines. Every three consecutive lines make a window; a text of fewer lines is
-one window, and a line of more than ``LONG_LINE`` words is a window of its own as well, so that a
-long passage is found whatever stands around it. Windows without a word are passed over. Windows are
+one window, a line of more than ``LONG_LINE`` words is a window of its own as well, and so are two
+lines that have more than ``LONG_LINE`` words only together, so that a long passage of whole lines is
+found whatever stands around it. A passage that begins or ends in mid-line is beyond the method, as are
+the shorter lines beside a long one. Windows without a word are passed over. Windows are
 hashed to 128 bits; of equal windows in the whole corpus the first (by doc_id, then by a hash of the
 text, then by position) stays, and the lines that later ones cover are removed, covered positions of
 a text being merged.
@@ -41,7 +43,19 @@ def window_spans(lines: list[bytes], width: int = WIDTH, long_line: int = LONG_L
     size = min(width, len(lines))
     spans = [(i, size) for i in range(len(lines) - size + 1) if not all(blank[i : i + size])]
     if size > 1:
-        spans += [(i, 1) for i, x in enumerate(lines) if len(x) > 2 * long_line and len(x.split()) > long_line]
+        # words are counted only where there is room for so many
+        roomy = [len(x) > 2 * long_line for x in lines]
+        long = [r and len(x.split()) > long_line for r, x in zip(roomy, lines, strict=True)]
+        spans += [(i, 1) for i, x in enumerate(long) if x]
+    if size > 2:
+        words: dict[int, int] = {}
+        for i in range(len(lines) - 1):
+            if not (long[i] or long[i + 1]) and len(lines[i]) + len(lines[i + 1]) >= 2 * long_line:
+                for k in (i, i + 1):
+                    if k not in words:
+                        words[k] = len(lines[k].split())
+                if words[i] + words[i + 1] > long_line:
+                    spans.append((i, 2))
     return spans
 
 

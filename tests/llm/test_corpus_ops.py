@@ -131,6 +131,14 @@ def test_line_dedup(spark):
     assert sorted((str(r.doc_id), r.text) for r in twice) == [("1", ""), ("1", ""), ("2", ""), ("None", "a\nb\nc")]
 
 
+def test_line_dedup_of_two_line_passages(spark):
+    passage = "\n".join(" ".join(f"{c}{k}" for k in range(26)) for c in "pq")  # 52 words
+    short = "\n".join(" ".join(f"{c}{k}" for k in range(25)) for c in "rs")  # 50 words
+    rows = [(i, f"top {i}\n{passage}\nmid {i}\n{short}\nend {i}") for i in range(3)] + [(3, passage), (4, f"{passage}\nlast")]
+    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.dedup(docs(spark, rows)).collect()}
+    assert got == {0: (rows[0][1], 0)} | {i: (f"top {i}\nmid {i}\n{short}\nend {i}", 2) for i in (1, 2)} | {3: ("", 2), 4: ("last", 2)}
+
+
 PAGE = "page_id bigint, url string, html string"
 
 
