@@ -5,8 +5,10 @@ open (p, li, dt, dd, option, table rows and cells, and whatever is open when an
 and adds the rows that stray cells need. A renderer walks the tree and writes all visible text:
 blocks on lines of their own, a blank line around paragraphs, headings, lists, tables and the like,
 list items with markers and indentation, table cells in aligned columns, preformatted text as it
-stands. Visibility follows the elements that never show, the ``hidden`` attribute, and the inline
+stands. Formulas (math), the labels of drawings (svg) and the contents of a textarea stand in line.
+Visibility follows the elements that never show, the ``hidden`` attribute, and the inline
 styles ``display:none`` and ``visibility:hidden`` (which a child may lift by ``visible``).
+A select's options are not written, the chosen one included.
 
 Both walks use explicit stacks, so that depth of nesting is no limit. A page is read whole.
 
@@ -27,7 +29,10 @@ from pyspark.sql import types as T
 # Names of HTML's elements by what a renderer does with them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style title template noscript noembed noframes iframe object audio video canvas svg math datalist area base link meta param source track select option optgroup textarea input map".split())
+UNSEEN = frozenset("head script style title template noscript noembed noframes iframe object audio video canvas datalist area base link meta param source track select option optgroup input map annotation annotation-xml mphantom".split())
+#: Elements of a drawing that show no text where they stand; all other text of a drawing shows only inside DRAWN_TEXT.
+UNDRAWN = frozenset("defs symbol clippath mask pattern marker metadata desc".split())
+DRAWN_TEXT = frozenset(("text", "foreignobject"))
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table ul xmp caption tr".split())
 SPACED = frozenset("blockquote dl fieldset figure h1 h2 h3 h4 h5 h6 ol p pre table ul menu hr".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul xmp".split())
@@ -120,12 +125,15 @@ def tree(page: str) -> Node:
                 close_until({"td", "th"}, {"table"})
         node = Node(tag, attributes(m["rest"]))
         stack[-1].children.append(node)
-        if tag in VOID or m["rest"].endswith("/") and tag in ("svg", "math", "path"):
+        if tag in VOID or m["rest"].endswith("/") and (tag in ("svg", "math", "path") or _foreign(stack)):
             continue
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
+            inner = page[at : end.start() if end else len(page)]
             if tag == "xmp":
-                node.children.append(page[at : end.start() if end else len(page)])
+                node.children.append(inner)
+            elif tag == "textarea":
+                node.children.append(html.unescape(re.sub(r"\A\r?\n", "", inner)))
             at = end.end() if end else len(page)
             continue
         enter(node)
@@ -134,6 +142,12 @@ def tree(page: str) -> Node:
     return root
 
 
+def _foreign(stack: list[Node]) -> bool:
+    """Whether the open element is one of a drawing or a formula, where a tag may end itself."""
+    tag = next((n.tag for n in reversed(stack) if n.tag in ("svg", "math", "foreignobject")), "")
+    return tag in ("svg", "math")
+
+
 def _last(stack: list[Node], tag: str) -> int:
     return next((k for k in range(len(stack) - 1, -1, -1) if stack[k].tag == tag), 0)
 
@@ -183,6 +197,12 @@ class Writer:
         elif self.lines and not self.blank:
             self.blank = True
 
+    def text_ahead(self) -> None:
+        """Write the blank that is due before preformatted text in line."""
+        if self.space and self.line:
+            self.line += " "
+        self.space = False
+
     def raw(self, s: str) -> None:
         head, *rest = s.replace("\r\n", "\n").replace("\r", "\n").split("\n")
         self.line += head
@@ -237,13 +257,13 @@ def _span(node: Node, name: str) -> int:
 def render(page: str) -> str:
     """The visible text of a page."""
     writers, tables, lists = [Writer()], [], []
-    # entries: node or text, whether it is the leaving of the node, visible, preformatted
-    todo: list[tuple] = [(tree(page), False, True, False)]
+    # entries: node or text, whether it is the leaving of the node, visible, preformatted, in a drawing but not in its text
+    todo: list[tuple] = [(tree(page), False, True, False, False)]
     while todo:
-        node, leaving, visible, pre = todo.pop()
+        node, leaving, visible, pre, drawing = todo.pop()
         w = writers[-1]
         if isinstance(node, str):
-            if visible:
+            if visible and not drawing:
                 w.raw(node) if pre else w.text(node)
             continue
         tag = node.tag
@@ -263,6 +283,8 @@ def render(page: str) -> str:
                 w.close_line()
                 w.indent.pop()
                 w.marker = ""
+            elif tag in DRAWN_TEXT and drawing:
+                w.text(" ")
             if tag in BLOCK:
                 w.close_line()
             if tag in SPACED:
@@ -277,7 +299,7 @@ def render(page: str) -> str:
                 visible = False
             elif style and SEES.search(style):
                 visible = True
-        if tag in UNSEEN:
+        if tag in UNSEEN or drawing and tag in UNDRAWN:
             continue
         if tag == "br":
             if visible:
@@ -309,9 +331,14 @@ def render(page: str) -> str:
             w.marker = mark
         elif tag in ("dd", "blockquote"):
             w.indent.append("  ")
-        pre = pre or tag in ("pre", "xmp", "listing")
-        todo.append((node, True, visible, pre))
-        todo.extend((child, False, visible, pre) for child in reversed(node.children))
+        elif tag in DRAWN_TEXT and drawing:
+            w.text(" ")  # labels stand apart
+        elif tag == "textarea" and visible:
+            w.text_ahead()
+        pre = pre or tag in ("pre", "xmp", "listing", "textarea")
+        todo.append((node, True, visible, pre, drawing))
+        drawing = tag == "svg" or drawing and tag not in DRAWN_TEXT
+        todo.extend((child, False, visible, pre, drawing) for child in reversed(node.children))
     w = writers[0]
     w.close_line()
     return "\n".join(w.lines).strip("\n")

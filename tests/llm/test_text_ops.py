@@ -199,6 +199,16 @@ def test_html(page, want):
     assert html_text.render(page or "") == want
 
 
+@pytest.mark.parametrize(("page", "want"), [
+    ("so <math><mi>x</mi><mo>=</mo><mspace/><mn>2</mn><annotation>TeX</annotation></math> holds", "so x=2 holds"),
+    ("a<svg><title>t</title><g><rect/><text>one<tspan> two</tspan></text></g>loose<defs><text>no</text></defs><text x=1>three</text><desc>d</desc></svg>b", "a one two three b"),
+    ("<svg><foreignObject><p>in <b>it</b></p></foreignObject></svg><p>out", "in it\n\nout"), ("a<svg><path d='x'/></svg>b", "ab"), ("<svg hidden><text>no</text></svg>c", "c"),
+    ("note: <textarea rows=2>\n  x &lt;b>\ny</textarea> end", "note:   x <b>\ny end"), ("<textarea hidden>no</textarea>q", "q"),
+])
+def test_html_formulas_drawings_and_forms(page, want):
+    assert html_text.render(page) == want
+
+
 def test_html_depth_and_table(spark):
     assert html_text.render("<div>" * 20_000 + "deep") == "deep"
     pages = spark.createDataFrame([(1, "u", "<p>a", "old"), (1, "u", "<p>a", "old"), (None, None, None, None)], "page_id bigint, url string, html string, text string")
