@@ -8,9 +8,10 @@ the two merges that made the tokens at the border, and asks whether the tokens t
 could have merged first. Only words with a failing pair are merged exactly: short ones together,
 as rows of a matrix, long ones with a heap of ranked pairs (n log n in the word's length).
 
-The vocabulary file is read on the driver and broadcast; it may have at most ``MAX_FILE`` bytes. Each
-worker keeps at most ``CACHE_CHUNKS`` chunks and ``CACHE_WORDS`` words in memory; a fuller cache is begun anew, which costs time
-and changes nothing.
+The vocabulary file is read on the driver and broadcast; it may have at most ``MAX_FILE`` bytes. A
+worker keeps the tables of one vocabulary, and with them at most about ``CACHE_BYTES`` bytes of chunks
+and words that it has met; a fuller cache is begun anew, which costs time and changes nothing. Texts go
+through in slices of about ``SLICE`` bytes, each written on before the next is read.
 
 Defined results: a null text is an empty one with no ids; strings of special tokens become those
 tokens, as in the tokenizers library; texts of any length are encoded whole; repeated rows give
@@ -24,7 +25,10 @@ import hashlib
 import heapq
 import json
 import re
+import sys
+from array import array
 from functools import lru_cache
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +36,13 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from tagloom.llm.common import slices
+
 MAX_FILE = 64_000_000
-CACHE_CHUNKS, CACHE_WORDS = 800_000, 400_000
+CACHE_BYTES = 24_000_000
+ENTRY_BYTES = 200  # of a cached string, its ids and their place, beside their characters
+SLICE = 500_000
+MATRIX_ROWS = 4_000
 SHORT = 48  # bytes; longer words are merged one by one
 NEVER = np.int64(1 << 40)
 # Fixed value: the word pattern of byte-level BPE.
@@ -49,18 +58,31 @@ def byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Known(dict):
+    """Ids of strings; emptied when its entries take more than ``most`` bytes or so."""
+
+    def __init__(self, most: int):
+        self.most, self.held = most, 0
+
+    def learn(self, strings: list[str], ids: list[bytes]) -> None:
+        self.update(zip(strings, ids, strict=True))
+        self.held += ENTRY_BYTES * len(ids) + sum(map(len, strings)) + sum(map(len, ids))
+
+    def trim(self) -> None:
+        if self.held > self.most:
+            self.clear()
+            self.held = 0
+
+
 class Cache:
-    """Ids of chunks that follow a space, and of words; emptied when full."""
+    """Ids of chunks that follow a space, and of words."""
 
-    def __init__(self):
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+    def __init__(self, most: int = CACHE_BYTES):
+        self.chunks, self.words = Known(most * 2 // 3), Known(most // 3)
 
     def trim(self) -> None:
-        if len(self.chunks) > CACHE_CHUNKS:
-            self.chunks.clear()
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
+        self.chunks.trim()
+        self.words.trim()
 
 
 class Bpe:
@@ -75,6 +97,9 @@ class Bpe:
         raw = lambda token: bytes(chars[c] for c in token)
         self.ids = {raw(t): i for t, i in model["vocab"].items()}
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+        if any(t.get(flag) for t in spec.get("added_tokens", []) for flag in ("lstrip", "rstrip", "single_word")):
+            raise ValueError("added tokens that strip or need whole words are not supported")
+        self.cache = Cache()
         size = max([*self.ids.values(), *self.special.values()]) + 1
         self.bytes_of = [b""] * size
         for t, i in self.ids.items():
@@ -189,8 +214,8 @@ class Bpe:
         order = sorted(range(len(words)), key=lambda i: len(words[i]))
         out: list = [None] * len(words)
         short = [i for i in order if len(words[i]) <= SHORT]
-        for a in range(0, len(short), 20_000):
-            part = short[a : a + 20_000]
+        for a in range(0, len(short), MATRIX_ROWS):
+            part = short[a : a + MATRIX_ROWS]
             for i, ids in zip(part, self.merge_short([words[i] for i in part]), strict=True):
                 out[i] = ids
         for i in order[len(short) :]:
@@ -212,7 +237,11 @@ class Bpe:
         failing = np.unique(np.searchsorted(ends, bad, side="right")).tolist()
         for k, ids in zip(failing, self.merge_all([raw[k] for k in failing]), strict=True):
             proposed[k] = ids
-        return [np.array(ids, "<u4").tobytes() for ids in proposed]
+        told = array("I", chain.from_iterable(proposed))
+        if sys.byteorder == "big":
+            told.byteswap()
+        raw, at = told.tobytes(), [0, *accumulate(map(len, proposed))]
+        return [raw[4 * a : 4 * b] for a, b in pairwise(at)]
 
     def chunks(self, text: str):
         """Lists of chunks, and special tokens as ids. All chunks of a list but its first follow a space."""
@@ -225,17 +254,17 @@ class Bpe:
             elif part:
                 yield SPACE.split(part)
 
-    def encode_chunks(self, chunks: list[str], words: dict[str, bytes]) -> list[bytes]:
+    def encode_chunks(self, chunks: list[str], words: Known) -> list[bytes]:
         cut = list(map(WORDS.findall, chunks))
         fresh = list({w for c in cut for w in c}.difference(words))
-        words.update(zip(fresh, self.encode_words(fresh), strict=True))
+        words.learn(fresh, self.encode_words(fresh))
         return [words[c[0]] if len(c) == 1 else b"".join(map(words.__getitem__, c)) for c in cut]
 
     def encode_batch(self, texts: list[str], cache: Cache) -> list[bytes]:
         """Ids of each text as bytes; fills the cache."""
         cut = [list(self.chunks(t)) for t in texts]
         fresh = list({c for parts in cut for p in parts if isinstance(p, list) for c in p[1:]}.difference(cache.chunks))
-        cache.chunks.update(zip(fresh, self.encode_chunks([" " + c for c in fresh], cache.words), strict=True))
+        cache.chunks.learn(fresh, self.encode_chunks([" " + c for c in fresh], cache.words))
         firsts = list({p[0] for parts in cut for p in parts if isinstance(p, list)})
         first = dict(zip(firsts, self.encode_chunks(firsts, cache.words), strict=True))
         get = cache.chunks.__getitem__
@@ -247,26 +276,11 @@ class Bpe:
         return raw.decode("utf-8", "replace").encode()
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _tables(source: str) -> Bpe:
     return Bpe(source)
 
 
-_caches: dict[int, Cache] = {}
-
-
-def _groups(texts: list[str], size: int = 2_000_000):
-    """Slices of the texts with about ``size`` characters each; a longer text is one slice."""
-    start = total = 0
-    for i, t in enumerate(texts):
-        total += len(t)
-        if total >= size:
-            yield start, i + 1
-            start, total = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def read_vocabulary(path: str) -> str:
     with open(path, encoding="utf-8") as f:
         source = f.read(MAX_FILE + 1)
@@ -291,13 +305,11 @@ def encode(spark: SparkSession, docs: DataFrame, path: str, text_col: str = "tex
 
     def each(batches):
         bpe = _tables(source.value)
-        cache = _caches.setdefault(id(bpe), Cache())
         for batch in batches:
-            texts = [t or "" for t in batch.column(at).cast(pa.string()).to_pylist()]
-            out: dict[str, list] = {k: [] for k in new}
-            for a, b in _groups(texts):
-                cache.trim()
-                for ids in bpe.encode_batch(texts[a:b], cache):
+            for part in slices(batch, at, SLICE):
+                out: dict[str, list] = {k: [] for k in new}
+                bpe.cache.trim()
+                for ids in bpe.encode_batch([t or "" for t in part.column(at).cast(pa.string()).to_pylist()], bpe.cache):
                     out["n_tokens"].append(len(ids) // 4)
                     text = bpe.decode(ids) if decoded else b""
                     if digests:
@@ -308,7 +320,7 @@ def encode(spark: SparkSession, docs: DataFrame, path: str, text_col: str = "tex
                         out["ids"].append(ids)
                         if decoded:
                             out["decoded"].append(text.decode())
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(out[k], t) for k, (t, _) in new.items())], [*batch.schema.names, *new])
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(out[k], t) for k, (t, _) in new.items())], [*part.schema.names, *new])
 
     return docs.mapInArrow(each, schema)
 

@@ -4,18 +4,28 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+SIEVE_BITS = 1 << 24
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the session names none, as in local tests, a temporary folder stands in.
+    Only a local session may name none, as in tests: a temporary folder stands in.
     """
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("tagloom.shared.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tagloom-")
         spark.conf.set("tagloom.shared.dir", path)
     return path.rstrip("/")
@@ -25,12 +35,57 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """What runs inside removes its shuffle files at its end instead of when the driver next collects garbage."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, True)
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with _shuffles_removed(spark):
+        df.write.parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.scratch_path = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what :func:`materialize` wrote; nothing may read these tables any more."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.scratch_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def slices(batch: pa.RecordBatch, column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices of about ``size`` bytes of the strings in ``column``; a longer string is in a slice of its own."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16
+    cuts = np.flatnonzero(np.diff(np.cumsum(lengths) // size)) + 1
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
+def sieve(keys: DataFrame, key: str, bits: int = SIEVE_BITS) -> DataFrame:
+    """A bitmap of ``bits`` bits in which the hash of every key is set: at most ``bits`` / 64 rows (word, held), whatever the number of keys."""
+    bit = F.pmod(F.xxhash64(F.col(key)), F.lit(bits))
+    held = keys.select(bit.alias("b")).select(F.expr("b div 64").alias("__word"), F.expr("shiftleft(1L, cast(b % 64 as int))").alias("one"))
+    return held.groupBy("__word").agg(F.bit_or("one").alias("__held"))
+
+
+def sifted(rows: DataFrame, key: str, bitmap: DataFrame, bits: int = SIEVE_BITS) -> DataFrame:
+    """``rows`` with ``__may``: false where ``key`` is surely none of the keys of the bitmap, which is broadcast (its size is bounded)."""
+    bit = F.pmod(F.xxhash64(F.col(key)), F.lit(bits))
+    met = rows.withColumn("__bit", bit).withColumn("__word", F.expr("__bit div 64")).join(F.broadcast(bitmap), "__word", "left")
+    return met.withColumn("__may", F.coalesce(F.expr("getbit(__held, cast(__bit % 64 as int)) = 1"), F.lit(False))).drop("__word", "__bit", "__held")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,4 +107,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -
         .groupBy("doc_id").agg(F.max(label).alias("label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    of_id = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    # rows that share a doc_id count once, so that ``rows`` bounds the rows as well
+    return of_id.groupBy("doc_id").agg(F.max("label").alias("label"), F.min("text").alias("text"))

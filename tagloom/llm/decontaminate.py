@@ -10,9 +10,10 @@ hold one and is left out of the index, which is exact. Windows are found by back
 wavelet-tree ranks, occurrences are located by sampled suffix positions, and the hit words of a
 document are merged into removal spans.
 
-Windows are searched in blocks of at most about ``BLOCK_BYTES`` of benchmark text: each block is
-broadcast, and each further block is one more pass over the same whole texts. So what is broadcast has a
-fixed bound, whatever the benchmark's size.
+Windows are searched in blocks of at most about ``BLOCK_BYTES`` of benchmark text, one after the other:
+a block is read, broadcast and searched for in the whole texts, its hits are written, and its broadcast is
+given up before the next is read. So what the driver and a worker hold has a fixed bound, whatever the
+benchmark's size.
 
 Defined results: null texts have no words; items without words have no window; a null item_id or
 doc_id is kept as null (a null item is not listed); repeated items count once by id; repeated document rows give
@@ -23,25 +24,28 @@ their text otherwise; texts are read whole; an empty table on either side gives
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from tagloom.llm.common import discard, materialize, slices
 from tagloom.llm.fm_index import FmIndex
 
 WINDOW = 10
-SHARD_WORDS = 1 << 20
-SHARD_BYTES = 32_000_000
+SHARD_WORDS = 1 << 18
+SHARD_BYTES = 8_000_000
+SLICE = 1_000_000
 BLOCK_BYTES = 4_000_000
 #: ASCII letters are folded; every byte that is in no word becomes a space.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 WORD = re.compile(rb"[^ ]+")
 SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-SCHEMA = "doc_id bigint, n_words bigint, n_hit bigint, items array<bigint>, spans array<struct<start:bigint,end:bigint>>, cuts array<struct<start:bigint,end:bigint>>"
-FIELDS = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.int64())), ("spans", SPAN), ("cuts", SPAN)])
+SCHEMA = "doc_id bigint, row bigint, n_words bigint, n_hit bigint, items array<bigint>, spans array<struct<start:bigint,end:bigint>>, cuts array<struct<start:bigint,end:bigint>>"
+FIELDS = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.int64())), ("spans", SPAN), ("cuts", SPAN)])
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -83,12 +87,12 @@ class Shard:
         self.clear()
 
     def clear(self) -> None:
-        self.docs: list[tuple[int | None, int, bytes | None]] = []  # doc_id, number of words, text if it has stretches
+        self.docs: list[tuple[int | None, int, int, bytes | None]] = []  # doc_id, row key, number of words, text if it has stretches
         self.parts: list[np.ndarray] = []
         self.origin: list[tuple[int, int, int]] = []  # start in the indexed string, document, first word
         self.size = self.bytes = 0
 
-    def add(self, doc_id: int | None, text: bytes) -> None:
+    def add(self, doc_id: int | None, row: int, text: bytes) -> None:
         words = words_of(text)
         get = self.windows.codes.get
         coded = np.fromiter((get(w, 0) for w in words), np.int64, len(words))
@@ -98,7 +102,7 @@ class Shard:
             self.origin.append((self.size, len(self.docs), a))
             self.parts += [coded[a:b], np.zeros(1, np.int64)]
             self.size += b - a + 1
-        self.docs.append((doc_id, len(words), text if stretches else None))
+        self.docs.append((doc_id, row, len(words), text if stretches else None))
         self.bytes += 200 + len(text) * bool(stretches)
 
     def full(self) -> bool:
@@ -124,13 +128,13 @@ class Shard:
                     ends.setdefault(i, []).append(int(w[k]) + size)
                     items.setdefault(i, set()).update(owners[hit[which[k]]])
         rows = []
-        for i, (doc_id, n, text) in enumerate(self.docs):
+        for i, (doc_id, row, n, text) in enumerate(self.docs):
             if i not in starts:
-                rows.append((doc_id, n, 0, [], [], []))
+                rows.append((doc_id, row, n, 0, [], [], []))
                 continue
             a, b = merge_spans(np.array(starts[i]), np.array(ends[i]))
             told = [{"start": x, "end": y} for x, y in zip(a.tolist(), b.tolist(), strict=True)]
-            rows.append((doc_id, n, int((b - a).sum()), sorted(items[i]), told, char_spans(text, a, b)))
+            rows.append((doc_id, row, n, int((b - a).sum()), sorted(items[i]), told, char_spans(text, a, b)))
         self.clear()
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), FIELDS, strict=True)], schema=FIELDS)
 
@@ -142,55 +146,64 @@ def char_spans(text: bytes, starts: np.ndarray, ends: np.ndarray) -> list[dict[s
     return [{"start": int(points[a]) - 1, "end": int(points[b - 1])} for a, b in zip(at[starts, 0], at[ends - 1, 1], strict=True)]
 
 
-def find_in_block(spark: SparkSession, docs: DataFrame, windows: Windows) -> DataFrame:
-    shared = spark.sparkContext.broadcast(windows)
-
+def find_in_block(docs: DataFrame, shared: Broadcast) -> DataFrame:
     def each(batches):
         shard = Shard(shared.value)
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                shard.add(doc_id, text or b"")
+        for batch in (part for b in batches for part in slices(b, 2, SLICE)):
+            for doc_id, row, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                shard.add(doc_id, row, text or b"")
                 if shard.full():
                     yield shard.results()
         if shard.docs:
             yield shard.results()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(each, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), _row_key().alias("row"), F.col("text").cast("binary").alias("text")).mapInArrow(each, SCHEMA)
 
 
-def benchmark_blocks(benchmark: DataFrame, window: int = WINDOW) -> list[Windows]:
-    """The windows of the benchmark in blocks of about ``BLOCK_BYTES`` of text; rows are dealt by a hash of item_id and text."""
+def block_count(benchmark: DataFrame) -> int:
     total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-total // BLOCK_BYTES))
+    return max(1, -(-total // BLOCK_BYTES))
+
+
+def benchmark_blocks(benchmark: DataFrame, n: int, window: int = WINDOW) -> Iterator[Broadcast]:
+    """The windows of the benchmark, broadcast in ``n`` blocks of about ``BLOCK_BYTES`` of text; rows are dealt by a hash of item_id and text."""
+    share = benchmark.sparkSession.sparkContext.broadcast
     rows = benchmark.select(F.col("item_id").cast("long").alias("item"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
     block = F.pmod(F.xxhash64("item", "text"), F.lit(n))
-    return [Windows(sorted(((r.item, bytes(r.text)) for r in rows.where(block == k).toLocalIterator()), key=str), window) for k in range(n)]
+    for k in range(n):
+        yield share(Windows(sorted(((r.item, bytes(r.text)) for r in rows.where(block == k).toLocalIterator()), key=str), window))
 
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, items (ids of the items that occur), spans (hit words), cuts (code points)."""
-    spark = docs.sparkSession
-    blocks = benchmark_blocks(benchmark, window)
-    if len(blocks) == 1:
-        return find_in_block(spark, docs, blocks[0])
-    keyed = docs.select(_row_key().alias("doc_id"), "text").distinct()
-    parts = [find_in_block(spark, keyed, b).where("n_hit > 0") for b in blocks]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    merged = every.groupBy("doc_id").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        _merged(F.flatten(F.collect_list("spans"))).alias("spans"), _merged(F.flatten(F.collect_list("cuts"))).alias("cuts"),
-    )
-    own = docs.select(F.col("doc_id").cast("long"), _row_key().alias("__key"), _word_count(F.col("text")).alias("n_words"))
+    n = block_count(benchmark)
+    if n == 1:
+        return find_in_block(docs, next(benchmark_blocks(benchmark, 1, window))).drop("row")
+    merged = _hits_of_blocks(docs, benchmark, n, window)
+    own = docs.select(F.col("doc_id").cast("long"), _row_key().alias("row"), _word_count(F.col("text")).alias("n_words"))
     none = lambda c, t: F.coalesce(c, F.array().cast(t))
     pairs = "array<struct<start:bigint,end:bigint>>"
-    return own.join(merged.withColumnRenamed("doc_id", "__key"), "__key", "left").select(
+    return own.join(merged, own["doc_id"].eqNullSafe(merged["__doc"]) & (own["row"] == merged["__row"]), "left").select(
         "doc_id", "n_words", F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]), F.lit(0)).cast("long").alias("n_hit"),
         none(F.col("items"), "array<bigint>").alias("items"), none(F.col("spans"), pairs).alias("spans"), none(F.col("cuts"), pairs).alias("cuts"),
     )
 
 
+def _hits_of_blocks(docs: DataFrame, benchmark: DataFrame, n: int, window: int) -> DataFrame:
+    """__doc, __row, items, spans and cuts of the documents that any block hits; equal rows are searched once."""
+    keyed, every, parts = docs.select("doc_id", "text").distinct(), None, []
+    for shared in benchmark_blocks(benchmark, n, window):
+        parts.append(materialize(find_in_block(keyed, shared).where("n_hit > 0"), "benchmark-hits"))
+        shared.destroy()
+        every = parts[-1] if every is None else every.unionByName(parts[-1])
+    merged = every.groupBy("doc_id", "row").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), _merged(F.flatten(F.collect_list("spans"))).alias("spans"), _merged(F.flatten(F.collect_list("cuts"))).alias("cuts"),
+    )
+    told = materialize(merged.withColumnsRenamed({"doc_id": "__doc", "row": "__row"}), "benchmark-merged")
+    discard(*parts)
+    return told
+
+
 def _word_count(text: F.Column) -> F.Column:
     return F.coalesce(F.size(F.regexp_extract_all(F.lower(text), F.lit(r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"))), F.lit(0)).cast("long")
 
@@ -210,66 +223,60 @@ def _merged(spans: F.Column) -> F.Column:
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with every removal span cut out of ``text``.
 
-    Each block of the benchmark searches the whole text; the hit words go along in a column beside the
-    row, so that no text is shuffled, and after the last block the text is cut once.
+    Every block of the benchmark searches the whole text, and a text is cut once. Where one block is
+    enough, that is one pass beside the row; else the texts are joined with the merged spans of all blocks.
     """
-    blocks = benchmark_blocks(benchmark, window)
-    for k, windows in enumerate(blocks):
-        docs = _clean_block(docs, windows, first=k == 0, last=k == len(blocks) - 1)
-    return docs
+    n = block_count(benchmark)
+    if n == 1:
+        return _clean_in_one_pass(docs, next(benchmark_blocks(benchmark, 1, window)))
+    merged = _hits_of_blocks(docs, benchmark, n, window)
+    words = merged.select("__doc", "__row", F.col("spans").alias("__spans"))
+    keyed = docs.withColumn("__key", _row_key())
+    met = keyed.join(words, keyed["doc_id"].cast("long").eqNullSafe(words["__doc"]) & (keyed["__key"] == words["__row"]), "left")
+    names, at = docs.columns, docs.columns.index("text")
+
+    def each(batches):
+        for batch in (part for b in batches for part in slices(b, at, SLICE)):
+            texts = [t if not s else cut_text(t, word_cuts(t, s)) for t, s in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True)]
+            columns = list(batch.columns[: len(names)])
+            columns[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names)
 
+    return met.select(*(keyed[c] for c in names), "__spans").mapInArrow(each, docs.schema)
 
-HITS = "__hit_words"
 
+def word_cuts(text: str, spans: list[dict[str, int]]) -> list[dict[str, int]]:
+    """The cuts in code points of merged spans of words."""
+    return char_spans(text.encode(), np.array([s["start"] for s in spans]), np.array([s["end"] for s in spans]))
 
-def _clean_block(docs: DataFrame, windows: Windows, first: bool, last: bool) -> DataFrame:
-    """The block's hit words added to those of the blocks before, or, after the last block, the texts cut."""
-    shared = docs.sparkSession.sparkContext.broadcast(windows)
-    names = [c for c in docs.columns if first or c != HITS]
-    at = names.index("text")
-    schema = T.StructType([docs.schema[c] for c in names] + ([] if last else [T.StructField(HITS, T.ArrayType(T.LongType()))]))
+
+def _clean_in_one_pass(docs: DataFrame, shared: Broadcast) -> DataFrame:
+    names, at = docs.columns, docs.columns.index("text")
 
     def each(batches):
         shard, held = Shard(shared.value), []
 
         def flush():
-            found = shard.results()
-            spans, cuts = found.column("spans").to_pylist(), found.column("cuts").to_pylist()
+            cuts = shard.results().column("cuts").to_pylist()
             for part in held:
-                n = part.num_rows
-                own, own_cuts, spans, cuts = spans[:n], cuts[:n], spans[n:], cuts[n:]
-                before = [()] * n if first else part.column(len(names)).to_pylist()
-                columns = list(part.columns[: len(names)])
-                if last:
-                    texts = [
-                        cut_text(t, merged_cuts(t, b, s) if b else c) if b or c else t
-                        for t, b, s, c in zip(part.column(at).to_pylist(), before, own, own_cuts, strict=True)
-                    ]
-                    columns[at] = pa.array(texts, pa.string())
-                else:
-                    columns.append(pa.array([[*b, *(x for d in s for x in (d["start"], d["end"]))] for b, s in zip(before, own, strict=True)], pa.list_(pa.int64())))
-                yield pa.RecordBatch.from_arrays(columns, schema.names)
+                own, cuts = cuts[: part.num_rows], cuts[part.num_rows :]
+                columns = list(part.columns)
+                if any(own):
+                    columns[at] = pa.array([cut_text(t, c) if c else t for t, c in zip(part.column(at).to_pylist(), own, strict=True)], pa.string())
+                yield pa.RecordBatch.from_arrays(columns, names)
             held.clear()
 
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
+            for part in slices(batch, at, SLICE):
                 for text in part.column(at).cast(pa.binary()).to_pylist():
-                    shard.add(None, text or b"")
+                    shard.add(None, 0, text or b"")
                 held.append(part)
                 if shard.full() or sum(p.nbytes for p in held) > SHARD_BYTES:
                     yield from flush()
         if held:
             yield from flush()
 
-    return docs.mapInArrow(each, schema)
-
-
-def merged_cuts(text: str, before: list[int], spans: list[dict[str, int]]) -> list[dict[str, int]]:
-    """The cuts of hit words: starts and ends in turn from earlier blocks, and the spans of this one."""
-    starts = [*before[::2], *(s["start"] for s in spans)]
-    ends = [*before[1::2], *(s["end"] for s in spans)]
-    return char_spans(text.encode(), *merge_spans(np.array(starts), np.array(ends)))
+    return docs.mapInArrow(each, docs.schema)
 
 
 def cut_text(text: str, cuts: list[dict[str, int]]) -> str:
@@ -282,4 +289,5 @@ def cut_text(text: str, cuts: list[dict[str, int]]) -> str:
 
 
 def _row_key() -> F.Column:
-    return F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "text")
+    """Tells rows with equal doc_id apart by their text."""
+    return F.xxhash64("text")

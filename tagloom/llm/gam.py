@@ -25,10 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import labelled_sample
+from tagloom.llm.common import labelled_sample, slices
 from tagloom.llm.lines import DIGITS, LOWER, STOPS, SYMBOLS, UPPER, count, lines_with_words
 
 TRAIN_ROWS = 8000
+SLICE = 4_000_000
 BINS = 32
 PAIR_BINS = 8
 LEAVES = 3
@@ -192,7 +193,7 @@ def score(docs: DataFrame, model: Gam) -> DataFrame:
     """doc_id and score of each document."""
 
     def each(batches):
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b, 1, SLICE)):
             texts = batch.column(1).to_pylist()
             x = np.array([features(t or b"") for t in texts]) if texts else np.zeros((0, len(FEATURES)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x))], ["doc_id", "score"])

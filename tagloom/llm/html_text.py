@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tagloom.llm.common import slices
+
 # Names of HTML's elements by what a renderer does with them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -50,10 +52,13 @@ TOKEN = re.compile(
     r"|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<rest>(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|</?[A-Za-z][^>]*>",
     re.S,
 )
+UNENDED = re.compile(r"(?P<end>)(?P<name>(?!))?(?P<rest>)(?:<!--.*|<!\[CDATA\[.*|<[!?][^>]*)", re.S)
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 BLANKS = re.compile(r"[ \t\n\f\r]+")
 HIDES, UNSEES, SEES = (re.compile(p, re.I) for p in (r"(?:^|;)\s*display\s*:\s*none", r"(?:^|;)\s*visibility\s*:\s*(?:hidden|collapse)", r"(?:^|;)\s*visibility\s*:\s*visible"))
 MOST_COLUMNS = 1000  # what HTML allows a cell to span
+ZEROS, HUGE = re.compile(r"&#0+(?=[0-9])"), re.compile(r"&#[0-9]{8,};?")
+SLICE = 4_000_000
 
 
 class Node:
@@ -63,39 +68,47 @@ class Node:
         self.tag, self.attrs, self.children = tag, attrs or {}, []
 
 
+def unescape(text: str) -> str:
+    """Character references resolved; numbers beyond all characters become U+FFFD."""
+    if "&#" in text:
+        text = HUGE.sub("\ufffd", ZEROS.sub("&#", text))
+    return html.unescape(text)
+
+
 def attributes(rest: str) -> dict[str, str]:
     if not rest or rest.isspace():
         return {}
-    return {m[1].lower(): html.unescape(m[2].strip("\"'")) if m[2] else "" for m in ATTRIBUTE.finditer(rest)}
+    return {m[1].lower(): unescape(m[2].strip("\"'")) if m[2] else "" for m in ATTRIBUTE.finditer(rest)}
 
 
 def tree(page: str) -> Node:
     """The page's elements; text is in the children as str."""
     root = Node("#root")
     stack = [root]
-    opened: dict[str, int] = {}
+    opened: dict[str, list[int]] = {}  # places in the stack by tag
     at = 0
+    last_end = page.rfind(">")
 
     def enter(node: Node) -> None:
+        opened.setdefault(node.tag, []).append(len(stack))
         stack.append(node)
-        opened[node.tag] = opened.get(node.tag, 0) + 1
+
+    def nearest(*names: str) -> int:
+        """The place of the innermost open element of these names, 0 if there is none."""
+        return max((opened[n][-1] for n in names if opened.get(n)), default=0)
 
     def close_until(names, walls) -> None:
         """End the nearest open element of these names, and all inside it, if no wall is nearer."""
-        if not any(opened.get(n) for n in names):
-            return
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in names:
-                for n in stack[k:]:
-                    opened[n.tag] -= 1
-                del stack[k:]
-                return
-            if stack[k].tag in walls:
-                return
-
-    while m := TOKEN.search(page, at):
+        k = nearest(*names)
+        if k and k >= nearest(*walls):
+            for n in stack[k:]:
+                opened[n.tag].pop()
+            del stack[k:]
+
+    # behind the last ">" only a comment or the like can begin
+    while m := (TOKEN.search(page, at) if at <= last_end else UNENDED.search(page, at)):
         if m.start() > at:
-            stack[-1].children.append(html.unescape(page[at : m.start()]))
+            stack[-1].children.append(unescape(page[at : m.start()]))
         at = m.end()
         tag = m["name"]
         if tag is None:
@@ -117,7 +130,7 @@ def tree(page: str) -> Node:
             names, walls = ENDS[tag]
             close_until(names, walls)
             if tag in ("td", "th"):
-                if not any(n.tag == "tr" for n in stack[_last(stack, "table") :]):
+                if nearest("tr") <= nearest("table"):
                     row = Node("tr")
                     stack[-1].children.append(row)
                     enter(row)
@@ -125,7 +138,7 @@ def tree(page: str) -> Node:
                 close_until({"td", "th"}, {"table"})
         node = Node(tag, attributes(m["rest"]))
         stack[-1].children.append(node)
-        if tag in VOID or m["rest"].endswith("/") and (tag in ("svg", "math", "path") or _foreign(stack)):
+        if tag in VOID or m["rest"].endswith("/") and (tag in ("svg", "math", "path") or nearest("svg", "math") > nearest("foreignobject")):
             continue
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
@@ -133,25 +146,15 @@ def tree(page: str) -> Node:
             if tag == "xmp":
                 node.children.append(inner)
             elif tag == "textarea":
-                node.children.append(html.unescape(re.sub(r"\A\r?\n", "", inner)))
+                node.children.append(unescape(re.sub(r"\A\r?\n", "", inner)))
             at = end.end() if end else len(page)
             continue
         enter(node)
     if at < len(page):
-        stack[-1].children.append(html.unescape(page[at:]))
+        stack[-1].children.append(unescape(page[at:]))
     return root
 
 
-def _foreign(stack: list[Node]) -> bool:
-    """Whether the open element is one of a drawing or a formula, where a tag may end itself."""
-    tag = next((n.tag for n in reversed(stack) if n.tag in ("svg", "math", "foreignobject")), "")
-    return tag in ("svg", "math")
-
-
-def _last(stack: list[Node], tag: str) -> int:
-    return next((k for k in range(len(stack) - 1, -1, -1) if stack[k].tag == tag), 0)
-
-
 class Writer:
     """Lines of text with collapsed blanks, block breaks and indentation."""
 
@@ -251,7 +254,7 @@ class Table:
 
 def _span(node: Node, name: str) -> int:
     value = node.attrs.get(name, "1").strip()
-    return max(1, min(MOST_COLUMNS, int(value))) if value.isascii() and value.isdigit() else 1
+    return max(1, int(value) if len(value) < 5 and int(value) < MOST_COLUMNS else MOST_COLUMNS) if value.isascii() and value.isdigit() else 1
 
 
 def render(page: str) -> str:
@@ -321,7 +324,7 @@ def render(page: str) -> str:
             writers.append(Writer())
         elif tag in ("ul", "ol", "menu", "dir"):
             first = attrs.get("start", "1")
-            lists.append([int(first) if tag == "ol" and first.isascii() and first.isdigit() else 1] if tag == "ol" else [])
+            lists.append([int(first) if first.isascii() and first.isdigit() and len(first) < 10 else 1] if tag == "ol" else [])
         elif tag == "li":
             mark = "- "
             if lists and lists[-1]:
@@ -350,7 +353,7 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     schema = T.StructType([*(pages.schema[c] for c in kept), T.StructField("text", T.StringType())])
 
     def each(batches):
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b, len(kept), SLICE)):
             texts = [render(p or "") for p in batch.column(len(kept)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(texts, pa.string())], [*kept, "text"])
 

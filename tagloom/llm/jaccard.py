@@ -5,26 +5,35 @@ class, and links are sought between classes. The product runs block by block, a
 shingles that one hash partition holds, over rows that the size bounds leave. Linked sets of sizes
 n and m share at least 4 (n + m) / 9 members and differ in at most (n + m) / 9.
 
-1. Prefix. Under any common order of shingles, linked sets share one among the first
-   n - ceil(0.8 n) + 1 of each. Only these entries of the incidence matrix are dealt out, with their
-   place. The order puts shingles that many documents hold last (counted within bounded stretches of
-   the corpus and summed; the count only orders, so that being a lower bound costs time and no links).
-2. Product. Entries are dealt by shingle and sorted. For a shingle with few classes every pair whose
-   places leave room for the overlap becomes a candidate.
-3. Bound. Each class has a bitmap with the parity of its members' hashes. Two bitmaps differ in no
-   more bits than the sets do in members, so a pair whose bitmaps differ in more than (n + m) / 9
-   bits is discarded without a look at its texts. No link is lost by that.
+1. Prefix. Under any common order of shingles, the first n - ceil(0.8 n) + 1 members of a set are its
+   prefix. Only prefixes are dealt out as entries of the incidence matrix, with their place. The order
+   puts shingles that many documents hold last (counted within bounded stretches of the corpus and
+   summed; the count only orders, so that being a lower bound costs time and no links).
+2. Product. Entries are dealt by shingle and sorted, and a block is multiplied with itself: every pair
+   of classes that meet at a shingle with few classes, whose sizes and places allow a link, adds one to
+   the pair's overlap within the block. The blocks' overlaps are summed pair by pair.
+3. Bound. Members that two sets share lie in both prefixes or behind the end of the one that ends
+   first, so that a pair's overlap is at most the accumulated count, plus the shingles with many classes
+   in both prefixes, which the product passes on uncounted, plus max(ceil(0.8 n), ceil(0.8 m)) - 1.
+   Pairs for which this is below 4 (n + m) / 9 are discarded without a look at their texts.
 4. Check. What is left is checked on whole texts: intersection and union of the two sets.
 5. Hot shingles, with many classes. Sets that have a hot shingle in their prefix have all their cold
-   ones there, so a pair that shares a cold one is a candidate already, and any other differs in all
+   ones there, so a pair that shares a cold one is counted already, and any other differs in all
    its cold ones: it needs a look only where these are few. Each class is first paired with leaders
    of like size (those with the fewest cold shingles, by a hashed choice of its hot ones); what still
    is in different components after that is paired in full within the bounds, so that no link is
-   lost. Pairs in one component need no check, because the result is the components; copies are never
-   expanded into all pairs.
+   lost. Each class has a bitmap with the parity of its members' hashes; two bitmaps differ in no
+   more bits than the sets do in members, so such a pair whose bitmaps differ in more than (n + m) / 9
+   bits is discarded. Pairs in one component need no check, because the result is the components;
+   copies are never expanded into all pairs.
 
 Nothing of a hot shingle meets in one task: its entries are dealt over many blocks, leaders are found
-by aggregates, and full pairing goes through an equi-join that Spark may split.
+by aggregates, and full pairing goes through an equi-join on the shingle, the step of size and two
+blocks of classes. Tables that were written are deleted when their last reader is done. Texts are
+shuffled only where a fixed-size bitmap of the wanted documents lets them through.
+
+A class is named by 64 bits; among N different texts about N * N / 2**65 pairs are expected to share a
+name and would be taken for equal (3e-5 pairs at 3e7 texts, and one pair at 6e9).
 
 Defined results: null, empty and blank texts have an empty set and link with nothing; a text of
 fewer than five words has one shingle, all its words; a document with a null doc_id gets no
@@ -39,17 +48,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import materialize
+from tagloom.llm.common import discard, materialize, sieve, sifted, slices
 from tagloom.llm.components import components
 
 WIDTH = 5
 SHARE = 80  # of 100
-CHUNK = 1_000_000  # bytes of text hashed at a time
+CHUNK = 500_000  # bytes of text hashed at a time
 STRETCH = 4_000_000  # shingles counted together
 MOST_HOT = 400_000
 LEAST_HOT = 16
 SMALL_RUN = 24
 BLOCK_CLASSES = 4_000
+FULL_BLOCK = 1_000  # classes of one hot shingle that are paired with each other in one group
+SALTS = 16
 LEADERS = 4
 WORDS = 4  # of 64 bits, in the small bitmap that goes with each entry of a hot shingle
 SIZE_STEP = 1.25  # sizes of linked sets are at most one step apart
@@ -110,17 +121,6 @@ def shingle_sets(texts: list[bytes], width: int = WIDTH) -> list[np.ndarray]:
     return out
 
 
-def _slices(texts: list[bytes]):
-    start = total = 0
-    for i, t in enumerate(texts):
-        total += len(t)
-        if total >= CHUNK:
-            yield start, i + 1
-            start, total = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def class_of(s: np.ndarray) -> int:
     """A 64-bit name of a set, from two sums over its members and their number."""
     low, high = int(s.sum(dtype=np.uint64)), int(mix(s ^ BASE).sum(dtype=np.uint64))
@@ -167,8 +167,8 @@ def differing_bits(a: bytes, b: bytes) -> int:
     return (x ^ y).bit_count()
 
 
-def describe(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Classes (doc_id, n, cid, bits, words) of all documents, and counts of shingles (h, times) that recur within a stretch."""
+def describe(docs: DataFrame) -> DataFrame:
+    """The class of every document (times 0: doc_id, n, h the class's name, bits, words), and counts of shingles (h, times) that recur within a stretch."""
 
     def each(batches):
         seen: set[int] = set()
@@ -182,10 +182,9 @@ def describe(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             return _rows([None] * k, [None] * k, h[often].view(np.int64), times[often], [None] * k, [None] * k)
 
         for batch in batches:
-            texts = [t or b"" for t in batch.column(1).to_pylist()]
-            ns, cids, bits, words = [], [], [], []
-            for a, b in _slices(texts):
-                for s in shingle_sets(texts[a:b]):
+            for part in slices(batch, 1, CHUNK):
+                ns, cids, bits, words = [], [], [], []
+                for s in shingle_sets([t or b"" for t in part.column(1).to_pylist()]):
                     cid = class_of(s)
                     ns.append(len(s))
                     cids.append(cid)
@@ -195,18 +194,17 @@ def describe(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                         seen.add(cid)
                         held.append(s)
                         size += len(s)
+                yield _rows(part.column(0), ns, cids, [0] * len(ns), bits, words)
                 if size >= STRETCH:
                     yield frequent()
                     seen, held, size = set(), [], 0
-            yield _rows(batch.column(0), ns, cids, [0] * len(ns), bits, words)
         if held:
             yield frequent()
 
     def _rows(doc_id, n, h, times, bits, words):
         return pa.RecordBatch.from_arrays([pa.array(doc_id, pa.int64()), pa.array(n, pa.int64()), pa.array(h, pa.int64()), pa.array(times, pa.int64()), pa.array(bits, pa.binary()), pa.array(words, pa.list_(pa.int64()))], ["doc_id", "n", "h", "times", "bits", "words"])
 
-    both = materialize(_texts(docs).mapInArrow(each, "doc_id bigint, n bigint, h bigint, times bigint, bits binary, words array<bigint>"), "jaccard-classes")
-    return both.where("times = 0").select("doc_id", "n", F.col("h").alias("cid"), "bits", "words"), both.where("times > 0").select("h", "times")
+    return materialize(_texts(docs).mapInArrow(each, "doc_id bigint, n bigint, h bigint, times bigint, bits binary, words array<bigint>"), "jaccard-classes")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -243,10 +241,9 @@ def postings(spark: SparkSession, docs: DataFrame, hot: np.ndarray, order: np.nd
         blocks = np.maximum(1, -(-8 * times // BLOCK_CLASSES))
         seen: set[int] = set()
         for batch in batches:
-            texts = [t or b"" for t in batch.column(1).to_pylist()]
-            for a, b in _slices(texts):
+            for part in slices(batch, 1, CHUNK):
                 out: list[list[np.ndarray]] = [[] for _ in ENTRY]
-                for s in shingle_sets(texts[a:b]):
+                for s in shingle_sets([t or b"" for t in part.column(1).to_pylist()]):
                     if not len(s) or (cid := class_of(s)) in seen:
                         continue
                     seen.add(cid)
@@ -269,7 +266,11 @@ def postings(spark: SparkSession, docs: DataFrame, hot: np.ndarray, order: np.nd
 
 
 def product(entries: DataFrame) -> DataFrame:
-    """Candidates of each block (a < b, h null), and the entries of shingles with many classes (a: class, h: shingle, n, pos, cold)."""
+    """The product of each block with itself, and the entries of shingles with many classes.
+
+    Pairs (h null): a < b, their sizes n and m, and in ``shared`` how many shingles of this block they
+    were found to share. Entries: a (the class), h (the shingle), n, pos and cold.
+    """
 
     def run_rows(parted, k, h, cid, n, pos, cold):
         first = np.concatenate([[True], (k[1:] != k[:-1]) | (cid[1:] != cid[:-1])])
@@ -279,21 +280,32 @@ def product(entries: DataFrame) -> DataFrame:
         many = (size > SMALL_RUN) | (h[at] != 0) | np.isin(k[at], parted)
         big = np.repeat(many, size)
         n, pos = n.astype(np.int64), pos.astype(np.int64)
-        a, b = [], []
-        for m in range(2, SMALL_RUN + 1):
-            runs = at[(size == m) & ~many]
+        left, right = [], []
+        for width in range(2, SMALL_RUN + 1):
+            runs = at[(size == width) & ~many]
             if len(runs):
-                x, y = np.triu_indices(m, 1)
+                x, y = np.triu_indices(width, 1)
                 x, y = (runs[:, None] + x).ravel(), (runs[:, None] + y).ravel()
-                need = -(-4 * (n[x] + n[y]) // 9)
-                near = (n[x] - pos[x] >= need) & (n[y] - pos[y] >= need)
-                a.append(cid[x[near]])
-                b.append(cid[y[near]])
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-        pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-        none = pa.nulls(len(pair), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy()), none, *[none.cast(pa.int32())] * 3], NAMES)
-        yield pa.RecordBatch.from_arrays([pa.array(cid[big]), pa.nulls(int(big.sum()), pa.int64()), pa.array(np.where(h == 0, k, h)[big]), *(pa.array(x[big].astype(np.int32)) for x in (n, pos, cold))], NAMES)
+                # what both may share before this place, here and after it, against what a link needs
+                most = np.minimum(pos[x], pos[y]) + np.minimum(n[x] - pos[x], n[y] - pos[y])
+                near = 9 * most >= 4 * (n[x] + n[y])
+                left.append(x[near])
+                right.append(y[near])
+        left, right = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
+        swap = cid[left] > cid[right]
+        left, right = np.where(swap, right, left), np.where(swap, left, right)
+        order = np.lexsort((cid[right], cid[left]))
+        left, right = left[order], right[order]
+        new = np.ones(len(left), bool)
+        new[1:] = (cid[left[1:]] != cid[left[:-1]]) | (cid[right[1:]] != cid[right[:-1]])
+        start = np.flatnonzero(new)
+        shared = np.diff(np.append(start, len(left)))
+        left, right = left[start], right[start]
+        none, blank = pa.nulls(len(left), pa.int64()), pa.nulls(len(left), pa.int32())
+        small = lambda x: pa.array(x.astype(np.int32))
+        yield pa.RecordBatch.from_arrays([pa.array(cid[left]), pa.array(cid[right]), none, small(n[left]), small(n[right]), small(shared), blank, blank], NAMES)
+        none, blank = pa.nulls(int(big.sum()), pa.int64()), pa.nulls(int(big.sum()), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(cid[big]), none, pa.array(np.where(h == 0, k, h)[big]), small(n[big]), blank, blank, small(pos[big]), small(cold[big])], NAMES)
 
     def each(batches):
         tail = None
@@ -315,10 +327,21 @@ def product(entries: DataFrame) -> DataFrame:
         if tail is not None and len(tail[0]):
             yield from run_rows(parted, *tail)
 
-    return entries.repartition("k").sortWithinPartitions("k", "cid").mapInArrow(each, "a bigint, b bigint, h bigint, n int, pos int, cold int")
+    return entries.repartition("k").sortWithinPartitions("k", "cid").mapInArrow(each, "a bigint, b bigint, h bigint, n int, m int, shared int, pos int, cold int")
+
 
+NAMES = ["a", "b", "h", "n", "m", "shared", "pos", "cold"]
 
-NAMES = ["a", "b", "h", "n", "pos", "cold"]
+
+def counted(parts: DataFrame, entries: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose overlap, summed over the blocks, allows a link."""
+    pairs = parts.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.first("n").alias("n"), F.first("m").alias("m"))
+    uncounted = entries.groupBy("cid").agg(F.count("*").alias("more"))
+    of = lambda side: uncounted.select(F.col("cid").alias(side), F.col("more").alias(f"more_{side}"))
+    rest = F.expr(f"greatest(({SHARE}L * n + 99) div 100, ({SHARE}L * m + 99) div 100) - 1")
+    most = F.col("shared") + F.coalesce(F.least("more_a", "more_b"), F.lit(0)) + rest
+    told = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").withColumns({f"more_{x}": F.coalesce(f"more_{x}", F.lit(0)) for x in "ab"})
+    return told.where(9 * most >= 4 * (F.col("n") + F.col("m"))).select("a", "b")
 
 
 def within_bound(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -366,19 +389,20 @@ def check(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def class_texts(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(cid, text) of one document of each wanted class."""
+    """(cid, text) of one document of each wanted class. Only texts that the bitmap of wanted documents lets through are shuffled."""
     of = classes.where("n > 0 and doc_id is not null").join(wanted, "cid", "left_semi").groupBy("cid").agg(F.min("doc_id").alias("doc_id"))
-    met = _texts(docs).join(of, "doc_id").select("cid", "text")
+    of = materialize(of, "jaccard-wanted")
+    met = sifted(_texts(docs), "doc_id", sieve(of, "doc_id")).where("__may").drop("__may").join(of, "doc_id").select("cid", "text")
 
     def each(batches):
         for batch in batches:
-            cids, texts = batch.column(0).to_pylist(), [t or b"" for t in batch.column(1).to_pylist()]
-            own = []
-            for a, b in _slices(texts):
-                own += [class_of(s) for s in shingle_sets(texts[a:b])]
-            yield batch.filter(pa.array([x == y for x, y in zip(cids, own, strict=True)], pa.bool_()))
+            for part in slices(batch, 1, CHUNK):
+                own = [class_of(s) for s in shingle_sets([t or b"" for t in part.column(1).to_pylist()])]
+                yield part.filter(pa.array([x == y for x, y in zip(part.column(0).to_pylist(), own, strict=True)], pa.bool_()))
 
-    return met.mapInArrow(each, "cid bigint, text binary").dropDuplicates(["cid"])
+    texts = materialize(met.mapInArrow(each, "cid bigint, text binary").dropDuplicates(["cid"]), "jaccard-texts")
+    discard(of)
+    return texts
 
 
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -401,15 +425,24 @@ def leader_pairs(entries: DataFrame, labels: DataFrame, order: int) -> DataFrame
 
 
 def full_pairs(entries: DataFrame, labels: DataFrame, sketches: DataFrame) -> DataFrame:
-    """All pairs of classes in different components that meet at a hot shingle and that the bounds leave, that of the small bitmap included."""
+    """All pairs of classes in different components that meet at a hot shingle and that the bounds leave, that of the small bitmap included.
+
+    A link between sets that differ in all their cold shingles leaves each at most a quarter of its size cold.
+    """
     small = sketches.select("cid", *[F.col("words")[i].alias(f"w{i}") for i in range(WORDS)])
-    labelled = _labelled(entries, labels).join(small, "cid")
-    spread = labelled.groupBy("h").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("h")
-    rest = labelled.join(spread, "h", "left_semi")
-    other = rest.select("h", F.col("cid").alias("b"), F.col("n").alias("m"), F.col("pos").alias("place"), F.col("cold").alias("chill"), F.col("label").alias("to"), *[F.col(f"w{i}").alias(f"v{i}") for i in range(WORDS)])
+    labelled = _labelled(entries.where("4L * cold <= n"), labels)
+    spread = labelled.groupBy("h").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("times")).where("least <> most")
+    salt = lambda c: F.pmod(F.xxhash64(c), F.lit(SALTS))
+    spread = spread.select("h", F.ceil(F.col("times") / FULL_BLOCK).alias("blocks"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    rest = labelled.withColumn("salt", salt("cid")).join(spread, ["h", "salt"]).drop("salt").join(small, "cid")
+    rest = rest.withColumns({"step": F.floor(F.log("n") / F.log(F.lit(SIZE_STEP))), "block": F.pmod(F.xxhash64("cid", "h"), F.col("blocks"))})
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    one = rest.withColumn("other", every)
+    two = rest.withColumn("other", F.col("block")).drop("block").withColumn("block", every).withColumn("step", F.explode(F.array(*(F.col("step") + i for i in (-1, 0, 1)))))
+    two = two.select("h", "step", "block", "other", F.col("cid").alias("b"), F.col("n").alias("m"), F.col("pos").alias("place"), F.col("cold").alias("chill"), F.col("label").alias("to"), *[F.col(f"w{i}").alias(f"v{i}") for i in range(WORDS)])
     differ = " + ".join(f"bit_count(w{i} ^ v{i})" for i in range(WORDS))
     room = F.expr(f"9L * (n - pos) >= 4L * (n + m) and 9L * (m - place) >= 4L * (n + m) and 9L * (cold + chill) <= n + m and 9L * ({differ}) <= n + m")
-    return rest.join(other, "h").where("cid < b and label <> to").where(room).select(F.col("cid").alias("a"), "b").distinct()
+    return one.join(two, ["h", "step", "block", "other"]).where("cid < b and label <> to").where(room).select(F.col("cid").alias("a"), "b").distinct()
 
 
 def link_components(docs: DataFrame, classes: DataFrame, counts: DataFrame) -> DataFrame:
@@ -417,35 +450,45 @@ def link_components(docs: DataFrame, classes: DataFrame, counts: DataFrame) -> D
     spark = docs.sparkSession
     hot, order = hot_shingles(counts)
     found = materialize(product(postings(spark, docs, hot, order)), "jaccard-product")
-    candidates = found.where("h is null").select("a", "b").distinct()
-    entries = found.where("h is not null").select("h", F.col("a").alias("cid"), "n", "pos", "cold")
+    entries = materialize(found.where("h is not null").select("h", F.col("a").alias("cid"), "n", "pos", "cold").distinct(), "jaccard-hot")
+    pairs = materialize(counted(found.where("h is null"), entries), "jaccard-pairs")
+    discard(found)
     sketches = classes.where("n > 0").groupBy("cid").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("words").alias("words"))
-    pairs = materialize(within_bound(candidates, sketches), "jaccard-pairs")
     wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).union(entries.select("cid")).distinct()
-    texts = materialize(class_texts(docs, classes, wanted), "jaccard-texts")
-    edges = materialize(check(pairs, texts), "jaccard-links")
-    labels = components(edges)
-    if entries.limit(1).count():
-        entries = materialize(entries.distinct(), "jaccard-hot")
-        tested = pairs
+    texts = class_texts(docs, classes, wanted)
+    links, tested = [materialize(check(pairs, texts), "jaccard-links")], [pairs]
+    labels = components(links[0])
+    if not entries.isEmpty():
         for k in [*range(LEADERS), None]:
             more = full_pairs(entries, labels, sketches) if k is None else leader_pairs(entries, labels, k)
-            more = materialize(within_bound(more.join(tested, ["a", "b"], "left_anti"), sketches), f"jaccard-more-{k}")
-            if more.limit(1).count():
-                tested = tested.union(more)
-                edges = materialize(edges.union(check(more, texts)), f"jaccard-links-{k}")
-                labels = components(edges)
+            more = materialize(within_bound(more.join(_union(tested), ["a", "b"], "left_anti"), sketches), f"jaccard-more-{k}")
+            tested.append(more)
+            if not more.isEmpty():
+                links.append(materialize(check(more, texts), f"jaccard-links-{k}"))
+                discard(labels)
+                labels = components(_union(links))
+    discard(entries, texts, *links, *tested)
     return labels
 
 
+def _union(tables: list[DataFrame]) -> DataFrame:
+    every = tables[0]
+    for t in tables[1:]:
+        every = every.union(t)
+    return every
+
+
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of each document."""
-    classes, counts = describe(docs)
-    labels = link_components(docs, classes, counts)
+    described = describe(docs)
+    classes = described.where("times = 0").select("doc_id", "n", F.col("h").alias("cid"), "bits", "words")
+    labels = link_components(docs, classes, described.where("times > 0").select("h", "times"))
     heads = classes.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("head"))
     led = heads.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     least = led.groupBy("label").agg(F.min("head").alias("component"))
     ids = led.join(least, "label").select("cid", "component")
-    return classes.join(ids, "cid", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id")).alias("component_id")
-    )
+    own = F.when(F.col("doc_id").isNotNull(), F.col("component"))
+    told = classes.join(ids, "cid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, own).otherwise(F.col("doc_id")).alias("component_id"))
+    told = materialize(told, "jaccard-components")
+    discard(described, labels)
+    return told

@@ -7,7 +7,8 @@ found whatever stands around it. A passage that begins or ends in mid-line is be
 the shorter lines beside a long one. Windows without a word are passed over. Windows are
 hashed to 128 bits; of equal windows in the whole corpus the first (by doc_id, then by a hash of the
 text, then by position) stays, and the lines that later ones cover are removed, covered positions of
-a text being merged.
+a text being merged. Where a later window overlaps the first one in its text (the same line four times in
+a row), the lines that both cover go as well.
 
 Shuffled are 128-bit hashes with positions, once to find the first of each window (counts and
 minima are combined before the exchange, so that a window in a third of all texts is no burden) and
@@ -30,10 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagloom.llm.common import materialize
+from tagloom.llm.common import discard, materialize, slices
 
 WIDTH = 3
 LONG_LINE = 50
+SLICE = 4_000_000
 SPAN = "array<struct<pos:int,size:int>>"
 
 
@@ -67,7 +69,7 @@ def windows(docs: DataFrame, width: int = WIDTH, long_line: int = LONG_LINE) ->
     """One row for each window: its hash (a, b), its document (doc_id, row) and its place (pos, size)."""
 
     def each(batches):
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b, 2, SLICE)):
             digests, owners, places = [], [], []
             for k, text in enumerate(batch.column(2).to_pylist()):
                 lines = (text or b"").split(b"\n")
@@ -75,7 +77,7 @@ def windows(docs: DataFrame, width: int = WIDTH, long_line: int = LONG_LINE) ->
                     digests.append(hashlib.blake2b(b"\n".join(lines[i : i + size]), digest_size=16, person=b"%d" % size).digest())
                     owners.append(k)
                     places.append((i, size))
-                if len(digests) >= 200_000:
+                if len(digests) >= 50_000:
                     yield _window_rows(batch, digests, owners, places)
                     digests, owners, places = [], [], []
             if digests:
@@ -97,21 +99,23 @@ def covered(docs: DataFrame, width: int = WIDTH, long_line: int = LONG_LINE) ->
     place = F.struct("doc_id", "row", "pos")
     repeated = every.groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     later = every.join(repeated, ["a", "b"]).where(~place.eqNullSafe(F.col("first")))
-    return later.groupBy("doc_id", "row").agg(F.collect_set(F.struct("pos", "size")).alias("spans"))
+    told = materialize(later.groupBy("doc_id", "row").agg(F.collect_set(F.struct("pos", "size")).alias("spans")), "line-spans")
+    discard(every)
+    return told
 
 
 def dedup(docs: DataFrame, width: int = WIDTH, long_line: int = LONG_LINE) -> DataFrame:
     """``docs`` with the lines of repeated windows removed from ``text``, n_lines and n_removed."""
     docs = docs.drop("n_lines", "n_removed")
     names = docs.columns
-    spans = covered(docs, width, long_line).select(F.col("doc_id").alias("__doc"), F.col("row").alias("__row"), "spans")
+    spans = covered(docs, width, long_line).select(F.col("doc_id").alias("__doc"), F.col("row").alias("__row"), F.col("spans").alias("__spans"))
     keyed = docs.withColumn("__key", _key())
-    met = keyed.join(spans, keyed["doc_id"].cast("long").eqNullSafe(spans["__doc"]) & (keyed["__key"] == spans["__row"]), "left").select(*names, "spans")
+    met = keyed.join(spans, keyed["doc_id"].cast("long").eqNullSafe(spans["__doc"]) & (keyed["__key"] == spans["__row"]), "left").select(*(keyed[c] for c in names), "__spans")
     at = names.index("text")
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
 
     def each(batches):
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b, at, SLICE)):
             texts, totals, gone = [], [], []
             for text, cut in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
                 lines = text.split("\n") if text else []

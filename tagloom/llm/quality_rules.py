@@ -6,9 +6,12 @@ all lines together. A text is kept where the words in content lines make up at l
 the words inside 3-word windows that occur twice or more.
 
 The field's weights are learned by :func:`train` (gradient ascent on the conditional likelihood,
-with forward-backward sums). No table labels single lines, so a labelled text lends its quality to
-all of its lines. Training collects the features of all lines of at most ``TRAIN_ROWS`` texts, made
-in the tasks; scoring reads every text whole. Without labelled rows of both kinds, ``DEFAULT`` is used.
+with forward-backward sums). No table labels single lines, so line labels are found in turns with the
+weights: at first a labelled text lends its quality to all of its lines, and lines are judged one by
+one; then, ``ROUNDS`` times, each text's lines are labelled by Viterbi, under the condition that most of
+its words keep the text's own label, and the field is trained on these sequences. So a plain line in a
+bad text counts as content. Training collects the features of all lines of at most ``TRAIN_ROWS`` texts,
+made in the tasks; scoring reads every text whole. Without labelled rows of both kinds, ``DEFAULT`` is used.
 
 Defined results: a null, empty or blank text has no words and is not kept (base_failed); repeated
 rows give repeated results; ``isspace`` and ``split`` of bytes know the six blanks of the word rule
@@ -24,10 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import labelled_sample
+from tagloom.llm.common import labelled_sample, slices
 from tagloom.llm.lines import BLANK, LINE_FEATURES, SYMBOLS, line_features, lines_with_words
 
 TRAIN_ROWS = 1500
+SLICE = 4_000_000
+ROUNDS = 3
 MIN_WORDS = 50
 MIN_CONTENT = 0.5
 SCHEMA = "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_content_words bigint, base_failed boolean, kept boolean"
@@ -61,8 +66,10 @@ def viterbi(gain: list[float], stay: float) -> list[int]:
     return out[::-1]
 
 
-def train(chains: list[tuple[np.ndarray, int]], epochs: int = 150, rate: float = 0.5, shrink: float = 1e-3) -> Crf:
-    """Fit by gradient ascent. chains: (line features, the label that all lines take).
+def train(chains: list[tuple[np.ndarray, int | np.ndarray]], epochs: int = 150, rate: float = 0.5, shrink: float = 1e-3, linked: bool = True) -> Crf:
+    """Fit by gradient ascent. chains: (line features, the label that all lines take, or one for each line).
+
+    linked: whether neighbouring lines bear on each other; else ``stay`` is 0.
 
     Lines are laid out place by place, longer chains first, so that the chains that reach a place are
     the first ones there and nothing is padded. Classes are weighed alike, so that the rarer one counts.
@@ -76,9 +83,12 @@ def train(chains: list[tuple[np.ndarray, int]], epochs: int = 150, rate: float =
     for i, (f, _) in enumerate(chains):
         x[at[: len(f)] + i] = f
     chain = np.arange(at[-1]) - np.repeat(at[:-1], reach)
-    label = np.array([y for _, y in chains], float)
-    share = np.where(label > 0, 0.5 / max(1, label.sum()), 0.5 / max(1, len(chains) - label.sum())) / sizes
-    y, weight = label[chain], share[chain]
+    y = np.zeros(int(at[-1]))
+    for i, (f, label) in enumerate(chains):
+        y[at[: len(f)] + i] = label
+    good = np.array([np.mean(label) >= 0.5 for _, label in chains])
+    share = np.where(good, 0.5 / max(1, good.sum()), 0.5 / max(1, len(chains) - good.sum())) / sizes
+    weight = share[chain]
     ends = at[sizes - 1] + np.arange(len(chains))
     second = np.arange(at[1], at[-1])  # lines that follow one
     ahead = second - np.repeat(reach[:-1], reach[1:])  # the lines before them
@@ -99,12 +109,34 @@ def train(chains: list[tuple[np.ndarray, int]], epochs: int = 150, rate: float =
             b0[here] = np.logaddexp(c, d + stay)
         z = np.logaddexp(a0[ends], a1[ends])[chain]
         p = np.exp(a1 + b1 - z)
-        same = np.exp(a1[ahead] + stay + g[second] + b1[second] - z[second]) + np.exp(a0[ahead] + stay + b0[second] - z[second])
         w = w + rate * 10 * ((weight * (y - p)) @ x - shrink * w)
-        stay = min(3.0, stay + rate * ((weight[second] * (1 - same)).sum() - shrink * stay))
+        if not linked:
+            continue
+        alike = y[second] == y[ahead]
+        same = np.exp(a1[ahead] + stay + g[second] + b1[second] - z[second]) + np.exp(a0[ahead] + stay + b0[second] - z[second])
+        stay = min(3.0, stay + rate * ((weight[second] * (alike - same)).sum() - shrink * stay))
     return Crf(tuple(float(v) for v in w), float(stay))
 
 
+def line_labels(x: np.ndarray, words: np.ndarray, label: int, model: Crf) -> np.ndarray:
+    """The labels of a text's lines by Viterbi; the likeliest others take the text's ``label`` until most words have it."""
+    gain = x @ np.array(model.emission)
+    out = np.array(viterbi(gain.tolist(), model.stay))
+    for i in np.argsort(-gain if label else gain, kind="stable").tolist():
+        if 2 * words[out == label].sum() > words.sum():
+            break
+        out[i] = label
+    return out
+
+
+def learn(texts: list[tuple[np.ndarray, np.ndarray, int]], rounds: int = ROUNDS) -> Crf:
+    """Weights and line labels in turns. texts: features and words of the lines, and the text's label."""
+    model = train([(x, label) for x, _, label in texts], linked=False)
+    for _ in range(rounds):
+        model = train([(x, line_labels(x, words, label, model)) for x, words, label in texts])
+    return model
+
+
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Crf:
     """Learn from all lines of at most ``rows`` texts that ``labels.quality`` marks, outside the held-out fold."""
 
@@ -113,13 +145,13 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Crf:
             chains = []
             for text in batch.column(1).to_pylist():
                 lines = lines_with_words(text or b"")
-                chains.append(np.array([line_features(x, again, len(lines)) for x, again in lines]).tobytes())
+                chains.append(np.array([[*line_features(x, again, len(lines)), len(x.split())] for x, again in lines]).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(chains, pa.binary())], ["label", "features"])
 
     sample = labelled_sample(docs, labels, "quality", rows).orderBy("doc_id")
     told = sample.select(F.col("label").cast("int"), F.col("text").cast("binary")).mapInArrow(each, "label int, features binary")
-    chains = [(np.frombuffer(r.features).reshape(-1, len(LINE_FEATURES)), r.label) for r in told.toLocalIterator() if r.features]
-    return train(chains) if len({label for _, label in chains}) == 2 else DEFAULT
+    rows = [(np.frombuffer(r.features).reshape(-1, len(LINE_FEATURES) + 1), r.label) for r in told.toLocalIterator() if r.features]
+    return learn([(x[:, :-1], x[:, -1], label) for x, label in rows]) if len({label for _, label in rows}) == 2 else DEFAULT
 
 
 def repeated_window_words(words: list[bytes], width: int = 3) -> int:
@@ -164,7 +196,7 @@ def judge(docs: DataFrame, model: Crf = DEFAULT, min_content: float = MIN_CONTEN
     """One row for each document: its counts, the words in content lines, and whether it is kept."""
 
     def each(batches):
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b, 1, SLICE)):
             out = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 n, chars, symbols, dups, repeats = text_counts(text or b"")
@@ -186,7 +218,7 @@ def keep_documents(docs: DataFrame, model: Crf = DEFAULT, min_content: float = M
     at = names.index("text")
 
     def each(batches):
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b, at, SLICE)):
             keep = []
             for text in batch.column(at).cast(pa.binary()).to_pylist():
                 text = text or b""

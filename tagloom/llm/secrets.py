@@ -23,12 +23,16 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tagloom.llm.common import slices
+
+SLICE = 4_000_000
 KINDS = ("assign", "access", "hex", "entropy")
 # The patterns of the base kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -124,7 +128,14 @@ def merged(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
 def spans_of(text: str, allow: list[re.Pattern]) -> list[tuple[str, int, int]]:
     """All spans by start, then by kind as listed."""
     base = base_spans(text)
-    more = [s for s in entropy_spans(text, allow) if all(s[2] <= b[1] or s[1] >= b[2] for b in base)]
+    taken = merged([("base", a, b) for _, a, b in base])
+    ends = [b for _, _, b in taken]
+
+    def free(start: int, end: int) -> bool:
+        k = bisect_right(ends, start)  # the first base span that ends behind the start
+        return k == len(taken) or taken[k][1] >= end
+
+    more = [s for s in entropy_spans(text, allow) if free(*s[1:])]
     return sorted(base + merged(more), key=lambda s: (s[1], KINDS.index(s[0])))
 
 
@@ -133,7 +144,7 @@ def scan(docs: DataFrame, allow: tuple[str, ...] = DEFAULT_ALLOW) -> DataFrame:
 
     def each(batches):
         patterns = [re.compile(p) for p in allow]
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b, 1, SLICE)):
             spans = [[dict(zip(("kind", "start", "end"), s, strict=True)) for s in spans_of(t or "", patterns)] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.list_(SPAN))], ["doc_id", "spans"])
 

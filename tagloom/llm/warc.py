@@ -19,7 +19,8 @@ alone, and payloads are joined to their verdict once.
 
 Defined results: null html is an empty payload; a null url is written as an empty URI; repeated
 page_ids each get a record of their own (among equal payloads the smallest page_id, then the smallest
-url, is the response, and rows that agree in both are all responses); bytes after a broken record in a file are not reached and not returned; an empty table writes
+url, is the response; of rows that agree in both, any one, and the rest revisit it); a null page_id is
+smallest only where all are null; bytes after a broken record in a file are not reached and not returned; an empty table writes
 and reads nothing.
 """
 
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import materialize, new_path
+from tagloom.llm.common import discard, materialize, new_path
 
 MAGIC = "WARC/1.0\r\n"
 END = "\r\n\r\n"
@@ -53,14 +54,22 @@ def plan_records(pages: DataFrame) -> DataFrame:
     )
     rows = rows.withColumns({"digest": F.sha2(F.col("payload").cast("binary"), 256), "payload_bytes": F.octet_length("payload").cast("long")})
     light = materialize(rows.where(F.col("payload_bytes") >= MIN_REVISIT).select("page_id", "url", "digest"), "warc-digests")
-    shared = light.groupBy("digest").agg(F.min(F.struct("page_id", "url")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    revisits = (
-        light.join(shared, "digest").where(~F.struct("page_id", "url").eqNullSafe(F.col("first")))
-        .groupBy("page_id", "url", "digest").agg(F.first("first.page_id").alias("first_id"))
-        .select("page_id", "url", "digest", "first_id", F.lit(True).alias("again"))
+    place = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "url")
+    shared = light.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+    copies = (
+        light.join(shared, "digest").groupBy("page_id", "url", "digest").agg(F.first("first").alias("first"))
+        .select(_id_text(), "url", "digest", F.col("first.page_id").alias("first_id"), (~place.eqNullSafe(F.col("first"))).alias("later"))
     )
-    keys = [rows[k].eqNullSafe(revisits[k]) for k in ("page_id", "url", "digest")]
-    return rows.join(revisits, keys[0] & keys[1] & keys[2], "left").select(rows["*"], "first_id", F.coalesce("again", F.lit(False)).alias("revisit"))
+    keys = ["__id", "url", "digest"]
+    met = rows.withColumn("__id", _id_text()).join(copies, keys, "left")
+    # rows that agree in all three keys: the join has brought them together already
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(1)))
+    told = met.withColumn("revisit", F.coalesce(F.col("later") | (F.col("later").isNotNull() & (nth > 1)), F.lit(False)))
+    return told.withColumn("first_id", F.when(F.col("revisit"), F.col("first_id"))).drop("later", "__id")
+
+
+def _id_text() -> F.Column:
+    return F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("__id")
 
 
 def _uuid(page_id: F.Column, url: F.Column) -> F.Column:
@@ -139,15 +148,20 @@ def reachable(links: DataFrame, starts: DataFrame) -> DataFrame:
     """
     jumps, reached, k = links.select("file", "offset", "next"), starts.select("file", "offset"), 0
     known = reached.count()
+    old: list[DataFrame] = []
     while True:
-        grown = reached.join(jumps, ["file", "offset"]).select("file", F.col("next").alias("offset"))
+        grown = reached.join(jumps.hint("merge"), ["file", "offset"]).select("file", F.col("next").alias("offset"))
         reached = materialize(reached.unionByName(grown).distinct(), f"warc-reached-{k}")
         now = reached.count()
+        discard(*old[:1])
         if now == known:
+            discard(*old[1:])
             return reached
         known, k = now, k + 1
         after = jumps.select("file", F.col("offset").alias("next"), F.col("next").alias("then"))
-        jumps = materialize(jumps.join(after, ["file", "next"]).select("file", "offset", F.col("then").alias("next")), f"warc-jumps-{k}")
+        jumps = materialize(jumps.join(after.hint("merge"), ["file", "next"]).select("file", "offset", F.col("then").alias("next")), f"warc-jumps-{k}")
+        discard(*old[1:])
+        old = [reached, jumps]
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -167,7 +181,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     several = (
         got.where("not whole").groupBy("file", "owner", "owner_next")
         .agg(F.array_sort(F.collect_list(piece)).alias("all"), F.sum("size").alias("size")).where("owner + size >= owner_next")
-        .select("file", "owner", F.col("all")[0]["head"].alias("head"), F.aggregate("all", F.lit(b""), lambda x, y: F.concat(x, y["bytes"])).alias("bytes"))
+        .select("file", "owner", F.col("all")[0]["head"].alias("head"), F.unhex(F.array_join(F.transform("all", lambda x: F.hex(x["bytes"])), "")).alias("bytes"))
         .select("file", "owner", "head", body(F.col("bytes"), F.octet_length("bytes") - len(END)).alias("payload"))
     )
     return single.unionByName(several).select("file", F.col("owner").alias("offset"), F.col("head").cast("string").alias("head"), "payload")
@@ -192,7 +206,7 @@ def fields(records: DataFrame) -> DataFrame:
 
     A response's bytes and digest are those of the payload as read; a revisit bears them in its header.
     """
-    line = lambda name: F.regexp_extract("head", rf"(?m)^{name}: ?([^\r\n]*)", 1)
+    line = lambda name: F.regexp_extract("head", rf"(?md)^{name}: ?([^\r\n]*)", 1)
     revisit = line("WARC-Type") == "revisit"
     number = lambda name: F.nullif(line(name), F.lit("")).try_cast("bigint")
     return records.select(
