@@ -3,7 +3,8 @@
 Every stage takes (spark, docs, sf_dir), works on all rows that the stage before it kept, and returns
 the columns of ``documents``; the last adds n_tokens, ids (little-endian unsigned 32-bit integers)
 and round_trip (whether decoding the ids gives the text back). Rows that share a doc_id share a
-verdict; null texts are rejected by the first stage.
+verdict; null and empty texts are rejected by the first stage, a null doc_id is kept as it is and has no
+near duplicate; columns other than those of ``documents`` are dropped; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.llm import bpe, decontaminate, jaccard, line_dedup, quality_rules
-from tagloom.llm.common import materialize, table
+from tagloom.llm.common import materialize, table, without
 from tagloom.llm.queries import vocabulary_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -39,7 +40,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document, the one of the smallest doc_id, for each group of linked documents."""
     found = jaccard.join(docs)
     goes = found.groupBy("doc_id").agg(F.max("component_id").alias("head")).where("head < doc_id").select("doc_id")
-    return _documents(docs.join(goes, "doc_id", "left_anti"))
+    return _documents(without(docs, goes, "doc_id"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
