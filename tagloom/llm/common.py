@@ -88,6 +88,13 @@ def sifted(rows: DataFrame, key: str, bitmap: DataFrame, bits: int = SIEVE_BITS)
     return met.withColumn("__may", F.coalesce(F.expr("getbit(__held, cast(__bit % 64 as int)) = 1"), F.lit(False))).drop("__word", "__bit", "__held")
 
 
+def without(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """``rows`` whose ``key`` is none of ``ids`` (a table of that one column); only rows that the ids' bitmap lets through are shuffled."""
+    met = sifted(rows, key, sieve(ids, key))
+    some = met.where("__may").join(ids.hint("merge"), key, "left_anti")
+    return met.where("not __may").unionByName(some).drop("__may")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

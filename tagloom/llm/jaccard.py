@@ -57,7 +57,7 @@ CHUNK = 500_000  # bytes of text hashed at a time
 STRETCH = 4_000_000  # shingles counted together
 MOST_HOT = 400_000
 LEAST_HOT = 16
-SMALL_RUN = 24
+SMALL_RUN = 128
 BLOCK_CLASSES = 4_000
 FULL_BLOCK = 1_000  # classes of one hot shingle that are paired with each other in one group
 SALTS = 16
@@ -281,16 +281,15 @@ def product(entries: DataFrame) -> DataFrame:
         big = np.repeat(many, size)
         n, pos = n.astype(np.int64), pos.astype(np.int64)
         left, right = [], []
-        for width in range(2, SMALL_RUN + 1):
+        for width in np.unique(size[~many]).tolist():
             runs = at[(size == width) & ~many]
-            if len(runs):
-                x, y = np.triu_indices(width, 1)
-                x, y = (runs[:, None] + x).ravel(), (runs[:, None] + y).ravel()
-                # what both may share before this place, here and after it, against what a link needs
-                most = np.minimum(pos[x], pos[y]) + np.minimum(n[x] - pos[x], n[y] - pos[y])
-                near = 9 * most >= 4 * (n[x] + n[y])
-                left.append(x[near])
-                right.append(y[near])
+            x, y = np.triu_indices(width, 1)
+            x, y = (runs[:, None] + x).ravel(), (runs[:, None] + y).ravel()
+            # what both may share before this place, here and after it, against what a link needs
+            most = np.minimum(pos[x], pos[y]) + np.minimum(n[x] - pos[x], n[y] - pos[y])
+            near = 9 * most >= 4 * (n[x] + n[y])
+            left.append(x[near])
+            right.append(y[near])
         left, right = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
         swap = cid[left] > cid[right]
         left, right = np.where(swap, right, left), np.where(swap, left, right)
@@ -360,7 +359,9 @@ def within_bound(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
 
 
 def check(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes that link, decided on the texts (cid, text) of both."""
+    """The pairs (a, b) of classes that link, decided on the texts (cid, text) of both. Only texts that a pair may need are shuffled."""
+    ids = pairs.select(F.col("a").alias("cid")).union(pairs.select("b"))
+    texts = sifted(texts, "cid", sieve(ids, "cid")).where("__may").drop("__may")
     left = texts.select(F.col("cid").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("cid").alias("b"), F.col("text").alias("tb"))
 
@@ -392,7 +393,9 @@ def class_texts(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataF
     """(cid, text) of one document of each wanted class. Only texts that the bitmap of wanted documents lets through are shuffled."""
     of = classes.where("n > 0 and doc_id is not null").join(wanted, "cid", "left_semi").groupBy("cid").agg(F.min("doc_id").alias("doc_id"))
     of = materialize(of, "jaccard-wanted")
-    met = sifted(_texts(docs), "doc_id", sieve(of, "doc_id")).where("__may").drop("__may").join(of, "doc_id").select("cid", "text")
+    met = sifted(_texts(docs), "doc_id", sieve(of, "doc_id")).where("__may").drop("__may").join(of.hint("merge"), "doc_id")
+    # repeated rows of one doc_id and text lie together already; a second text of the same class would only repeat links
+    met = met.withColumn("own", F.xxhash64("text")).dropDuplicates(["doc_id", "cid", "own"]).select("cid", "text")
 
     def each(batches):
         for batch in batches:
@@ -400,7 +403,7 @@ def class_texts(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataF
                 own = [class_of(s) for s in shingle_sets([t or b"" for t in part.column(1).to_pylist()])]
                 yield part.filter(pa.array([x == y for x, y in zip(part.column(0).to_pylist(), own, strict=True)], pa.bool_()))
 
-    texts = materialize(met.mapInArrow(each, "cid bigint, text binary").dropDuplicates(["cid"]), "jaccard-texts")
+    texts = materialize(met.mapInArrow(each, "cid bigint, text binary"), "jaccard-texts")
     discard(of)
     return texts
 
@@ -453,12 +456,14 @@ def link_components(docs: DataFrame, classes: DataFrame, counts: DataFrame) -> D
     entries = materialize(found.where("h is not null").select("h", F.col("a").alias("cid"), "n", "pos", "cold").distinct(), "jaccard-hot")
     pairs = materialize(counted(found.where("h is null"), entries), "jaccard-pairs")
     discard(found)
-    sketches = classes.where("n > 0").groupBy("cid").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("words").alias("words"))
     wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).union(entries.select("cid")).distinct()
     texts = class_texts(docs, classes, wanted)
     links, tested = [materialize(check(pairs, texts), "jaccard-links")], [pairs]
     labels = components(links[0])
     if not entries.isEmpty():
+        hot_ids = entries.select("cid").distinct()
+        sketches = sifted(classes.where("n > 0").drop("doc_id"), "cid", sieve(hot_ids, "cid")).where("__may").join(hot_ids, "cid", "left_semi")
+        sketches = materialize(sketches.groupBy("cid").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("words").alias("words")), "jaccard-sketches")
         for k in [*range(LEADERS), None]:
             more = full_pairs(entries, labels, sketches) if k is None else leader_pairs(entries, labels, k)
             more = materialize(within_bound(more.join(_union(tested), ["a", "b"], "left_anti"), sketches), f"jaccard-more-{k}")
@@ -467,6 +472,7 @@ def link_components(docs: DataFrame, classes: DataFrame, counts: DataFrame) -> D
                 links.append(materialize(check(more, texts), f"jaccard-links-{k}"))
                 discard(labels)
                 labels = components(_union(links))
+        discard(sketches)
     discard(entries, texts, *links, *tested)
     return labels
 

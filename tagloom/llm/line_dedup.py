@@ -13,12 +13,13 @@ a row), the lines that both cover go as well.
 Shuffled are 128-bit hashes with positions, once to find the first of each window (counts and
 minima are combined before the exchange, so that a window in a third of all texts is no burden) and
 once for the join that names the later ones, a plain equi-join that Spark may split where it is
-skewed; and then the texts once, to meet their covered positions.
+skewed; and then the texts, to meet their covered positions, but only those that a bitmap of fixed size
+does not tell to have none.
 
 Defined results: a null text stays null, an empty one empty; a null doc_id sorts first; rows equal in
 doc_id and text count as one document and get the same result; a text that loses all its lines
 becomes empty; an empty table gives an empty result; other columns stay, and those that bear the names
-of new ones are replaced.
+of new ones are replaced (names that begin with two underscores are reserved).
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagloom.llm.common import discard, materialize, slices
+from tagloom.llm.common import discard, materialize, sieve, sifted, slices
 
 WIDTH = 3
 LONG_LINE = 50
@@ -109,8 +110,10 @@ def dedup(docs: DataFrame, width: int = WIDTH, long_line: int = LONG_LINE) -> Da
     docs = docs.drop("n_lines", "n_removed")
     names = docs.columns
     spans = covered(docs, width, long_line).select(F.col("doc_id").alias("__doc"), F.col("row").alias("__row"), F.col("spans").alias("__spans"))
-    keyed = docs.withColumn("__key", _key())
-    met = keyed.join(spans, keyed["doc_id"].cast("long").eqNullSafe(spans["__doc"]) & (keyed["__key"] == spans["__row"]), "left").select(*(keyed[c] for c in names), "__spans")
+    keyed = sifted(docs.withColumns({"__id": F.col("doc_id").cast("long"), "__key": _key()}), "__id", sieve(spans, "__doc"))
+    may, rest = keyed.where("__may"), keyed.where("not __may")
+    met = may.join(spans.hint("merge"), may["__id"].eqNullSafe(spans["__doc"]) & (may["__key"] == spans["__row"]), "left").select(*(may[c] for c in names), "__spans")
+    met = met.unionByName(rest.select(*names, F.lit(None).cast(SPAN).alias("__spans")))
     at = names.index("text")
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
 

@@ -60,9 +60,8 @@ def test_decontamination(spark, monkeypatch, block_bytes):
         text = dict(rows)[i]
         if hit:
             assert decontaminate.cut_text(text, [c.asDict() for c in got[i].cuts]) == helpers.cut(text, hit)
-    if block_bytes > 1000:
-        clean = {r.doc_id: r.text for r in decontaminate.clean(docs(spark, rows), b).collect()}
-        assert clean == {i: helpers.cut(t, want[i][1]) if want[i][1] else t for i, t in rows}
+    clean = {r.doc_id: r.text for r in decontaminate.clean(docs(spark, rows), b).collect()}
+    assert clean == {i: helpers.cut(t, want[i][1]) if want[i][1] else t for i, t in rows}
 
 
 @pytest.mark.parametrize("block_bytes", [4_000_000, 150, 40])
@@ -131,6 +130,13 @@ def test_line_dedup(spark):
     assert sorted((str(r.doc_id), r.text) for r in twice) == [("1", ""), ("1", ""), ("2", ""), ("None", "a\nb\nc")]
 
 
+def test_line_dedup_columns_and_overlaps(spark):
+    d = docs(spark, [(1, "a\na\na\na"), (2, "x\ny\nz"), (3, "q\nx\ny\nz\nr")]).withColumns({c: F.lit(7) for c in ("spans", "row", "pos")})
+    got = line_dedup.dedup(d)
+    assert got.columns == [*d.columns, "n_lines", "n_removed"]
+    assert {r.doc_id: (r.text, r.n_removed, r.spans, r.row) for r in got.collect()} == {1: ("a", 3, 7, 7), 2: ("x\ny\nz", 0, 7, 7), 3: ("q\nr", 3, 7, 7)}
+
+
 def test_line_dedup_of_two_line_passages(spark):
     passage = "\n".join(" ".join(f"{c}{k}" for k in range(26)) for c in "pq")  # 52 words
     short = "\n".join(" ".join(f"{c}{k}" for k in range(25)) for c in "rs")  # 50 words
@@ -165,6 +171,15 @@ def test_warc(spark, compression):
         assert (got[i].payload_bytes, got[i].payload_digest, got[i].record_type, got[i].refers_to) == (len(raw), hashlib.sha256(raw).hexdigest(), "revisit" if again else "response", first[h] if again else None), i
 
 
+def test_warc_repeated_and_null_ids(spark):
+    copy = "c" * 120
+    pages = [(5, "u", copy), (5, "u", copy), (5, "t", copy), (None, "a", copy), (7, "u", copy), (None, "n", "d" * 150), (None, "n", "d" * 150)]
+    pages += [(1, "a\u2028X-Page-ID: 77\u0085b", "x"), (2, "v", "WARC/1.0\r\n" * 3000)]
+    got = warc.round_trip(spark.createDataFrame(pages, PAGE)).collect()
+    told = Counter((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in got)
+    assert told == Counter({(5, 120, "response", None): 1, (5, 120, "revisit", 5): 2, (None, 120, "revisit", 5): 1, (7, 120, "revisit", 5): 1, (None, 150, "response", None): 1, (None, 150, "revisit", None): 1, (1, 1, "response", None): 1, (2, 30_000, "response", None): 1})
+
+
 def test_warc_edges(spark, tmp_path):
     assert warc.round_trip(spark.createDataFrame([], PAGE)).count() == 0
     head = "WARC/1.0\r\nWARC-Type: response\r\nX-Page-ID: {}\r\nContent-Length: {}\r\n\r\n"

@@ -4,12 +4,13 @@ import hashlib
 import itertools
 import math
 import random
+import time
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from tagloom.llm import gam, html_text, quality_rules, secrets
+from tagloom.llm import common, gam, html_text, quality_rules, secrets, sharding
 from tagloom.llm.common import held_out, table
 from tagloom.llm.queries import op7_quality_classifier, op8_quality_rules
 from tests.llm.helpers import docs
@@ -214,3 +215,40 @@ def test_html_depth_and_table(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a", "old"), (1, "u", "<p>a", "old"), (None, None, None, None)], "page_id bigint, url string, html string, text string")
     got = sorted((str(r.page_id), r.text) for r in html_text.extract(pages).collect())
     assert got == [("1", "a"), ("1", "a"), ("None", "")] and html_text.extract(pages.limit(0)).columns == ["page_id", "url", "text"]
+
+
+def test_hostile_pages_end_in_time():
+    big = "1" * 5000
+    assert html_text.render(f"<table><tr><td colspan={big}>a<td>b</table>") == "a  b"
+    assert html_text.render(f"<ol start={big}><li>x</ol>&#{big};&#00065;") == "1. x\n\n\ufffdA"
+    start = time.monotonic()
+    assert html_text.render("<a " * 40_000) == ("<a " * 40_000).strip()
+    assert html_text.render("x<!-- " + "<a " * 40_000) == "x"
+    assert html_text.render("<p><button>" + "<span><div>" * 20_000 + "in") == "in"
+    keys = " ".join(f"token = secretvalue{i} 4f9Qz7LmX2{i:06d}aBcDeF" for i in range(10_000))
+    assert len(secrets.spans_of(keys, [])) >= 10_000
+    assert time.monotonic() - start < 20
+
+
+def test_training_rows_are_bounded(spark):
+    d = docs(spark, [(i % 7, f"text {i}") for i in range(700)])
+    labels = spark.createDataFrame([(i % 7, 1, 0) for i in range(70)], "doc_id bigint, quality int, toxic int")
+    assert common.labelled_sample(d, labels, "quality", 3).count() <= 3
+
+
+def test_lines_of_a_text_may_differ(spark):
+    """Plain lines of bad texts are content once the lines' own labels are found."""
+    plain = lambda i: "\n".join(f"The {i}th of all plain lines, number {k}, as ever." for k in range(12))
+    junk = lambda i: "\n".join(f"### |||| $$$$ #### {i} {k} %%%% ||||" for k in range(20))
+    rows = [(i, plain(i) if i % 2 else plain(i) + "\n" + junk(i)) for i in range(80)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i, _ in rows], "doc_id bigint, quality int, toxic int")
+    m = quality_rules.fit(docs(spark, rows), labels)
+    mixed = rows[0][1].encode()
+    assert quality_rules.content_words(mixed, m) == len(plain(0).split())
+    assert quality_rules.content_words(rows[1][1].encode(), m) == len(rows[1][1].split())
+
+
+def test_shards_of_any_ids(spark):
+    ids = [-(1 << 63), (1 << 63) - 1, None, 0, -(1 << 62), 1 << 62] * 5
+    got = sharding.shard(docs(spark, [(i, "same text") for i in ids]), 4, tolerance=0.0).collect()
+    assert len(got) == 30 and sorted((r.shard, r.slot) for r in got) == [(s, k) for s in sorted({r.shard for r in got}) for k in range(sum(r.shard == s for r in got))]
