@@ -41,7 +41,7 @@ from tagloom.llm.common import slices
 MAX_FILE = 64_000_000
 CACHE_BYTES = 64_000_000
 ENTRY_BYTES = 200  # of a cached string, its ids and their place, beside their characters
-SLICE = 500_000
+SLICE = 2_000_000
 MATRIX_ROWS = 4_000
 SHORT = 48  # bytes; longer words are merged one by one
 NEVER = np.int64(1 << 40)
