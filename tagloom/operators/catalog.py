@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.functions.geometry import area, box
-from tagloom.functions.text import digit_runs, ean_check_digit, ean_ok
+from tagloom.functions.text import digit_runs, ean_ok
 
 
 def first_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -25,7 +25,10 @@ def hybrid(base: DataFrame, priced: DataFrame | None, default_source: str = "db_
 def exact_match(tags: DataFrame, catalog: DataFrame, pos: str = "pos") -> DataFrame:
     """``tags`` with catalog_name, catalog_price and catalog_card_price of the last catalog row of their barcode (12 digits or more)."""
     last = first_by(catalog.where(F.length("barcode") >= 12), ["barcode"], F.col(pos).desc())
-    return tags.join(last.select("barcode", F.col("name").alias("catalog_name"), F.col("price").alias("catalog_price"), F.col("card_price").alias("catalog_card_price")), "barcode", "left")
+    last = last.select("barcode", F.col("name").alias("catalog_name"), F.col("price").alias("catalog_price"), F.col("card_price").alias("catalog_card_price"))
+    # blank barcodes match nothing: they go past the join, where they would be one hot key
+    coded, blank = tags.where("barcode <> ''"), tags.where("barcode is null or barcode = ''")
+    return coded.join(last, "barcode", "left").unionByName(blank, allowMissingColumns=True)
 
 
 def clear_repeated(tags: DataFrame, keys: list[str]) -> DataFrame:
@@ -44,10 +47,11 @@ def gate(tags: DataFrame, catalog: DataFrame) -> DataFrame:
     """Barcodes that the catalog knows, in full or by 12 digits; 13 digits need a right check digit. Others are blanked."""
     index = barcode_index(catalog).withColumnRenamed("code", "__code")
     code = F.col("barcode")
-    probe = tags.withColumn("__probe", F.when(F.length(code) == 13, code).otherwise(F.substring(code, 1, 12)))
+    blank = tags.where("barcode is null or barcode = ''").withColumn("barcode", F.lit(""))
+    probe = tags.where("barcode <> ''").withColumn("__probe", F.when(F.length(code) == 13, code).otherwise(F.substring(code, 1, 12)))
     known = probe.join(index, F.col("__probe") == F.col("__code"), "left")
     good = F.col("__code").isNotNull() & ((F.length(code) == 12) | ean_ok(code))
-    return known.withColumn("barcode", F.when(good, code).otherwise("")).drop("__probe", "__code")
+    return known.withColumn("barcode", F.when(good, code).otherwise("")).drop("__probe", "__code").unionByName(blank)
 
 
 def prefix_postings(catalog: DataFrame) -> DataFrame:
@@ -62,16 +66,20 @@ def complete_by_prefix(texts: DataFrame, catalog: DataFrame, keys: list[str], te
     return runs.join(prefix_postings(catalog), "prefix").groupBy(*keys, "barcode").agg(F.count("*").alias("votes"))
 
 
-def one_digit_variants(body: Column) -> Column:
-    """The 108 bodies of 12 digits that differ from ``body`` in one place, with their check digits."""
-    def at(i: Column) -> Column:
-        others = F.filter(F.array(*(F.lit(str(d)) for d in range(10))), lambda d: d != F.substring(body, i, F.lit(1)))
-        return F.transform(others, lambda d: F.concat(F.substring(body, F.lit(1), i - 1), d, F.substring(body, i + 1, F.lit(12))))
-
-    return F.transform(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(12)), at)), lambda b: F.concat(b, ean_check_digit(b).cast("string")))
+def without_one_digit(body: Column) -> Column:
+    """For each of 12 places the digits around it (rest) and the digit there."""
+    place = lambda i: F.struct(i.cast("int").alias("place"), F.concat(F.substring(body, F.lit(1), i - 1), F.substring(body, i + 1, F.lit(12))).alias("rest"), F.substring(body, i, F.lit(1)).alias("digit"))
+    return F.transform(F.sequence(F.lit(1), F.lit(12)), place)
 
 
 def recover_one_digit(codes: DataFrame, catalog: DataFrame, keys: list[str], code: str) -> DataFrame:
-    """keys, barcode: catalog codes one digit away from the first 12 digits of a code."""
-    tries = codes.select(*keys, F.explode(one_digit_variants(F.substring(code, 1, 12))).alias("barcode"))
-    return tries.join(catalog.select("barcode").distinct(), "barcode", "left_semi").distinct()
+    """keys, barcode: catalog codes (with a right check digit) one digit away from the first 12 digits of a code.
+
+    Codes and catalog meet at the 11 digits around each place, twelve keys a row, and only distinct codes are met.
+    """
+    told = codes.where(F.col(code).rlike(r"^\d{12}")).withColumn("__body", F.substring(code, 1, 12))
+    mine = told.select("__body").distinct().select("__body", F.inline(without_one_digit(F.col("__body"))))
+    theirs = catalog.where(ean_ok(F.col("barcode"))).select("barcode").distinct()
+    theirs = theirs.select(F.col("barcode").alias("__found"), F.inline(without_one_digit(F.substring("barcode", 1, 12)))).withColumnRenamed("digit", "other")
+    near = mine.join(theirs, ["place", "rest"]).where("digit <> other").select("__body", "__found")
+    return told.select(*keys, "__body").distinct().join(near, "__body").select(*keys, F.col("__found").alias("barcode")).distinct()

@@ -33,3 +33,12 @@ def first_match(pairs: DataFrame, left_key: str, *order: Column) -> DataFrame:
 def nearest(left: DataFrame, right: DataFrame, keys: list[str], on: str, tolerance: int, distance: Column, prefix: str = "r_") -> DataFrame:
     """For each left row the nearest right row within the tolerance, of equally near ones the first."""
     return first_match(band_join(left, right, keys, on, tolerance, strict=False, prefix=prefix), "pos", distance, F.col(prefix + "pos"))
+
+
+def by_keys_in_turn(left: DataFrame, right: DataFrame, keys: list[list[str]], value: str) -> DataFrame:
+    """``left`` with ``value`` of the right rows that agree in the first list of keys; where none do, in the second, and so on. Of several, the least."""
+    out = left
+    for k, on in enumerate(keys):
+        out = out.join(right.groupBy(*on).agg(F.min(value).alias(f"__v{k}")), on, "left")
+    tries = [f"__v{k}" for k in range(len(keys))]
+    return out.withColumn(value, F.coalesce(*tries)).drop(*tries)

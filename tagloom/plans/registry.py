@@ -9,6 +9,7 @@ from tagloom.sources.adapters import with_views
 
 QUERIES: dict[str, Callable] = {}
 ORACLE_SQL: dict[str, str] = {}
+PLAIN_SQL: dict[str, str] = {}  # the same without the definitions of views
 
 
 def query(sql: str | None = None, *views: str):
@@ -17,11 +18,11 @@ def query(sql: str | None = None, *views: str):
     def put(f: Callable) -> Callable:
         QUERIES[f.__name__] = f
         if sql is not None:
-            ORACLE_SQL[f.__name__] = with_views(sql, *views)
+            ORACLE_SQL[f.__name__], PLAIN_SQL[f.__name__] = with_views(sql, *views), sql
         return f
 
     return put
 
 
-for _name in ("reporting_queries", "text_queries", "track_queries", "catalog_queries", "evaluation_queries", "stream_queries"):
+for _name in ("reporting_queries", "text_queries", "track_queries", "catalog_queries", "evaluation_queries", "recovery_queries", "stream_queries"):
     import_module(f"tagloom.plans.{_name}")

@@ -55,6 +55,31 @@ select event_id as pos, cast(user_id as int) as video, cast(floor(event_id / 5)
     || case when event_id % 2 = 0 then 'l2.05.25 9:07' else '7/11/2024' end || case event_id % 5 when 0 then ' 12_012345 - 067890' when 1 then ' 012345-067890' when 2 then ' 270 102 162817' when 3 then ' 270102 - 012345' else ' 3_0l2345' end as ocr_text,
   'нет' as none_text, event_type, cast(floor(abs(value)) as bigint) as score
 from {events}""",
+    "tokens": """
+select event_id as pos, 0 as idx, cast(event_id % 970 + 10 as varchar(6)) as text, cast(40 + event_id % 30 as int) as height from {events}
+union all select event_id, 1, lpad(cast(event_id * 3 % 100 as varchar(4)), 2, '0'), cast(event_id * 7 % 50 as int) from {events}
+union all select event_id, 2, case when event_id % 3 = 0 then 'l' || cast(event_id % 9000 as varchar(6)) || ',' || lpad(cast(event_id % 100 as varchar(4)), 2, '0') || 'p' when event_id % 3 = 1 then 'no price' else '5' end, cast(20 + event_id % 40 as int) from {events}
+union all select event_id, 3, 'I' || cast(event_id % 9 as varchar(2)) || 'O', cast(event_id % 4 * 15 as int) from {events}
+union all select event_id, 4, cast(event_id % 89 + 10 as varchar(4)) || '.', cast(30 + event_id % 20 as int) from {events}
+union all select event_id, 5, cast(event_id % 970 + 10 as varchar(6)), cast(90 - event_id % 60 as int) from {events} where event_id % 4 <> 0""",
+    "track_codes": """
+select e.event_id as pos, cast(floor(e.event_id / 6) as bigint) as track_id, cast(e.user_id as int) as video,
+  case when e.event_id % 3 = 0 then 'EAN ' || c.barcode || ' ' when e.event_id % 3 = 1 then 'x' || substr(c.barcode, 1, 11) || 'O' || substr(c.barcode, 13, 1) || ' 12' else 'n' || substr(c.barcode, 2, 11) end as text,
+  case when floor(e.event_id / 6) % 3 = 0 then c.barcode when e.event_id % 5 = 0 then substr(c.barcode, 1, 12) when e.event_id % 5 = 1 then '2999999' || substr(c.barcode, 8, 6) else '' end as barcode
+from {events} e join {catalog} c on c.part_id = floor(e.event_id / 6) % 97 + 1""",
+    "tags23": """
+select pos, video, product_name, price_default, price_card, price_card - 700 as price_discount, barcode, case when discount = 0 then 'нет' else '-' || cast(discount as varchar(4)) || '%' end as discount_amount, id_sku, print_datetime,
+  case when pos % 4 = 0 then '' when pos % 4 = 1 then 'нет' else '12_012345' end as code, case when pos % 3 = 0 then 'Сухое' else 'нет' end as additional_info, color, special_symbols, qr_code_barcode,
+  price_default as price1_qr, price_default - 300 as price2_qr, cast(null as bigint) as price3_qr, price_card as price4_qr, cast(pos % 12 as varchar(4)) as wholesale_level_1_count, price_card - 50 as wholesale_level_1_price,
+  '' as wholesale_level_2_count, cast(null as bigint) as wholesale_level_2_price, case when pos % 2 = 0 then price_card end as action_price_qr, cast(pos % 3 as varchar(2)) as action_code_qr
+from {detections}""",
+    "gt23": """
+select pos, video, case when pos % 4 = 0 then '' when pos % 4 = 1 then 'нет' else product_name end as product_name, case when pos % 5 = 0 then null else price_default + (pos % 7) * 40 end as price_default,
+  price_card + (pos % 2) * 2000 as price_card, price_discount + pos % 100 as price_discount, barcode, case when pos % 11 = 0 then '-10%' else discount_amount end as discount_amount, id_sku, print_datetime,
+  code, case when pos % 9 = 0 then ' сухое ' else additional_info end as additional_info, color, special_symbols, case when pos % 10 = 0 then '' else qr_code_barcode end as qr_code_barcode,
+  price1_qr, price2_qr, price_card as price3_qr, price4_qr, case when pos % 6 = 0 then '3' else wholesale_level_1_count end as wholesale_level_1_count, wholesale_level_1_price,
+  case when pos % 8 = 0 then '4' else '' end as wholesale_level_2_count, wholesale_level_2_price, action_price_qr, case when pos % 7 = 0 then '' else action_code_qr end as action_code_qr
+from {tags23} where pos % 3 = 0""",
     "job_events": """
 select event_id, user_id as job_id, ts as event_ts, case event_type when 'purchase' then 'done' when 'click' then 'processing' when 'view' then 'processing' else 'queued' end as status,
   cast(floor(abs(value)) as bigint) % 100 as progress from {events}""",
@@ -86,6 +111,8 @@ def with_views(sql: str, *names: str) -> str:
         return sql
     plain = {n: n for n in (*BASE, *VIEWS)}
     head = ", ".join(f"{n} as ({VIEWS[n].format(**plain)})" for n in order)
+    if sql.lstrip().lower().startswith("with recursive "):
+        return f"with recursive {head}, {sql.lstrip()[15:]}"
     if sql.lstrip().lower().startswith("with "):
         return f"with {head}, {sql.lstrip()[5:]}"
     return f"with {head} {sql}"
