@@ -48,9 +48,10 @@ def current(events: DataFrame) -> DataFrame:
 def status_now(events: DataFrame) -> DataFrame:
     """job_id, status, progress: the last event that is no step back (a queued event of no progress does not override progress made)."""
     made = F.max("progress").alias("progress_made")
+    at = F.struct("event_ts", "progress", "status")  # of events of one time, the furthest
     told = events.groupBy("job_id").agg(
-        F.max_by(F.struct("status", "progress"), F.col("event_ts")).alias("last"),
-        F.max_by(F.struct("status", "progress"), F.when((F.col("progress") > 0) | (F.col("status") != "queued"), F.col("event_ts"))).alias("real"), made,
+        F.max_by(F.struct("status", "progress"), at).alias("last"),
+        F.max_by(F.struct("status", "progress"), F.when((F.col("progress") > 0) | (F.col("status") != "queued"), at)).alias("real"), made,
     )
     pick = F.when((F.col("last.status") == "queued") & (F.col("last.progress") == 0) & F.col("real").isNotNull(), F.col("real")).otherwise(F.col("last"))
     return told.withColumn("s", pick).select("job_id", F.col("s.status").alias("status"), F.col("s.progress").alias("progress"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,3 +44,36 @@ def by_keys_in_turn(left: DataFrame, right: DataFrame, keys: list[list[str]], va
         out = out.join(right.groupBy(*on).agg(F.min(value).alias(f"__v{k}")), on, "left")
     tries = [f"__v{k}" for k in range(len(keys))]
     return out.withColumn(value, F.coalesce(*tries)).drop(*tries)
+
+
+CELL = 256  # pixels
+
+
+def overlapping(left: DataFrame, right: DataFrame, keys: list[str], prefix: str = "r_", cell: int = CELL) -> DataFrame:
+    """Pairs with equal keys whose boxes share some area; the right side's columns get a prefix.
+
+    Every box goes to the cells of a grid that it touches, and the boxes meet by cell. A pair is told in the cell
+    that holds the upper left corner of what both share, and so once.
+    """
+    places = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / cell), F.floor((F.greatest(F.col(high), F.col(low) + 1) - 1) / cell)))
+    on_grid = lambda df: df.withColumn("__cx", places("x_min", "x_max")).withColumn("__cy", places("y_min", "y_max"))
+    one = on_grid(left)
+    two = on_grid(right).select(*[F.col(c).alias(prefix + c) for c in right.columns], F.col("__cx").alias("__rx"), F.col("__cy").alias("__ry"))
+    met = (one["__cx"] == two["__rx"]) & (one["__cy"] == two["__ry"])
+    for k in keys:
+        met = met & (one[k] == two[prefix + k])
+    corner = [F.greatest(one[c], two[prefix + c]) for c in ("x_min", "y_min")]
+    share = (corner[0] < F.least(one["x_max"], two[prefix + "x_max"])) & (corner[1] < F.least(one["y_max"], two[prefix + "y_max"]))
+    here = (F.floor(corner[0] / cell) == one["__cx"]) & (F.floor(corner[1] / cell) == one["__cy"])
+    return one.join(two, met & share & here).drop("__cx", "__cy", "__rx", "__ry")
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """``df`` as it is now, in the folder that driver and executors share: a loop's plan stays short, and lost executors lose nothing."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        path = context.getConf().get("spark.checkpoint.dir")
+        if not path and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(path or "file://" + tempfile.mkdtemp(prefix="tagloom-"))
+    return df.checkpoint()

@@ -323,7 +323,9 @@ def best_experiment(spark, sf_dir):
 
 
 @query(
-    f"select pos, barcode, count(*) as votes from (select distinct pos, run, barcode from (select v.pos, v.run, c.barcode from (select distinct pos, substr(g, cast(i as bigint), 12) as run from (select pos, regexp_replace({_FIX.replace('ocr_text', 'text')}, '[^0-9]', '', 'g') as g from track_codes), lateral (select unnest(generate_series(1, length(g) - 11)) as i) where length(g) >= 12) v join catalog c on len(list_filter(range(1, 13), lambda i: substr(c.barcode, i, 1) <> substr(v.run, i, 1))) = 1)) group by 1, 2",
+    f"with r as (select distinct pos, substr(g, cast(i as bigint), 12) as run from (select pos, regexp_replace({_FIX.replace('ocr_text', 'text')}, '[^0-9]', '', 'g') as g from track_codes), lateral (select unnest(generate_series(1, length(g) - 11)) as i) where length(g) >= 12), "
+    "v as (select run, substr(run, 1, cast(i as bigint) - 1) || cast(x as varchar) || substr(run, cast(i as bigint) + 1) as body from (select distinct run from r), (select unnest(generate_series(1, 12)) as i) i, (select unnest(generate_series(0, 9)) as x) x where substr(run, cast(i as bigint), 1) <> cast(x as varchar)) "
+    "select pos, barcode, count(*) as votes from r join v using (run) join catalog c on substr(c.barcode, 1, 12) = v.body group by 1, 2",
     "track_codes", "catalog",
 )
 def one_digit_votes(spark, sf_dir):

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tagloom.functions import geometry as G
 from tagloom.functions import votes as V
 from tagloom.operators import joins, tracks
 from tagloom.operators.finalize import confidence
-from tagloom.plans.registry import query
-from tagloom.plans.text_queries import ean_sql
+from tagloom.plans.registry import PLAIN_SQL, query
+from tagloom.plans.text_queries import NAMED, ean_sql
 from tagloom.sources.adapters import view
 
 KEYS = ["video", "track_id"]
@@ -119,8 +120,11 @@ def nearest_fallback(spark, sf_dir):
 def shelf_context(spark, sf_dir):
     d = view(spark, sf_dir, "detections").select("pos", "video", "frame_timestamp", "product_name")
     met = joins.band_join(d, d.where("product_name <> ''"), ["video"], "frame_timestamp", 600, False).where("pos <> r_pos")
-    rows = F.array_sort(F.collect_list(F.struct("r_frame_timestamp", "r_pos", "r_product_name")))
-    return met.groupBy("pos").agg(F.count("*").alias("near"), F.array_join(F.transform(F.slice(rows, 1, 10), lambda r: r["r_product_name"]), "|").alias("names"))
+    # the first ten are picked before they are collected, so that no tag's neighbours are held together
+    nth = Window.partitionBy("pos").orderBy("r_frame_timestamp", "r_pos")
+    ranked = met.select("pos", "r_frame_timestamp", "r_pos", "r_product_name", F.row_number().over(nth).alias("n"))
+    first = F.when(F.col("n") <= 10, F.struct("n", "r_product_name"))
+    return ranked.groupBy("pos").agg(F.count("*").alias("near"), F.array_join(F.transform(F.array_sort(F.collect_list(first)), lambda r: r["r_product_name"]), "|").alias("names"))
 
 
 _BOXES = "(select pos, video, frame_timestamp // 500 as frame, x_min, y_min, x_max, y_max from detections)"
@@ -147,9 +151,9 @@ _IOU = "case when (a.x_max - a.x_min) * (a.y_max - a.y_min) + (b.x_max - b.x_min
     "gt", "detections",
 )
 def iou_argmax(spark, sf_dir):
-    g = view(spark, sf_dir, "gt").select("video", F.col("pos").alias("gt_pos"), *[F.col(k).alias("g_" + k) for k in tracks.BOX])
+    g = view(spark, sf_dir, "gt").select("video", F.col("pos").alias("gt_pos"), *tracks.BOX)
     d = view(spark, sf_dir, "detections").select("video", "pos", *tracks.BOX)
-    met = g.join(d, "video").withColumn("iou", G.iou(G.box("g_"), G.box())).where("iou >= 0.25")
+    met = joins.overlapping(d, g, ["video"], "g_").withColumn("iou", G.iou(G.box("g_"), G.box())).where("iou >= 0.25").withColumnRenamed("g_gt_pos", "gt_pos")
     return joins.first_match(met, "gt_pos", F.col("iou").desc(), F.col("pos")).select("gt_pos", "pos", F.round("iou", 6).alias("iou"))
 
 
@@ -176,12 +180,29 @@ def padded_boxes(spark, sf_dir):
     return view(spark, sf_dir, "detections").select("pos", *[c.alias(n) for n, c in zip(("x0", "y0", "x1", "y1"), b, strict=True)])
 
 
-@query()
+_SCORED = PLAIN_SQL["confidence_score"].replace(NAMED, "product_name").replace("select pos, case when ok", "select *, case when ok", 1)
+_RANKED = f"with recursive s as ({_SCORED}), d as (select video, pos, frame_timestamp as ts, x_min, y_min, x_max, y_max, row_number() over (partition by video order by length(barcode) >= 12 desc, confidence desc, (x_max - x_min) * (y_max - y_min) desc, pos) as k from (select * from s qualify row_number() over (partition by video, pos order by length(barcode) >= 12 desc, confidence desc, (x_max - x_min) * (y_max - y_min) desc) = 1)), "
+_COVERS = "abs(c.ts - d.ts) <= 3000 and 2 * greatest(least(c.x1, d.x_max) - greatest(c.x0, d.x_min), 0) * greatest(least(c.y1, d.y_max) - greatest(c.y0, d.y_min), 0) >= least((c.x1 - c.x0) * (c.y1 - c.y0), (d.x_max - d.x_min) * (d.y_max - d.y_min))"
+
+
+@query(
+    _RANKED + "st as (select video, cast(0 as bigint) as k, cast([] as struct(pos bigint, ts bigint, x0 integer, y0 integer, x1 integer, y1 integer)[]) as kept from d where k = 1 union all "
+    f"select d.video, d.k, case when len(list_filter(kept, lambda c: {_COVERS})) = 0 then list_append(kept, {{'pos': d.pos, 'ts': d.ts, 'x0': d.x_min, 'y0': d.y_min, 'x1': d.x_max, 'y1': d.y_max}}) else kept end from st join d on d.video = st.video and d.k = st.k + 1) "
+    "select video, x.pos as pos from (select video, unnest(kept) as x from (select video, arg_max(kept, k) as kept from st group by 1))",
+    "detections",
+)
 def suppress(spark, sf_dir):
     return tracks.suppress(confidence(view(spark, sf_dir, "detections")), 3000)
 
 
-@query()
+@query(
+    "with recursive d as (select track_id, pos, ts, row_number() over (partition by track_id order by score desc, pos) as k from (select cast(floor(pos / 100) as bigint) as track_id, pos, score, frame_ts_ms as ts from ocr_frames)), "
+    "st as (select track_id, cast(0 as bigint) as k, cast([] as struct(pos bigint, ts bigint)[]) as kept, cast([] as bigint[]) as rest from d where k = 1 union all select d.track_id, d.k, case when fits then list_append(kept, {'pos': d.pos, 'ts': d.ts}) else kept end, case when fits then rest else list_append(rest, d.pos) end "
+    "from (select d.track_id, d.k, d.pos, d.ts, kept, rest, len(kept) < 3 and len(list_filter(kept, lambda c: abs(c.ts - d.ts) < 500)) = 0 as fits from st join d on d.track_id = st.track_id and d.k = st.k + 1) d), "
+    "z as (select track_id, list_concat(list_transform(kept, lambda c: c.pos), rest)[1:3] as chosen from (select track_id, arg_max(kept, k) as kept, arg_max(rest, k) as rest from st group by 1)) "
+    "select track_id, unnest(chosen) as pos, cast(generate_subscripts(chosen, 1) - 1 as int) as choice from z",
+    "ocr_frames",
+)
 def best_frames(spark, sf_dir):
     return tracks.best_frames(wide(spark, sf_dir).select("track_id", "pos", "score", "frame_ts_ms"), ["track_id"])
 
