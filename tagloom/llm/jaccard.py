@@ -437,6 +437,7 @@ def full_pairs(entries: DataFrame, labels: DataFrame, sketches: DataFrame) -> Da
     spread = labelled.groupBy("h").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("times")).where("least <> most")
     salt = lambda c: F.pmod(F.xxhash64(c), F.lit(SALTS))
     spread = spread.select("h", F.ceil(F.col("times") / FULL_BLOCK).alias("blocks"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    spread = spread.repartition("h", "salt")  # lying by h as it does, it would draw all entries of a shingle into one task
     rest = labelled.withColumn("salt", salt("cid")).join(spread, ["h", "salt"]).drop("salt").join(small, "cid")
     rest = rest.withColumns({"step": F.floor(F.log("n") / F.log(F.lit(SIZE_STEP))), "block": F.pmod(F.xxhash64("cid", "h"), F.col("blocks"))})
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
