@@ -1,6 +1,10 @@
 """Every registered query against its SQL twin, on the smallest tables."""
 
+import importlib.util
 import math
+import shutil
+import subprocess
+import sys
 from pathlib import Path
 
 import duckdb
@@ -47,3 +51,18 @@ def test_entry_points():
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert set(QUERIES) <= set(e.queries())
+
+
+def test_entry_points_without_the_subpackage(tmp_path):
+    """A copy without the training-data operators still names and imports every other query."""
+    root = Path(importlib.util.find_spec("__spark_entry__").origin).parent
+    shutil.copytree(root / "tagloom", tmp_path / "tagloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    for left in (["corpus_pipeline.py"], []):
+        for name in left:
+            if (root / name).exists():
+                shutil.copy(root / name, tmp_path)
+        code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+        out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PYTHONPATH": str(tmp_path), "PATH": "/usr/bin:/bin"}, capture_output=True, text=True, check=True)
+        assert out.stdout.split() == [str(len(QUERIES)), str(len(ORACLE_SQL))]
+        (tmp_path / "corpus_pipeline.py").unlink(missing_ok=True)
