@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -68,12 +68,18 @@ def overlapping(left: DataFrame, right: DataFrame, keys: list[str], prefix: str
     return one.join(two, met & share & here).drop("__cx", "__cy", "__rx", "__ry")
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """``df`` as it is now, in the folder that driver and executors share: a loop's plan stays short, and lost executors lose nothing."""
-    context = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The checkpoint folder, which driver and executors share. Only a local session that names none gets a temporary one."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
         path = context.getConf().get("spark.checkpoint.dir")
         if not path and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(path or "file://" + tempfile.mkdtemp(prefix="tagloom-"))
+    return context.getCheckpointDir()
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """``df`` as it is now, in the shared folder: a loop's plan stays short, and lost executors lose nothing."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tagloom.operators.jobs import status_now
+from tagloom.operators.joins import shared_dir
 from tagloom.plans.registry import query
 from tagloom.sources.adapters import view
 
@@ -30,10 +31,15 @@ def status_stream(spark, sf_dir):
         F.col("user_id").alias("job_id"), F.col("ts").alias("event_ts"), (F.floor(F.abs("value")).cast("long") % 100).alias("progress"),
         F.expr("case event_type when 'purchase' then 'done' when 'click' then 'processing' when 'view' then 'processing' else 'queued' end").alias("status"),
     )
-    name = f"status_{uuid.uuid4().hex}"
-    run = status_now(events).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    told, path = status_now(events), f"{shared_dir(spark)}/status-{uuid.uuid4().hex}"
+
+    def put(rows, _batch):
+        rows.write.mode("overwrite").parquet(f"{path}/rows")
+
+    spark.createDataFrame([], told.schema).write.parquet(f"{path}/rows")  # what there is without any event
+    run = told.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(told.schema).parquet(f"{path}/rows")
 
 
 def _is_folder(spark, path: str) -> bool:
