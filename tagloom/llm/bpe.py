@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 from tagloom.llm.common import slices
 
 MAX_FILE = 64_000_000
-CACHE_BYTES = 64_000_000
+CACHE_BYTES = 128_000_000
 ENTRY_BYTES = 200  # of a cached string, its ids and their place, beside their characters
 SLICE = 2_000_000
 MATRIX_ROWS = 4_000
