@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tagloom.functions.text import BEVERAGES
+
 # How codes begin that stand for no product.
 PLACEHOLDERS = ("2099999", "2999999", "0000000")
 # Fixed value: frames that move more than so many times the track's median are blurred.
@@ -16,6 +18,18 @@ def crop_problem(aspect: Column, paper: Column, sharpness: Column, aspects: tupl
     return F.when(~aspect.between(*aspects), "ar").when(paper < least_paper, "paper").when(sharpness < least_sharpness, "sharp").otherwise("ok")
 
 
+def plausible_box(width: Column, height: Column, sides: tuple[int, int], aspects: tuple[float, float]) -> Column:
+    """Both sides within bounds, and the height over the width too."""
+    return width.between(*sides) & height.between(*sides) & (height / F.greatest(width, F.lit(1))).between(*aspects)
+
+
+def subset(catalog: DataFrame, name: str, which: str) -> DataFrame:
+    """The catalog rows of a subset: ``beverage`` by words of the name, or ``all``."""
+    if which not in ("beverage", "all"):
+        raise ValueError(f"unknown subset: {which}")
+    return catalog if which == "all" else catalog.where(F.col(name).rlike(BEVERAGES))
+
+
 def of_kept_tracks(rows: DataFrame, kept: DataFrame, keys: list[str]) -> DataFrame:
     """The rows whose track has a row in ``kept``."""
     return rows.join(kept.select(*keys).distinct(), keys, "left_semi")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EVENT_FIELDS = ("status", "progress", "message", "csv_path", "preview_path", "files_deleted_at")
@@ -75,3 +75,26 @@ def upload_problem(extension: Column, mime: Column, size: Column, seconds: Colum
         F.when(~F.lower(extension).isin("mp4", "avi", "mov", "mkv"), "extension").when(~F.lower(mime).startswith("video/"), "mime")
         .when(size > 500 * 1024 * 1024, "size").when(seconds > 300, "duration").when(~width.between(320, 3840) | ~height.between(240, 2160), "resolution")
     )
+
+
+def latest_active(jobs: DataFrame, newest: int = 20) -> DataFrame:
+    """user_id, id: of each user's ``newest`` jobs the newest that is queued or processing and was not revoked."""
+    order = Window.partitionBy("user_id").orderBy(F.col("created_at").desc(), "id")
+    recent = jobs.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= newest)
+    active = recent.where(F.col("status").isin("queued", "processing") & ~F.lower(F.coalesce("message", F.lit(""))).contains("revoked"))
+    return active.groupBy("user_id").agg(F.min_by("id", "__n").alias("id"))
+
+
+def duration_histogram(seconds: DataFrame, column: str, bounds: tuple[int, ...]) -> DataFrame:
+    """le, jobs: how many took at most so many seconds, for each bound and, as null, for all."""
+    counts = seconds.agg(*[F.count_if(F.col(column) <= b).alias(f"b{b}") for b in bounds], F.count(column).alias("every"))
+    rows = [F.struct(F.lit(b).alias("le"), F.col(f"b{b}").alias("jobs")) for b in bounds]
+    return counts.select(F.explode(F.array(*rows, F.struct(F.lit(None).cast("int").alias("le"), F.col("every").alias("jobs")))).alias("r")).select("r.*")
+
+
+def size_label(size: Column) -> Column:
+    """``12.34 MB``, or GB from 1024 MB on; ties go to the even digit."""
+    unit = F.when(size >= 1 << 30, F.lit(1 << 30)).otherwise(F.lit(1 << 20))
+    whole, rest = F.floor(size * 100 / unit), size * 100 % unit
+    cents = whole + F.when((rest * 2 > unit) | ((rest * 2 == unit) & (whole % 2 == 1)), 1).otherwise(0)
+    return F.concat(F.floor(cents / 100).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"), F.when(size >= 1 << 30, " GB").otherwise(" MB"))

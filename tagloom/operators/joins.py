@@ -83,3 +83,10 @@ def saved(df: DataFrame) -> DataFrame:
     """``df`` as it is now, in the shared folder: a loop's plan stays short, and lost executors lose nothing."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def fill_by_keys(rows: DataFrame, other: DataFrame, keys: list[str], fields: list[str], pos: str = "pos") -> DataFrame:
+    """``rows`` whose empty fields take, of the ``other`` rows with the same keys, the first value that is not empty."""
+    told = other.groupBy(*keys).agg(*[F.min_by(c, F.when(F.trim(c) != "", F.col(pos))).alias(f"__{c}") for c in fields])
+    filled = {c: F.when(F.trim(F.coalesce(c, F.lit(""))) == "", F.coalesce(f"__{c}", F.lit(""))).otherwise(F.col(c)) for c in fields}
+    return rows.join(told, keys, "left").withColumns(filled).drop(*[f"__{c}" for c in fields])

@@ -92,7 +92,7 @@ def as_json(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*clean), {"ignoreNullFields": "false"}).alias("value"))
 
 
-def yolo_labels(boxes: DataFrame, width: str = "width", height: str = "height") -> DataFrame:
-    """``class cx cy w h`` in shares of the frame, six decimals."""
+def yolo_labels(boxes: DataFrame, width: str = "width", height: str = "height", carry: tuple[str, ...] = ()) -> DataFrame:
+    """``class cx cy w h`` in shares of the frame, six decimals; the columns to ``carry`` stay beside it."""
     share = lambda e, size: F.format_string("%.6f", F.expr(e).cast("double") / F.col(size))
-    return boxes.select(F.concat_ws(" ", F.col("cls").cast("string"), share("(x_min + x_max) / 2", width), share("(y_min + y_max) / 2", height), share("x_max - x_min", width), share("y_max - y_min", height)).alias("value"))
+    return boxes.select(*carry, F.concat_ws(" ", F.col("cls").cast("string"), share("(x_min + x_max) / 2", width), share("(y_min + y_max) / 2", height), share("x_max - x_min", width), share("y_max - y_min", height)).alias("value"))
