@@ -16,9 +16,11 @@ _PRICE = "struct<v:bigint,h:double>"
 def _number(token: Column, place: Column) -> Column:
     """A token as full price, roubles or kopecks, with its place and height; kind is null for all others."""
     s = clean_number_token(token["text"])
-    part = lambda k: F.regexp_extract(s, FULL, k).try_cast("bigint")
-    kind = F.when(part(1) >= 1, "full").when(s.rlike(r"^\d{2}$"), "kop").when(s.rlike(r"^\d{3,5}$"), "rub")
-    value = F.when(part(1) >= 1, part(1) * 100 + part(2)).otherwise(s.try_cast("bigint"))
+    # two digits of kopecks follow the roubles, so that the digits together are the price in kopecks
+    cents = F.regexp_replace(F.regexp_extract(s, FULL, 0), r"\D", "").try_cast("bigint")
+    whole = F.when(~s.rlike(r"\D"), F.length(s))
+    kind = F.when(cents >= 100, "full").when(whole == 2, "kop").when(whole.between(3, 5), "rub")
+    value = F.when(cents >= 100, cents).otherwise(s.try_cast("bigint"))
     return F.struct(place.alias("idx"), kind.alias("kind"), value.alias("v"), F.coalesce(token["height"].cast("double"), F.lit(0.0)).alias("h"))
 
 

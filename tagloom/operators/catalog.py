@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tagloom.functions.geometry import area, box
 from tagloom.functions.text import digit_runs, ean_ok
+from tagloom.operators.joins import saved
 
 
 def first_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -83,3 +84,32 @@ def recover_one_digit(codes: DataFrame, catalog: DataFrame, keys: list[str], cod
     theirs = theirs.select(F.col("barcode").alias("__found"), F.inline(without_one_digit(F.substring("barcode", 1, 12)))).withColumnRenamed("digit", "other")
     near = mine.join(theirs, ["place", "rest"]).where("digit <> other").select("__body", "__found")
     return told.select(*keys, "__body").distinct().join(near, "__body").select(*keys, F.col("__found").alias("barcode")).distinct()
+
+
+UNREAD = "?"
+
+
+def _digits_at(code: Column, places: Column) -> Column:
+    return F.array_join(F.transform(places, lambda i: F.substring(code, i, F.lit(1))), "")
+
+
+def complete_unread(codes: DataFrame, catalog: DataFrame, keys: list[str], code: str, least_known: int = 6) -> DataFrame:
+    """keys, code, barcode: codes of 13 places, some of them unread (``?``), as the one catalog code that agrees in all places read.
+
+    At least ``least_known`` places must be read, and the catalog's code must have a right check digit; a code that
+    none or several agree with is left out. The catalog is indexed by the masks of read places that occur, of
+    which the last six read places count: at most 1716 masks, however many codes there are, and one equi-join
+    on (mask, digits there). Places before those are compared afterwards.
+    """
+    told = codes.where(F.col(code).rlike(r"^[\d?]{13}$")).select(F.col(code).alias("read")).distinct()
+    known = F.filter(F.sequence(F.lit(1), F.lit(13)), lambda i: F.substring(F.col("read"), i, F.lit(1)) != UNREAD)
+    told = told.withColumn("known", known).where(F.size("known") >= least_known).withColumn("mask", F.slice("known", -min(6, least_known), min(6, least_known)))
+    told = saved(told.withColumn("digits", _digits_at(F.col("read"), F.col("mask"))))
+    masks = [r.mask for r in told.select("mask").distinct().orderBy("mask").collect()]
+    valid = catalog.where(ean_ok(F.col("barcode"))).select("barcode").distinct()
+    every = F.explode(F.array(*[F.array(*map(F.lit, m)) for m in masks]).cast("array<array<int>>"))
+    index = valid.withColumn("mask", every).withColumn("digits", _digits_at(F.col("barcode"), F.col("mask")))
+    met = told.join(index, ["mask", "digits"])
+    agree = F.forall("known", lambda i: F.substring(F.col("read"), i, F.lit(1)) == F.substring(F.col("barcode"), i, F.lit(1)))
+    one = met.where(agree).groupBy("read").agg(F.count("*").alias("n"), F.min("barcode").alias("barcode")).where("n = 1")
+    return codes.select(*keys, F.col(code).alias("read")).join(one.select("read", "barcode"), "read").select(*keys, F.col("read").alias(code), "barcode")

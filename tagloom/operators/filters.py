@@ -52,6 +52,16 @@ def probe_status(truth: DataFrame, hits: DataFrame, keys: list[str]) -> DataFram
     return met.select(*keys, F.when(F.col("exact"), "EXACT").when(F.col("prefix"), "PREFIX12").when(F.col("n") > 0, "ANY").otherwise("miss").alias("status"))
 
 
+def probe_by_source(truth: DataFrame, hits: DataFrame, keys: list[str], sources: tuple[str, ...]) -> DataFrame:
+    """keys, source, status for each source of hits (keys, source, hit) and for ``either``: as :func:`probe_status`, and ``ANY(n)`` with the number of other codes."""
+    every = hits.where(F.col("source").isin(*sources)).unionByName(hits.where(F.col("source").isin(*sources)).withColumn("source", F.lit("either"))).distinct()
+    asked = truth.withColumn("source", F.explode(F.array(*map(F.lit, (*sources, "either")))))
+    same = lambda n: F.coalesce(F.substring("hit", 1, n) == F.substring("barcode", 1, n), F.lit(False))
+    met = asked.join(every, [*keys, "source"], "left").groupBy(*keys, "source").agg(F.max(F.coalesce(F.col("hit") == F.col("barcode"), F.lit(False))).alias("exact"), F.max(same(12)).alias("prefix"), F.count("hit").alias("n"))
+    other = F.when(F.col("n") > 0, F.concat(F.lit("ANY("), F.col("n").cast("string"), F.lit(")"))).otherwise("miss")
+    return met.select(*keys, "source", F.when(F.col("exact"), "EXACT").when(F.col("prefix"), "PREFIX12").otherwise(other).alias("status"))
+
+
 def row_label(name: Column, barcode: Column, prices: list[Column]) -> Column:
     """Name, barcode and the first price there is, parted by bars; a dash for what is missing, but for the name."""
     dash = lambda c: F.coalesce(F.nullif(c, F.lit("")), F.lit("-"))

@@ -9,6 +9,7 @@ from tagloom.functions.predicates import is_empty_or_no
 from tagloom.functions.scores import final_confidence, has_signal, infer_discount, price_override, second_price, tag_confidence
 from tagloom.functions.text import ean_ok, weak_name
 from tagloom.operators.catalog import clear_repeated, exact_match, gate
+from tagloom.operators.joins import saved
 from tagloom.operators.tracks import suppress
 
 
@@ -42,6 +43,7 @@ def stabilize(tags: DataFrame, least_confidence: int = 15, window_ms: int = 2000
     """Tags with a signal and enough confidence, without those that a better one suppresses."""
     score = final_confidence(F.col("barcode"), F.coalesce(F.col("price_default") > 0, F.lit(False)), F.col("qr_code_barcode"), F.col("id_sku"), F.col("product_name") != "")
     kept = tags.where(has_signal(F.col("price_default"), F.col("barcode"), F.col("qr_code_barcode"))).withColumn("confidence", score).where(F.col("confidence") >= least_confidence)
+    kept = saved(kept)  # read for the pairs, for the tags and at the end
     return kept.join(suppress(kept, window_ms), ["video", "pos"], "left_semi")
 
 

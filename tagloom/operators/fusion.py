@@ -15,10 +15,10 @@ from tagloom.functions.prices import with_prices
 
 
 def parsed_frames(frames: DataFrame, tokens: str | None = None) -> DataFrame:
-    """``frames`` (ocr_text, barcode_raw, qr_raw) with the typed fields of each frame by itself."""
+    """``frames`` (ocr_text, barcode_raw, qr_raw) with the typed fields of each frame by itself; prices and special symbols from its array of tokens, if named."""
     text, qr = F.col("ocr_text"), T.parse_qr(F.col("qr_raw"))["qr_code_barcode"]
     read = T.parse_barcode(text, F.col("barcode_raw"))
-    out = with_prices(frames, tokens) if tokens else frames
+    out = with_prices(frames, tokens).withColumn("special_symbols", T.special_symbol(F.coalesce(F.col(tokens), F.array().cast("array<struct<text:string,height:double>>")))) if tokens else frames
     return out.withColumns({
         "discount_amount": T.parse_discount(text), "id_sku": T.parse_id_sku(text), "print_datetime": T.parse_print_datetime(text), "code": T.parse_code(text),
         "additional_info": T.parse_additional_info(text), "barcode": F.when(read != "", read).when(F.trim(qr).rlike(r"^\d{12,13}$"), F.trim(qr)).otherwise(""),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,6 +38,73 @@ def nearest(left: DataFrame, right: DataFrame, keys: list[str], on: str, toleran
     return first_match(band_join(left, right, keys, on, tolerance, strict=False, prefix=prefix), "pos", distance, F.col(prefix + "pos"))
 
 
+def nearest_group(asked: DataFrame, rows: DataFrame, keys: list[str], on: str, tolerance: int) -> DataFrame:
+    """pos, anchor, n: how many rows lie within the tolerance of each asked value; where none do, of the value nearest to it, the lesser of two.
+
+    The values nearest on either side are found among the distinct ones: in their own band, else at the end of the
+    nearest band that has any, so that only the table of bands is ordered by whole keys.
+    """
+    values = saved(rows.groupBy(*keys, on).agg(F.count("*").alias("__rows")))
+    within = lambda left: band_join(left, values, keys, on, tolerance, strict=False).groupBy("pos", F.col(on).alias("anchor")).agg(F.sum("r___rows").alias("n"))
+    own = saved(within(asked.select("pos", *keys, on)))
+    band = F.floor(F.col(on) / tolerance).alias("__band")
+    lacking = asked.select("pos", *keys, on, band).join(own.select("pos"), "pos", "left_anti")
+    bands = values.groupBy(*keys, band).agg(F.min(on).alias("__low"), F.max(on).alias("__high"))
+    # a value of the same band would be within the tolerance, so that the nearest are at the ends of other bands
+    every = lacking.select(*keys, "__band", F.lit(None).alias("__low"), F.lit(None).alias("__high")).distinct().unionByName(bands)
+    ends = lambda c, order: F.last(c, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    told = every.withColumns({"__below": ends("__high", F.asc("__band")), "__above": ends("__low", F.desc("__band"))}).where("__low is null").select(*keys, "__band", "__below", "__above")
+    met = lacking.join(told, [*keys, "__band"])
+    gap = lambda c: F.abs(F.col(c) - F.col(on))
+    anchor = F.when(F.col("__above").isNull() | (gap("__below") <= gap("__above")), F.col("__below")).otherwise(F.col("__above"))
+    found = met.select("pos", *keys, anchor.alias(on)).where(F.col(on).isNotNull())
+    return own.unionByName(within(found))
+
+
+def _ranked(rows: DataFrame, keys: list[str], on: str, band: Column) -> DataFrame:
+    """``rows`` with their band and their number by ``on`` and pos within the keys, counted by bands."""
+    cut = rows.withColumn("__band", band)
+    sizes = cut.groupBy(*keys, "__band").agg(F.count("*").alias("__size"))
+    earlier = Window.partitionBy(*keys).orderBy("__band").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(*keys, "__band", F.coalesce(F.sum("__size").over(earlier), F.lit(0)).alias("__before"))
+    place = F.row_number().over(Window.partitionBy(*keys, "__band").orderBy(on, "pos"))
+    return cut.withColumn("__place", place).join(before, [*keys, "__band"]).withColumn("__rank", F.col("__before") + F.col("__place"))
+
+
+def context(rows: DataFrame, keys: list[str], on: str, tolerance: int, label: str, first: int) -> DataFrame:
+    """pos, near, names: how many other rows with a label lie within the tolerance of each row, and the labels of the ``first`` of them by ``on`` and pos.
+
+    Labelled rows are numbered within their keys; a row's neighbours are the numbers from the first to the last within its
+    tolerance, which are counted by bands as wide as that, so that their number follows by subtraction and only
+    those that are shown are joined. Rows with none are left out.
+    """
+    width = F.lit(tolerance)
+    band = lambda value: F.floor(value / width)
+    named = _ranked(rows.where(F.col(label) != "").select(*keys, "pos", on, label), keys, on, band(F.col(on)))
+    named = saved(named.select(*keys, "__band", "__rank", "pos", on, label))
+    # how many labelled rows lie before a value, or up to it: those of the bands before, and those of its own band
+    ends = rows.select(*keys, F.explode(F.array(F.struct((F.col(on) - tolerance).alias("v"), F.lit(0).alias("side")), F.struct((F.col(on) + tolerance).alias("v"), F.lit(2).alias("side")))).alias("e"))
+    ends = ends.select(*keys, "e.v", "e.side").distinct().withColumn("__band", band(F.col("v")))
+    both = ends.select(*keys, "__band", "v", "side", F.lit(0).alias("one")).unionByName(named.select(*keys, "__band", F.col(on).alias("v"), F.lit(1).alias("side"), F.lit(1).alias("one")))
+    upto = F.sum("one").over(Window.partitionBy(*keys, "__band").orderBy("v", "side").rowsBetween(Window.unboundedPreceding, 0))
+    own = both.withColumn("__upto", upto).where("side <> 1").select(*keys, "__band", "v", "side", "__upto")
+    # bands without labelled rows have some before them as well
+    sizes = named.groupBy(*keys, "__band").agg(F.count("*").alias("__size"))
+    table = own.select(*keys, "__band").unionByName(sizes.select(*keys, "__band")).distinct().join(sizes, [*keys, "__band"], "left")
+    earlier = Window.partitionBy(*keys).orderBy("__band").rowsBetween(Window.unboundedPreceding, -1)
+    table = table.select(*keys, "__band", F.coalesce(F.sum("__size").over(earlier), F.lit(0)).alias("__before"))
+    counts = own.join(table, [*keys, "__band"]).select(*keys, "v", "side", (F.col("__before") + F.col("__upto")).alias("__n"))
+    low = counts.where("side = 0").select(*keys, (F.col("v") + tolerance).alias(on), F.col("__n").alias("__low"))
+    high = counts.where("side = 2").select(*keys, (F.col("v") - tolerance).alias(on), F.col("__n").alias("__high"))
+    self_counts = F.when(F.col(label) != "", 1).otherwise(0)
+    met = rows.select(*keys, "pos", on, label).join(low.join(high, [*keys, on]), [*keys, on]).withColumn("near", (F.col("__high") - F.col("__low") - self_counts).cast("long")).where("near > 0")
+    shown = met.select(*keys, "pos", "near", F.explode(F.sequence(F.col("__low") + 1, F.least(F.col("__high"), F.col("__low") + first + 1))).alias("__rank"))
+    other = named.select(*keys, "__rank", F.col("pos").alias("__pos"), F.col(label).alias("__label"))
+    beside = shown.join(other, [*keys, "__rank"]).where("pos <> __pos")
+    told = beside.groupBy("pos").agg(F.max("near").alias("near"), F.array_sort(F.collect_list(F.struct("__rank", "__label"))).alias("l"))
+    return told.select("pos", "near", F.array_join(F.transform(F.slice("l", 1, first), lambda x: x["__label"]), "|").alias("names"))
+
+
 def by_keys_in_turn(left: DataFrame, right: DataFrame, keys: list[list[str]], value: str) -> DataFrame:
     """``left`` with ``value`` of the right rows that agree in the first list of keys; where none do, in the second, and so on. Of several, the least."""
     out = left
@@ -80,9 +148,121 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """``df`` as it is now, in the shared folder: a loop's plan stays short, and lost executors lose nothing."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """``df`` as it is now, written to the shared folder: a loop's plan stays short, and lost executors lose nothing.
+
+    :func:`dropped` deletes it when its last reader is done; :func:`clear` deletes what a session has left.
+    """
+    spark = df.sparkSession
+    path = work_path(spark, "rows")
+    df.write.parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.saved_path = path
+    return back
+
+
+_left: dict[str, set[str]] = {}
+
+
+def work_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which :func:`delete` or :func:`clear` removes."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _left.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _left.get(spark.sparkContext.applicationId, set()).discard(path)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete saved tables that nothing will read any more."""
+    for t in tables:
+        delete(t.sparkSession, t.saved_path)
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete every saved table that this session has left, and tell how many; results that still read them are void."""
+    paths = list(_left.get(spark.sparkContext.applicationId, ()))
+    for path in paths:
+        delete(spark, path)
+    return len(paths)
+
+
+def one_to_one(edges: DataFrame, keys: list[str], left: str, right: str, order: list[str]) -> DataFrame:
+    """keys, left, right: the matching that takes edges in rising ``order`` (then left, then right), each if both its ends are free.
+
+    Rounds of locally first edges: an edge that comes first at both of its ends is taken whatever the others do, and
+    all edges at taken ends go. What a round takes is what the choice one by one would take, so no task needs
+    the edges of a key together; firsts at an end are found by aggregates.
+    """
+    rest = saved(edges.select(*keys, left, right, F.struct(*dict.fromkeys([*order, left, right])).alias("o")))
+    taken = []
+    while not rest.isEmpty():
+        first = lambda side: rest.groupBy(*keys, side).agg(F.min("o").alias("o")).select(*keys, f"o.{left}", f"o.{right}")  # noqa: E731, B023
+        won = saved(first(left).join(first(right), [*keys, left, right]))
+        taken.append(won)
+        fewer = rest.join(won.select(*keys, left), [*keys, left], "left_anti").join(won.select(*keys, right), [*keys, right], "left_anti")
+        fewer = saved(fewer.select(*rest.columns))
+        dropped(rest)
+        rest = fewer
+    out = rest.select(*keys, left, right)
+    for won in taken:
+        out = out.unionByName(won)
+    return out
+
+
+def reached(links: DataFrame, starts: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, n: the nodes on the chains that begin at ``starts`` (keys, n; one for each key) and follow ``links`` (keys, n, to).
+
+    By pointer doubling: after k rounds the first 2**k nodes of every chain are known, and links lead 2**k nodes on.
+    """
+    seen, jump = saved(starts.select(*keys, "n")), saved(links.select(*keys, "n", "to").where("to is not null"))
+    while True:
+        more = saved(seen.join(jump, [*keys, "n"]).select(*keys, F.col("to").alias("n")))
+        if more.isEmpty():
+            dropped(more, jump)
+            return seen
+        onward = jump.select(*keys, F.col("n").alias("to"), F.col("to").alias("then"))
+        further = saved(jump.join(onward, [*keys, "to"]).select(*keys, "n", F.col("then").alias("to")))
+        both = saved(seen.unionByName(more))
+        dropped(seen, more, jump)
+        seen, jump = both, further
+
+
+def running_sum(rows: DataFrame, keys: list[str], order: str, value: str, name: str, width: int) -> DataFrame:
+    """``rows`` with the sum of ``value`` up to each row: within stretches of ``width`` of the order, and over the stretches before."""
+    cut = rows.withColumn("__part", F.floor(F.col(order) / width))
+    parts = cut.groupBy(*keys, "__part").agg(F.sum(value).alias("__all"))
+    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("__before", F.coalesce(F.sum("__all").over(before), F.lit(0))).drop("__all")
+    inside = Window.partitionBy(*keys, "__part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return cut.withColumn("__sum", F.sum(value).over(inside)).join(parts, [*keys, "__part"]).withColumn(name, F.col("__sum") + F.col("__before")).drop("__part", "__sum", "__before")
+
+
+def first_at_least(points: DataFrame, keys: list[str], n: str, value: str, step: float, name: str, width: int) -> DataFrame:
+    """keys, n, name: for each point the least n whose value is that of the point plus ``step`` or more, null if there is none.
+
+    Values must not fall with n. Points lie in stretches of ``width`` of n. The greatest value of each stretch tells in
+    which stretch a point's answer lies, and within it the answer is a running minimum over falling values,
+    so that only tables of stretches are ordered by whole keys.
+    """
+    cut = points.select(*keys, n, F.col(value).alias("__v"), F.floor(F.col(n) / width).alias("__part"))
+    top = cut.groupBy(*keys, "__part").agg(F.max("__v").alias("__top"), F.min("__v").alias("__low"))
+    last = F.lag("__top").over(Window.partitionBy(*keys).orderBy("__part"))
+    goals = top.withColumn("__last", last).select(*keys, F.col("__part").alias("__goal"), "__last", "__top")
+    # the stretches that answers for a stretch can lie in
+    asks = top.select(*keys, "__part", (F.col("__low") + step).alias("__from"), (F.col("__top") + step).alias("__to"))
+    ways = asks.join(goals, keys).where((F.col("__top") >= F.col("__from")) & (F.col("__last").isNull() | (F.col("__last") < F.col("__to")))).select(*keys, "__part", "__goal", "__last", "__top")
+    probes = cut.select(*keys, n, (F.col("__v") + step).alias("__v"), "__part").join(ways, [*keys, "__part"])
+    probes = probes.where((F.col("__v") <= F.col("__top")) & (F.col("__last").isNull() | (F.col("__v") > F.col("__last"))))
+    asked = probes.select(*keys, F.col("__goal").alias("__part"), "__v").distinct().withColumn("__n", F.lit(None).cast(points.schema[n].dataType))
+    both = asked.unionByName(cut.select(*keys, "__part", "__v", F.col(n).alias("__n")))
+    falling = Window.partitionBy(*keys, "__part").orderBy(F.desc("__v"), F.col("__n").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    told = both.withColumn(name, F.min("__n").over(falling)).where("__n is null").select(*keys, F.col("__part").alias("__goal"), "__v", name)
+    found = probes.join(told, [*keys, "__goal", "__v"]).select(*keys, n, name)
+    return cut.select(*keys, n).join(found, [*keys, n], "left")
 
 
 def fill_by_keys(rows: DataFrame, other: DataFrame, keys: list[str], fields: list[str], pos: str = "pos") -> DataFrame:

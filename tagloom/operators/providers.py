@@ -10,6 +10,9 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tagloom.operators.joins import first_at_least, reached, running_sum, saved
 
 Provider = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 #: Contract of each kind of provider: the columns that it yields.
@@ -30,19 +33,25 @@ def run(table: DataFrame, provider: Provider, kind: str, order: tuple[str, ...]
     return table.mapInPandas(provider, CONTRACTS[kind])
 
 
-def kept_frames(frames: DataFrame, stride_ms: int, least_sharpness: float, least_difference: float) -> DataFrame:
-    """Frames at least ``stride_ms`` after the last kept, sharp enough and different enough from it.
+STRETCH = 10_000  # frames that are ordered in one task
 
-    frames: the ``frames`` contract, ``difference`` being the change from the frame before; differences add up since the last kept.
-    """
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        keep, last, moved = [], None, 0.0
-        for r in rows.sort_values("frame_idx").itertuples():
-            moved += r.difference
-            if r.sharpness >= least_sharpness and (last is None or (r.frame_ts_ms - last >= stride_ms and moved >= least_difference)):
-                keep.append(r.frame_idx)
-                last, moved = r.frame_ts_ms, 0.0
-        return pd.DataFrame({"video": [rows.video.iloc[0]] * len(keep), "frame_idx": keep})
+def kept_frames(frames: DataFrame, stride_ms: int, least_sharpness: float, least_difference: float) -> DataFrame:
+    """video, frame_idx, in order: frames at least ``stride_ms`` after the last kept, sharp enough and different enough from it.
+
+    frames: the ``frames`` contract; frame_idx is unique in a video, and times do not fall with it. ``difference`` is the
+    change from the frame before, never negative; changes add up since the last kept, blurred frames included.
 
-    return frames.groupBy("video").applyInPandas(fold, "video string, frame_idx bigint")
+    The frame kept next depends on the last one alone: the first sharp one that is late enough, or the first
+    whose running sum of changes is great enough, whichever comes later. So each sharp frame has one link,
+    and the frames kept are those that links reach from the first sharp frame of a video.
+    """
+    summed = running_sum(frames.select("video", "frame_idx", "frame_ts_ms", "sharpness", "difference"), ["video"], "frame_idx", "difference", "moved", STRETCH)
+    sharp = saved(summed.where(F.col("sharpness") >= least_sharpness).select("video", F.col("frame_idx").alias("n"), "frame_ts_ms", "moved"))
+    if stride_ms <= 0 and least_difference <= 0:
+        return sharp.select("video", F.col("n").alias("frame_idx")).orderBy("video", "frame_idx")
+    late = first_at_least(sharp, ["video"], "n", "frame_ts_ms", stride_ms, "late", STRETCH)
+    far = first_at_least(sharp, ["video"], "n", "moved", least_difference, "far", STRETCH)
+    after = late.join(far, ["video", "n"]).where("late is not null and far is not null").select("video", "n", F.greatest("late", "far").alias("to"))
+    starts = sharp.groupBy("video").agg(F.min("n").alias("n"))
+    return reached(after, starts, ["video"]).select("video", F.col("n").alias("frame_idx")).orderBy("video", "frame_idx")

@@ -14,7 +14,7 @@ from tagloom.operators import evaluate as E
 from tagloom.operators import filters, fusion, joins, recovery, tracks
 from tagloom.plans.evaluation_queries import _CODE, _NAME, _PRICE, _T, _TEXT
 from tagloom.plans.registry import PLAIN_SQL, query
-from tagloom.plans.text_queries import _FIX, ean_sql
+from tagloom.plans.text_queries import _FIX, INFO_SQL, MARK_SQL, ean_sql
 from tagloom.sources.adapters import view
 
 _CLEAN = f"trim(regexp_replace(regexp_replace({_FIX.replace('ocr_text', 'text')}, '[^0-9.,\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
@@ -55,13 +55,13 @@ def parse_barcode(spark, sf_dir):
     return view(spark, sf_dir, "ocr_frames").select("pos", T.parse_barcode(F.col("ocr_text"), F.col("barcode_raw")).alias("barcode"))
 
 
-FUSED = ["price_default", "price_card", "discount_amount", "id_sku", "print_datetime", "code", "barcode"]
+FUSED = ["price_default", "price_card", "discount_amount", "id_sku", "print_datetime", "code", "additional_info", "special_symbols", "barcode"]
 _FIELDS = (
     f"frames as (select o.pos, cast(floor(o.pos / 100) as bigint) as track_id, coalesce(cast(p.price_default as varchar), '') as price_default, coalesce(cast(p.price_card as varchar), '') as price_card, d.discount as discount_amount, "
-    "regexp_replace(s.sku, case when length(regexp_replace(s.sku, '[^0-9]', '', 'g')) >= 9 then '[^0-9]' else '$^' end, '', 'g') as id_sku, t.printed as print_datetime, c.code, case when b.barcode <> '' then b.barcode when regexp_full_match(trim(q.qr_code_barcode), '[0-9]{12,13}') then trim(q.qr_code_barcode) else '' end as barcode "
+    "regexp_replace(s.sku, case when length(regexp_replace(s.sku, '[^0-9]', '', 'g')) >= 9 then '[^0-9]' else '$^' end, '', 'g') as id_sku, t.printed as print_datetime, c.code, i.info as additional_info, y.mark as special_symbols, case when b.barcode <> '' then b.barcode when regexp_full_match(trim(q.qr_code_barcode), '[0-9]{12,13}') then trim(q.qr_code_barcode) else '' end as barcode "
     "from ocr_frames o left join prices p using (pos) "
     + " ".join(f"join ({{{name}}}) {alias} using (pos)" for name, alias in (("parse_discount", "d"), ("parse_sku", "s"), ("parse_datetime", "t"), ("parse_code", "c"), ("parse_barcode", "b"), ("parse_qr_kv", "q")))
-    + ")"
+    + f" join ({INFO_SQL}) i using (pos) join ({MARK_SQL}) y using (pos))"
 )
 _FUSE = (
     _PRICES.rstrip() + ", " + _FIELDS.replace("{12,13}", "{{12,13}}").format(**PLAIN_SQL)
@@ -207,22 +207,25 @@ def sharpest_calm_frames(spark, sf_dir):
     return filters.sharpest_calm(f, ["track_id"], "motion", "score", 2).select("track_id", "pos", "choice")
 
 
-@query("select status, count(*) as tags from (select case when d.hit is null then 'miss' when d.hit = d.barcode then 'EXACT' when substr(d.hit, 1, 12) = substr(d.barcode, 1, 12) then 'PREFIX12' else 'ANY' end as status from (select g.pos, g.barcode, nullif(d.barcode, '') as hit from (select t.pos, c.barcode from track_codes t join catalog c on c.part_id = t.track_id % 97 + 1) g join track_codes d using (pos)) d) group by 1", "track_codes", "catalog")
+@query("select status, count(*) as tags from (select case when d.hit is null then 'miss' when d.hit = d.barcode then 'EXACT' when substr(d.hit, 1, 12) = substr(d.barcode, 1, 12) then 'PREFIX12' else 'ANY' end as status from (select g.pos, g.barcode, nullif(d.barcode, '') as hit from (select t.pos, c.barcode from track_codes t cross join (select count(*) as parts from catalog) n join catalog c on c.part_id = t.track_id * 7919 % parts) g join track_codes d using (pos)) d) group by 1", "track_codes", "catalog")
 def decode_probe(spark, sf_dir):
     t = view(spark, sf_dir, "track_codes")
-    truth = t.select("pos", (F.col("track_id") % 97 + 1).alias("part_id")).join(view(spark, sf_dir, "catalog").select("part_id", "barcode"), "part_id")
+    c = view(spark, sf_dir, "catalog")
+    truth = t.select("pos", "track_id").crossJoin(c.agg(F.count("*").alias("parts")))  # one single row
+    truth = truth.select("pos", (F.col("track_id") * 7919 % F.col("parts")).alias("part_id")).join(c.select("part_id", "barcode"), "part_id")
     hits = t.where("barcode <> ''").select("pos", F.col("barcode").alias("hit"))
     return filters.probe_status(truth, hits, ["pos"]).groupBy("status").agg(F.count("*").alias("tags"))
 
 
 @query(
-    "select round(avg(case when hit then 1.0 else 0.0 end), 6) as recall, count(*) as gt_rows from (select g.pos, coalesce(bool_or(cast(i as double) / (ga + da - i) >= 0.3), false) as hit from (select *, (x_max - x_min) * (y_max - y_min) as ga from gt) g left join (select *, (x_max - x_min) * (y_max - y_min) as da from detections where pos % 4 <> 0) d on g.video = d.video and abs(g.frame_timestamp - d.frame_timestamp) <= 1500, "
+    "select round(avg(case when hit then 1.0 else 0.0 end), 6) as recall, count(*) as gt_rows from (select g.pos, coalesce(bool_or(cast(i as double) / (ga + da - i) >= 0.3), false) as hit from (select *, (x_max - x_min) * (y_max - y_min) as ga from gt) g left join (select *, (x_max - x_min) * (y_max - y_min) as da from (select video, frame_timestamp, x_min + discount * 4 as x_min, y_min, x_max + discount * 4 as x_max, y_max from detections)) d on g.video = d.video and abs(g.frame_timestamp - d.frame_timestamp) <= 1500, "
     "lateral (select cast(greatest(least(g.x_max, d.x_max) - greatest(g.x_min, d.x_min), 0) as bigint) * greatest(least(g.y_max, d.y_max) - greatest(g.y_min, d.y_min), 0) as i) group by 1)",
     "gt", "detections",
 )
 def detector_recall(spark, sf_dir):
     gt = view(spark, sf_dir, "gt")
-    met = E.candidate_pairs(gt, view(spark, sf_dir, "detections").where("pos % 4 <> 0"), 1500, 0.3).select(F.col("gt_pos").alias("pos")).distinct().withColumn("hit", F.lit(1.0))
+    shifted = view(spark, sf_dir, "detections").withColumns({c: F.col(c) + 4 * F.col("discount") for c in ("x_min", "x_max")})
+    met = E.candidate_pairs(gt, shifted, 1500, 0.3).select(F.col("gt_pos").alias("pos")).distinct().withColumn("hit", F.lit(1.0))
     return gt.select("pos").distinct().join(met, "pos", "left").agg(F.round(F.avg(F.coalesce("hit", F.lit(0.0))), 6).alias("recall"), F.count("*").alias("gt_rows"))
 
 
@@ -242,11 +245,11 @@ def near_key_tight(spark, sf_dir):
     return gt.select("pos").distinct().join(met.groupBy("pos").agg(F.count("*").alias("near")), "pos", "left").fillna(0, ["near"])
 
 
-@query("select pos, case when pos % 3 = 0 then '' else product_name end || ' | ' || case when barcode = '' then '-' else barcode end || ' | ' || coalesce(cast(coalesce(price_default, price_card) as varchar), '-') as label, array_to_string(string_split(product_name, ' ')[1:2], ' ') || ' …' || right(barcode, 4) as short from detections", "detections")
+@query("select pos, case when pos % 3 = 0 then '' else product_name end || ' | ' || case when barcode = '' then '-' else barcode end || ' | ' || coalesce(cast(coalesce(price_default, price_card) as varchar), '-') as label, left(array_to_string(string_split(product_name || ' из ' || color || ' ' || id_sku || ' ' || print_datetime, ' ')[1:4], ' '), 36) || ' …' || right(barcode, 4) as short from detections", "detections")
 def display_labels(spark, sf_dir):
     d = view(spark, sf_dir, "detections")
     name = F.when(F.col("pos") % 3 == 0, "").otherwise(F.col("product_name"))
-    return d.select("pos", filters.row_label(name, F.col("barcode"), [F.col("price_default"), F.col("price_card")]).alias("label"), filters.short_label(F.col("product_name"), F.col("barcode"), words=2).alias("short"))
+    return d.select("pos", filters.row_label(name, F.col("barcode"), [F.col("price_default"), F.col("price_card")]).alias("label"), filters.short_label(F.concat_ws(" ", "product_name", F.lit("из"), "color", "id_sku", "print_datetime"), F.col("barcode")).alias("short"))
 
 
 @query("select pos, barcode is not null and regexp_matches(barcode, '^(2099999|2999999|0000000)') as placeholder, len(list_distinct(string_split(barcode, ''))) > 3 and length(barcode) - length(replace(barcode, '0', '')) < 6 as plausible from track_codes where barcode <> ''", "track_codes")
@@ -272,15 +275,6 @@ def rotated_boxes(spark, sf_dir):
     return f.select("pos", b[0].alias("x_min"), b[1].alias("y_min"))
 
 
-_WINES = "case pos % 6 when 0 then 'Вино кр. сух 0,75' when 1 then 'вино полусухое' when 2 then '2 по цене 1' when 3 then 'Виноград бедое' when 4 then 'п/сух белое' else 'хлеб' end"
-
-
-@query(f"select pos, case pos % 6 when 0 then 'Сухое' when 1 then 'Сухое' when 2 then '2 по цене 1 от цены без карты' when 3 then 'Белое' when 4 then 'Белое' else 'нет' end as info, case pos % 6 when 1 then 'Полусухое' when 4 then 'Полусухое' else '' end as hint, case pos % 6 when 0 then 'Сухое' else '' end as dry from (select pos, {_WINES} as t from ocr_frames)", "ocr_frames")
-def wine_kinds(spark, sf_dir):
-    t = view(spark, sf_dir, "ocr_frames").select("pos", F.expr(_WINES).alias("t"))
-    return t.select("pos", T.parse_additional_info(F.col("t")).alias("info"), T.wine_hint(F.col("t")).alias("hint"), T.dry_hint(F.col("t")).alias("dry"))
-
-
 @query("select pos, barcode, votes from (with p as (select pos, video % 20 as video, barcode, product_name from detections where barcode <> '' and product_name <> '') select video, min(pos) as pos, barcode, count(*) as votes from p group by video, barcode qualify row_number() over (partition by video order by min(pos)) <= 40)", "detections")
 def seen_products(spark, sf_dir):
     d = view(spark, sf_dir, "detections").withColumn("video", F.col("video") % 20)
@@ -313,7 +307,7 @@ def substring_fallback(spark, sf_dir):
     from tagloom.plans.catalog_queries import misread
 
     c = view(spark, sf_dir, "catalog")
-    return fuzzy.containing(misread(c), c, "text").groupBy("pos").agg(F.count("*").alias("holders"))
+    return fuzzy.holders(misread(c), c, "text")
 
 
 @query("with best as (select track_id, count(*) as n, avg(score) as mean from (select cast(floor(pos / 500) as bigint) as track_id, score from ocr_frames) group by 1) select arg_max(track_id, mean) as experiment, round(max(mean), 6) as metric from best", "ocr_frames")

@@ -24,5 +24,5 @@ def query(sql: str | None = None, *views: str):
     return put
 
 
-for _name in ("reporting_queries", "text_queries", "track_queries", "catalog_queries", "evaluation_queries", "recovery_queries", "rule_queries", "stream_queries"):
+for _name in ("reporting_queries", "text_queries", "track_queries", "catalog_queries", "fuzzy_queries", "evaluation_queries", "recovery_queries", "frame_queries", "rule_queries", "stream_queries", "file_queries"):
     import_module(f"tagloom.plans.{_name}")

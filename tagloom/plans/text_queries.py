@@ -91,6 +91,25 @@ def parse_code(spark, sf_dir):
 _QR = lambda key: f"case when not regexp_matches(qr_raw, '(^|[;&])({key})=') then '' when regexp_extract(qr_raw, '(^|[;&])({key})=([^;&]*)', 3) = '' then 'нет' else regexp_extract(qr_raw, '(^|[;&])({key})=([^;&]*)', 3) end"
 
 
+#: Half of the payloads as JSON objects, whose keys are the long names.
+_PAYLOAD = "case when pos % 2 = 0 or qr_raw = '' then qr_raw || case when pos % 3 = 0 and qr_raw <> '' then ';wL1C=' || pos % 5 || '&wL1P= 12.50 ;aP=;b=' || pos % 7 else '' end else '{\"barcode\":\"' || pos || '\",\"price2\":\"' || score || '\",\"price4\":\"\",\"wholesaleLevel2Count\":\"' || pos % 4 || '\",\"actionPrice\":\" 7 \",\"actionCode\":\"x\"}' end"
+_KEYED = lambda name, keys: (
+    f"case when js then json_extract_string(p, '$.{keys[0]}') else list_last(list_transform(list_filter(parts, lambda x: trim(string_split(x, '=')[1]) = '{keys[0]}'), lambda x: substr(x, strpos(x, '=') + 1))) end as a_{name}, "
+    f"case when js then json_extract_string(p, '$.{keys[1]}') else list_last(list_transform(list_filter(parts, lambda x: trim(string_split(x, '=')[1]) = '{keys[1]}'), lambda x: substr(x, strpos(x, '=') + 1))) end as b_{name}"
+)
+
+
+@query(
+    "select pos, " + ", ".join(f"case when coalesce(a_{f}, b_{f}) is null then '' when trim(coalesce(a_{f}, b_{f})) = '' then 'нет' else trim(coalesce(a_{f}, b_{f})) end as {f}" for f in T.QR_FIELDS)
+    + " from (select pos, " + ", ".join(_KEYED(f, keys) for f, keys in T.QR_FIELDS.items())
+    + f" from (select pos, p, p like '{{%' as js, list_filter(string_split_regex(p, '[;&\\n]'), lambda x: contains(x, '=')) as parts from (select pos, {_PAYLOAD} as p from ocr_frames)))",
+    "ocr_frames",
+)
+def parse_qr(spark, sf_dir):
+    """All eleven fields, of payloads in either form."""
+    return view(spark, sf_dir, "ocr_frames").select("pos", T.parse_qr(F.expr(_PAYLOAD)).alias("q")).select("pos", "q.*")
+
+
 @query(f"select pos, {_QR('barcode|b')} as qr_code_barcode, {_QR('price1|p1')} as price1_qr, {_QR('actionCode|aC')} as action_code_qr, {_QR('price2|p2')} as price2_qr from ocr_frames", "ocr_frames")
 def parse_qr_kv(spark, sf_dir):
     return view(spark, sf_dir, "ocr_frames").withColumn("q", T.parse_qr(F.col("qr_raw"))).select("pos", "q.qr_code_barcode", "q.price1_qr", "q.action_code_qr", "q.price2_qr")
@@ -114,6 +133,35 @@ def digit_ngrams(spark, sf_dir):
     return _frames(spark, sf_dir, run=F.explode(T.digit_runs(F.concat_ws(" ", "barcode_raw", F.regexp_replace("qr_raw", r"\D", "")))))
 
 
+# One-byte stand-ins for Cyrillic letters, since the twin's edit distance counts bytes.
+_CYRILLIC, _STAND_INS = "абвгдежзийклмнопрстуфхцчшщъыьэюяё", "ABCDEFGHIJKLMNOPQRSTUVWXYZ!#$%&*+"
+_SPARE = str.maketrans(_CYRILLIC, _STAND_INS)
+_ROUNDED = "regexp_matches(low, 'п\\s*/?\\s*сух|полусух')"
+_DRY = "regexp_matches(low, '(^|[^a-zа-яё0-9_/])кр\\.?\\s*сух')"
+INFO_SQL = (
+    f"select pos, case when {_DRY} and not {_ROUNDED} then 'Сухое' when regexp_extract(low, '([0-9]+)\\s*по\\s*цене\\s*([0-9]+)', 1) <> '' then regexp_replace(regexp_extract(low, '[0-9]+\\s*по\\s*цене\\s*[0-9]+'), '\\s*по\\s*цене\\s*', ' по цене ') || ' от цены без карты' "
+    + " ".join(f"when contains(low, '{w}') or len(list_filter(toks, lambda t: levenshtein(t, '{w.translate(_SPARE)}') <= 1)) > 0 then '{label}'" for w, label in T.WINE_KINDS.items())
+    + f" else 'нет' end as info, low from (select pos, low, list_transform(list_filter(list_transform(string_split_regex(low, '\\s+'), lambda t: regexp_replace(t, '[^a-zа-я0-9ё]', '', 'g')), lambda t: t <> ''), lambda t: translate(t, '{_CYRILLIC}', '{_STAND_INS}')) as toks from (select pos, lower(ocr_text) as low from ocr_frames))"
+)
+
+
+@query(
+    "select pos, info, case when regexp_matches(low, '(^|[^a-zа-яё0-9_])п\\s*/\\s*сух([^a-zа-яё0-9_]|$)|полусух') then 'Полусухое' when regexp_matches(low, '(^|[^a-zа-яё0-9_])п\\s*/\\s*сл([^a-zа-яё0-9_]|$)|полуслад') then 'Полусладкое' else '' end as hint, "
+    f"case when {_ROUNDED} then '' when {_DRY} then 'Сухое' else '' end as dry from ({INFO_SQL})",
+    "ocr_frames",
+)
+def wine_kinds(spark, sf_dir):
+    text = F.col("ocr_text")
+    return _frames(spark, sf_dir, info=T.parse_additional_info(text), hint=T.wine_hint(text), dry=T.dry_hint(text))
+
+
+#: К, Ш or Ц of the tokens of each frame.
+MARK_SQL = (
+    "select e.pos, coalesce(c, 'нет') as mark from (select distinct pos from ocr_frames) e left join (select pos, c, row_number() over (partition by pos order by count(*) desc, max(height) desc, min(idx)) as k from (select pos, idx, height, upper(regexp_replace(trim(text), '[^КШЦкшц]', '', 'g')) as c, trim(text) as t from tokens) "
+    "where length(c) = 1 and length(t) <= 3 and not regexp_matches(t, '[0-9]') group by 1, 2) r on r.pos = e.pos and k = 1"
+)
+
+
 NAMED = "case when product_name = '' then '' when pos % 3 = 0 then 'Вино ' || product_name when pos % 3 = 1 then product_name || ' (Chile) 0.75' else 'Сыр ' || substr(product_name, 1, 4) || ' doc' end"
 _LETTERS = "length(regexp_replace(s, '[^A-Za-zА-Яа-яЁё]', '', 'g'))"
 _TOK = "list_filter(string_split_regex(s, '\\s+'), lambda t: t <> '')"

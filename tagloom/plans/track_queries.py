@@ -77,8 +77,6 @@ def propagate_track(spark, sf_dir):
 
 @query("select track_id, pos, rank from (select cast(floor(pos / 100) as bigint) as track_id, pos, row_number() over (partition by cast(floor(pos / 100) as bigint) order by score desc, pos) as rank from ocr_frames) where rank <= 3", "ocr_frames")
 def top_frames(spark, sf_dir):
-    from pyspark.sql import Window
-
     rank = F.row_number().over(Window.partitionBy("track_id").orderBy(F.col("score").desc(), "pos"))
     return wide(spark, sf_dir).withColumn("rank", rank).where("rank <= 3").select("track_id", "pos", "rank")
 
@@ -119,12 +117,7 @@ def nearest_fallback(spark, sf_dir):
 )
 def shelf_context(spark, sf_dir):
     d = view(spark, sf_dir, "detections").select("pos", "video", "frame_timestamp", "product_name")
-    met = joins.band_join(d, d.where("product_name <> ''"), ["video"], "frame_timestamp", 600, False).where("pos <> r_pos")
-    # the first ten are picked before they are collected, so that no tag's neighbours are held together
-    nth = Window.partitionBy("pos").orderBy("r_frame_timestamp", "r_pos")
-    ranked = met.select("pos", "r_frame_timestamp", "r_pos", "r_product_name", F.row_number().over(nth).alias("n"))
-    first = F.when(F.col("n") <= 10, F.struct("n", "r_product_name"))
-    return ranked.groupBy("pos").agg(F.count("*").alias("near"), F.array_join(F.transform(F.array_sort(F.collect_list(first)), lambda r: r["r_product_name"]), "|").alias("names"))
+    return joins.context(d, ["video"], "frame_timestamp", 600, "product_name", 10)
 
 
 _BOXES = "(select pos, video, frame_timestamp // 500 as frame, x_min, y_min, x_max, y_max from detections)"
@@ -168,7 +161,6 @@ def frame_expand(spark, sf_dir):
 
 @query("select video, frame_timestamp, r as rank from (select distinct video, frame_timestamp, dense_rank() over (partition by video order by frame_timestamp) as r from gt) where r <= 3", "gt")
 def first_timestamps(spark, sf_dir):
-    from pyspark.sql import Window
 
     rank = F.dense_rank().over(Window.partitionBy("video").orderBy("frame_timestamp")).cast("long")
     return view(spark, sf_dir, "gt").select("video", "frame_timestamp", rank.alias("rank")).where("rank <= 3").distinct()
@@ -181,16 +173,20 @@ def padded_boxes(spark, sf_dir):
 
 
 _SCORED = PLAIN_SQL["confidence_score"].replace(NAMED, "product_name").replace("select pos, case when ok", "select *, case when ok", 1)
-_RANKED = f"with recursive s as ({_SCORED}), d as (select video, pos, frame_timestamp as ts, x_min, y_min, x_max, y_max, row_number() over (partition by video order by length(barcode) >= 12 desc, confidence desc, (x_max - x_min) * (y_max - y_min) desc, pos) as k from (select * from s qualify row_number() over (partition by video, pos order by length(barcode) >= 12 desc, confidence desc, (x_max - x_min) * (y_max - y_min) desc) = 1)), "
-_COVERS = "abs(c.ts - d.ts) <= 3000 and 2 * greatest(least(c.x1, d.x_max) - greatest(c.x0, d.x_min), 0) * greatest(least(c.y1, d.y_max) - greatest(c.y0, d.y_min), 0) >= least((c.x1 - c.x0) * (c.y1 - c.y0), (d.x_max - d.x_min) * (d.y_max - d.y_min))"
+_TURNS = "d as (select video, pos, frame_timestamp as ts, x_min, y_min, x_max, y_max, row_number() over (partition by video order by length(barcode) >= 12 desc, confidence desc, (x_max - x_min) * (y_max - y_min) desc, pos) as k from (select * from s qualify row_number() over (partition by video, pos order by length(barcode) >= 12 desc, confidence desc, (x_max - x_min) * (y_max - y_min) desc) = 1)), "
 
 
-@query(
-    _RANKED + "st as (select video, cast(0 as bigint) as k, cast([] as struct(pos bigint, ts bigint, x0 integer, y0 integer, x1 integer, y1 integer)[]) as kept from d where k = 1 union all "
-    f"select d.video, d.k, case when len(list_filter(kept, lambda c: {_COVERS})) = 0 then list_append(kept, {{'pos': d.pos, 'ts': d.ts, 'x0': d.x_min, 'y0': d.y_min, 'x1': d.x_max, 'y1': d.y_max}}) else kept end from st join d on d.video = st.video and d.k = st.k + 1) "
-    "select video, x.pos as pos from (select video, unnest(kept) as x from (select video, arg_max(kept, k) as kept from st group by 1))",
-    "detections",
-)
+def unsuppressed(window_ms: int) -> str:
+    """SQL: video and pos of the rows of ``s`` that stay, chosen one by one in the order of their rank."""
+    covers = f"abs(c.ts - d.ts) <= {window_ms} and 2 * greatest(least(c.x1, d.x_max) - greatest(c.x0, d.x_min), 0) * greatest(least(c.y1, d.y_max) - greatest(c.y0, d.y_min), 0) >= least((c.x1 - c.x0) * (c.y1 - c.y0), (d.x_max - d.x_min) * (d.y_max - d.y_min))"
+    return (
+        _TURNS + "st as (select video, cast(0 as bigint) as k, cast([] as struct(pos bigint, ts bigint, x0 integer, y0 integer, x1 integer, y1 integer)[]) as kept from d where k = 1 union all "
+        f"select d.video, d.k, case when len(list_filter(kept, lambda c: {covers})) = 0 then list_append(kept, {{'pos': d.pos, 'ts': d.ts, 'x0': d.x_min, 'y0': d.y_min, 'x1': d.x_max, 'y1': d.y_max}}) else kept end from st join d on d.video = st.video and d.k = st.k + 1), "
+        "stay as (select video, x.pos as pos from (select video, unnest(kept) as x from (select video, arg_max(kept, k) as kept from st group by 1)))"
+    )
+
+
+@query(f"with recursive s as ({_SCORED}), {unsuppressed(3000)} select * from stay", "detections")
 def suppress(spark, sf_dir):
     return tracks.suppress(confidence(view(spark, sf_dir, "detections")), 3000)
 
@@ -207,7 +203,19 @@ def best_frames(spark, sf_dir):
     return tracks.best_frames(wide(spark, sf_dir).select("track_id", "pos", "score", "frame_ts_ms"), ["track_id"])
 
 
-@query()
+#: Boxes one by one, in the order of frames: each joins the live track it overlaps most, else begins one.
+TRACKS_SQL = (
+    "with recursive b as (select video, cast(floor(frame_timestamp / 100) as bigint) as f, pos, x_min, y_min, x_max, y_max, row_number() over (partition by video order by floor(frame_timestamp / 100), pos) as k from detections), "
+    "st as (select video, cast(0 as bigint) as k, cast(null as bigint) as pos, cast(null as int) as track_id, cast(0 as int) as begun, cast([] as struct(id integer, f bigint, x0 integer, y0 integer, x1 integer, y1 integer)[]) as live from b where k = 1 union all "
+    "select video, k, pos, id, greatest(begun, id + 1), list_append(list_filter(live, lambda t: t.id <> id and f - t.f <= 5), {'id': id, 'f': f, 'x0': x_min, 'y0': y_min, 'x1': x_max, 'y1': y_max}) "
+    "from (select *, coalesce(list_sort(list_filter(list_transform(list_filter(live, lambda t: f - t.f <= 5 and t.f < f), lambda t: {'apart': -coalesce(cast(greatest(least(t.x1, x_max) - greatest(t.x0, x_min), 0) * greatest(least(t.y1, y_max) - greatest(t.y0, y_min), 0) as double) / "
+    "nullif((t.x1 - t.x0) * (t.y1 - t.y0) + (x_max - x_min) * (y_max - y_min) - greatest(least(t.x1, x_max) - greatest(t.x0, x_min), 0) * greatest(least(t.y1, y_max) - greatest(t.y0, y_min), 0), 0), 0), 'id': t.id}), lambda c: c.apart <= -0.3))[1].id, begun) as id "
+    "from (select b.*, st.begun, st.live from st join b on b.video = st.video and b.k = st.k + 1))) "
+    "select video, pos, track_id from st where k > 0"
+)
+
+
+@query(TRACKS_SQL, "detections")
 def iou_tracker(spark, sf_dir):
     return tracks.follow(moving_boxes(view(spark, sf_dir, "detections")))
 

@@ -23,6 +23,10 @@ from {orders}""",
 select p_partkey as part_id, body || cast((10 - ({_DIGIT}) % 10) % 10 as varchar(1)) as barcode, p_name || ' ' || p_brand as name,
   cast(round(p_retailprice * 100) as bigint) as price, cast(floor((cast(round(p_retailprice * 100) as bigint) * 9 + 5) / 10) as bigint) as card_price
 from (select *, {_BODY} as body from {{part}}) p""",
+    "tag_texts": """
+select part_id as pos, case cast(floor(part_id / 20) as bigint) % 5 when 0 then name || ' ' || rub || '.' || kop when 1 then substr(name, 1, 3) || substr(name, 5) || ' ' || less || '.' || kop
+  when 2 then replace(replace(name, 'l', 'i'), 'o', '0') when 3 then replace(name, 'Brand', 'Brnd') || ' вино' else upper(substr(name, 1, length(name) - 9)) || ' напиток ' || less || '.' || kop end as text
+from (select *, cast(cast(floor(price / 100) as bigint) as varchar(9)) as rub, cast(cast(floor(price * 7 / 1000) as bigint) as varchar(9)) as less, lpad(cast(price % 100 as varchar(2)), 2, '0') as kop from {catalog} where part_id % 20 = 0) p""",
     "detections": """
 select ((l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey) * 100000 + l_suppkey as pos, l_orderkey as job_id, cast(l_orderkey % 500 as int) as video,
   case when l_linenumber % 5 = 0 then '' when l_linenumber % 7 = 0 then substr(barcode, 1, 12) || cast((cast(substr(barcode, 13, 1) as int) + 1) % 10 as varchar(1)) else barcode end as barcode,
@@ -52,7 +56,8 @@ select event_id as pos, cast(user_id as int) as video, cast(floor(event_id / 5)
   case when event_id % 6 = 0 then '' else 'b=46012345' || lpad(cast(event_id % 17 as varchar(4)), 4, '0') || cast(event_id % 10 as varchar(1)) || ';p1=' || cast(event_id % 900 + 10 as varchar(4)) || '.99&aC=' || cast(event_id % 4 as varchar(1)) end as qr_raw,
   case when event_id % 4 = 0 then '' else '46012345' || lpad(cast(event_id % 23 as varchar(4)), 4, '0') || cast(event_id % 10 as varchar(1)) end as barcode_raw,
   'no ' || cast(event_id % 900 + 10 as varchar(4)) || '.' || lpad(cast(event_id % 100 as varchar(2)), 2, '0') || case when event_id % 3 = 0 then ' -3O% ' when event_id % 3 = 1 then ' 5% ' else ' sale 25 % ' end
-    || case when event_id % 2 = 0 then 'l2.05.25 9:07' else '7/11/2024' end || case event_id % 5 when 0 then ' 12_012345 - 067890' when 1 then ' 012345-067890' when 2 then ' 270 102 162817' when 3 then ' 270102 - 012345' else ' 3_0l2345' end as ocr_text,
+    || case when event_id % 2 = 0 then 'l2.05.25 9:07' else '7/11/2024' end || case event_id % 5 when 0 then ' 12_012345 - 067890' when 1 then ' 012345-067890' when 2 then ' 270 102 162817' when 3 then ' 270102 - 012345' else ' 3_0l2345' end
+    || case cast(floor(abs(value)) as bigint) % 9 when 0 then ' Вино кр. сух 0,75' when 1 then ' вино полусухое' when 2 then ' 2 по цене 1' when 3 then ' бедое' when 4 then ' п/сух белое' when 5 then ' игристое, сладкое' else '' end as ocr_text,
   'нет' as none_text, event_type, cast(floor(abs(value)) as bigint) as score
 from {events}""",
     "tokens": """
@@ -61,12 +66,13 @@ union all select event_id, 1, lpad(cast(event_id * 3 % 100 as varchar(4)), 2, '0
 union all select event_id, 2, case when event_id % 3 = 0 then 'l' || cast(event_id % 9000 as varchar(6)) || ',' || lpad(cast(event_id % 100 as varchar(4)), 2, '0') || 'p' when event_id % 3 = 1 then 'no price' else '5' end, cast(20 + event_id % 40 as int) from {events}
 union all select event_id, 3, 'I' || cast(event_id % 9 as varchar(2)) || 'O', cast(event_id % 4 * 15 as int) from {events}
 union all select event_id, 4, cast(event_id % 89 + 10 as varchar(4)) || '.', cast(30 + event_id % 20 as int) from {events}
-union all select event_id, 5, cast(event_id % 970 + 10 as varchar(6)), cast(90 - event_id % 60 as int) from {events} where event_id % 4 <> 0""",
+union all select event_id, 5, cast(event_id % 970 + 10 as varchar(6)), cast(90 - event_id % 60 as int) from {events} where event_id % 4 <> 0
+union all select event_id, 6 + k, case when (event_id + k) % 4 = 0 then 'К' when cast(floor(abs(value)) as bigint) % 3 = 0 then 'ш.' when (event_id * k) % 5 = 1 then 'Ц1' else ' Ц' end, cast(floor(abs(value)) as int) % 60 + k * 3 from {events} cross join (select 0 as k union all select 1 union all select 2) n where event_id % 3 <> 0""",
     "track_codes": """
 select e.event_id as pos, cast(floor(e.event_id / 6) as bigint) as track_id, cast(e.user_id as int) as video,
   case when e.event_id % 3 = 0 then 'EAN ' || c.barcode || ' ' when e.event_id % 3 = 1 then 'x' || substr(c.barcode, 1, 11) || 'O' || substr(c.barcode, 13, 1) || ' 12' else 'n' || substr(c.barcode, 2, 11) end as text,
   case when floor(e.event_id / 6) % 3 = 0 then c.barcode when e.event_id % 5 = 0 then substr(c.barcode, 1, 12) when e.event_id % 5 = 1 then '2999999' || substr(c.barcode, 8, 6) else '' end as barcode
-from {events} e join {catalog} c on c.part_id = floor(e.event_id / 6) % 97 + 1""",
+from {events} e cross join (select count(*) as parts from {part}) n join {catalog} c on c.part_id = cast(floor(e.event_id / 6) as bigint) * 7919 % parts""",
     "tags23": """
 select pos, video, product_name, price_default, price_card, price_card - 700 as price_discount, barcode, case when discount = 0 then 'нет' else '-' || cast(discount as varchar(4)) || '%' end as discount_amount, id_sku, print_datetime,
   case when pos % 4 = 0 then '' when pos % 4 = 1 then 'нет' else '12_012345' end as code, case when pos % 3 = 0 then 'Сухое' else 'нет' end as additional_info, color, special_symbols, qr_code_barcode,

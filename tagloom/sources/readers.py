@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import itertools
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,12 +44,43 @@ def rename_headers(df: DataFrame) -> DataFrame:
     return df.toDF(*[ALIASES.get(c, c) for c in clean])
 
 
-def read_catalog_any(spark: SparkSession, path: str, sep: str = ";", limit: int | None = None) -> DataFrame:
-    """UTF-8 if the file is valid UTF-8, else windows-1251."""
-    as_utf8 = spark.read.csv(path, header=True, sep=sep, encoding="UTF-8")
-    broken = as_utf8.where(F.concat_ws("", *[F.col(f"`{c}`") for c in as_utf8.columns]).contains("�")).limit(1).count() or any("�" in c for c in as_utf8.columns)
-    df = read_catalog(spark, path, sep) if broken else rename_headers(as_utf8)
-    return df.limit(limit) if limit is not None else df
+# Fixed value: the encodings that a catalog file may be in, in the order in which they are tried.
+ENCODINGS = ("utf-8", "cp1251", "latin-1")
+
+
+def decoded(content: bytes, encodings: tuple[str, ...] = ENCODINGS) -> tuple[str, str]:
+    """The text of a file and the first encoding in which all its bytes have a meaning."""
+    for encoding in encodings:
+        try:
+            return content.decode(encoding).removeprefix("\ufeff"), encoding
+        except UnicodeDecodeError:
+            continue
+    raise ValueError(f"the file is in none of {encodings}")
+
+
+def read_catalog_any(spark: SparkSession, path: str, sep: str = ";", limit: int | None = None, columns: tuple[str, ...] = ("name", "barcode"), details: bool = False, glob: str = "*") -> DataFrame:
+    """The ``columns`` (strings, null where a file lacks one) of every file, each in its own encoding, in one scan; with ``details`` source_file, encoding and row before them.
+
+    limit: the first so many rows of each file. A file is decoded and split by one task; headers may bear any of
+    the names in ``ALIASES``.
+    """
+    head = ["source_file", "encoding", "row"]
+
+    def each(batches):
+        for files in batches:
+            for name, content in zip(files.path, files.content, strict=True):
+                text, encoding = decoded(content)
+                rows = csv.reader(io.StringIO(text, newline=""), delimiter=sep)
+                names = [ALIASES.get(c, c) for c in (x.strip().lower() for x in next(rows, []))]
+                at = [names.index(c) if c in names else -1 for c in columns]
+                kept = itertools.islice((r for r in rows if r), limit)
+                told = ((name.rsplit("/", 1)[-1], encoding, k, *(r[i] if 0 <= i < len(r) else None for i in at)) for k, r in enumerate(kept))
+                while part := list(itertools.islice(told, 50_000)):
+                    yield pd.DataFrame(part, columns=[*head, *columns])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content")
+    rows = files.mapInPandas(each, f"source_file string, encoding string, row bigint, {', '.join(f'{c} string' for c in columns)}")
+    return rows if details else rows.select(*columns)
 
 
 def read_many(spark: SparkSession, folder: str, glob: str, schema: str = DETECTIONS, without: str | None = None) -> DataFrame:
