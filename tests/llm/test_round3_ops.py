@@ -214,6 +214,24 @@ def test_collocations(spark, monkeypatch, block, buckets):
         assert {tuple(r) for r in collocations.mine(d, top=top).collect()} == collocations_of(rows, top=top)
 
 
+def test_numbers_take_more_bits_until_they_are_unique(spark, monkeypatch):
+    """Numbers whose low bits are all alike: frequent words must not share one with any other word."""
+    real = collocations.number_of
+    monkeypatch.setattr(collocations, "number_of", lambda lang, word, seed: real(lang, word, seed) << 24 & (1 << 64) - 1)
+    rows = spoken(1)
+    d = spark.createDataFrame(rows, "lang string, text string").repartition(2)
+    words, _, _, bits = collocations.frequent_words(d, 30)
+    assert bits > 24 and words.select("id").distinct().count() == words.count()
+    assert {tuple(r) for r in collocations.mine(d).collect()} == collocations_of(rows)
+
+
+def test_a_bitmap_that_lets_all_through_changes_nothing(spark, monkeypatch):
+    monkeypatch.setattr(collocations, "MOST_BITS", 64)
+    rows = spoken(2)
+    d = spark.createDataFrame(rows, "lang string, text string").repartition(2)
+    assert {tuple(r) for r in collocations.mine(d).collect()} == collocations_of(rows)
+
+
 def test_collocations_of_little(spark):
     assert collocations.mine(spark.createDataFrame([], "lang string, text string")).count() == 0
     assert collocations.mine(spark.createDataFrame([("en", "a b"), (None, None)], "lang string, text string")).count() == 0
