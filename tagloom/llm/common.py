@@ -10,7 +10,7 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -32,8 +32,27 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_left: dict[str, set[str]] = {}
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _left.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _left.get(spark.sparkContext.applicationId, set()).discard(path)
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete all that the operators of this session have written and not deleted yet, and tell how much; results that read it are void."""
+    paths = list(_left.get(spark.sparkContext.applicationId, ()))
+    for path in paths:
+        delete(spark, path)
+    return len(paths)
 
 
 @contextmanager
@@ -72,9 +91,7 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Delete what :func:`materialize` wrote; nothing may read these tables any more."""
     for t in tables:
-        spark = t.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(t.scratch_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(t.sparkSession, t.scratch_path)
 
 
 def slices(batch: pa.RecordBatch, column: int, size: int) -> Iterator[pa.RecordBatch]:
@@ -116,16 +133,22 @@ def held_out(doc_id: F.Column) -> F.Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
-    """At most ``rows`` labelled documents outside the held-out fold, chosen by a hash of doc_id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, most_bytes: int = 64_000_000) -> DataFrame:
+    """At most ``rows`` labelled documents outside the held-out fold, and ``most_bytes`` of whole texts, chosen by a hash of doc_id.
 
-    ``rows`` bounds what training collects; the choice is the same at any partitioning.
+    Both bound what training collects: texts are taken in the order of the hash as long as they fit, longer ones
+    are passed over. The choice is the same at any partitioning.
     """
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
     picked = (
         labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy("doc_id").agg(F.max(label).alias("label"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+        .orderBy(*order).limit(rows)
     )
     of_id = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
     # rows that share a doc_id count once, so that ``rows`` bounds the rows as well
-    return of_id.groupBy("doc_id").agg(F.max("label").alias("label"), F.min("text").alias("text"))
+    once = of_id.groupBy("doc_id").agg(F.max("label").alias("label"), F.min("text").alias("text"))
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    # no more than ``rows`` rows, in one window
+    fits = once.select("doc_id", size.alias("size")).where(F.col("size") <= most_bytes).withColumn("total", F.sum("size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    return once.join(F.broadcast(fits.where(F.col("total") <= most_bytes).select("doc_id")), "doc_id", "left_semi")
