@@ -10,9 +10,8 @@ candidate of its own; each is scored by its class's threshold. A window slides o
 counts of its characters are updated by the one that enters and the one that leaves, and with them the
 sum of c*log2(c), from which the entropy follows. Windows at or above the threshold are spans.
 Candidates without a digit or without a letter are passed over. What the allow-list matches (known
-placeholders, UUIDs) is in no window; what stands left and right of it is scored as usual. A span that
-overlaps a base span is left out, since that span already covers the secret; the others are merged over
-the classes.
+placeholders, UUIDs) is in no window; what stands left and right of it is scored as usual. Spans are
+merged over the classes, and cut where base spans lie: what stands outside stays, without separators at the cut.
 
 Defined results: a null text is an empty one and has no span; a text of any length is scanned whole;
 repeated rows give repeated results; an empty table gives an empty result; other columns are ignored.
@@ -45,6 +44,7 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 #: Class, its characters, and the entropy in bits from which a window counts.
 CLASSES = (("hex", re.compile(r"[0-9a-fA-F]{20,}"), 3.1), ("alnum", re.compile(r"[A-Za-z0-9]{20,}"), 3.7), ("base64", CANDIDATE, 3.9))
 DEFAULT_ALLOW = ("wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", r"(?i)example|placeholder|changeme|dummy|xxxx+|0123456789|abcdefgh", r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}")
+SEPARATORS = "+/_=-"
 DIGIT, LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
 SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 SCHEMA = "doc_id bigint, spans array<struct<kind:string,start:bigint,end:bigint>>"
@@ -126,17 +126,27 @@ def merged(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
 
 
 def spans_of(text: str, allow: list[re.Pattern]) -> list[tuple[str, int, int]]:
-    """All spans by start, then by kind as listed."""
+    """All spans by start, then by kind as listed. Entropy spans are cut where base spans lie, so that together they cover what either found."""
     base = base_spans(text)
     taken = merged([("base", a, b) for _, a, b in base])
     ends = [b for _, _, b in taken]
-
-    def free(start: int, end: int) -> bool:
-        k = bisect_right(ends, start)  # the first base span that ends behind the start
-        return k == len(taken) or taken[k][1] >= end
-
-    more = [s for s in entropy_spans(text, allow) if free(*s[1:])]
-    return sorted(base + merged(more), key=lambda s: (s[1], KINDS.index(s[0])))
+    more = []
+
+    def add(kind: str, start: int, end: int, cut: tuple[bool, bool]) -> None:
+        while cut[0] and start < end and text[start] in SEPARATORS:
+            start += 1
+        while cut[1] and start < end and text[end - 1] in SEPARATORS:
+            end -= 1
+        if start < end:
+            more.append((kind, start, end))
+
+    for kind, start, end in merged(entropy_spans(text, allow)):
+        k, cut = bisect_right(ends, start), False  # the first base span that ends behind the start
+        while k < len(taken) and taken[k][1] < end:
+            add(kind, start, taken[k][1], (cut, True))
+            start, cut, k = taken[k][2], True, k + 1
+        add(kind, start, end, (cut, False))
+    return sorted(base + more, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
 def scan(docs: DataFrame, allow: tuple[str, ...] = DEFAULT_ALLOW) -> DataFrame:
