@@ -1,10 +1,9 @@
 r"""Line dedup by overlapping three-line windows.
 
-A text is its \n-split lines. Every three consecutive lines make a window; a text of fewer lines is
-one window, a line of more than ``LONG_LINE`` words is a window of its own as well, and so are two
-lines that have more than ``LONG_LINE`` words only together, so that a long passage of whole lines is
-found whatever stands around it. A passage that begins or ends in mid-line is beyond the method, as are
-the shorter lines beside a long one. Windows without a word are passed over. Windows are
+A text is its \n-split lines. Every three consecutive lines make a window, and a text of fewer lines is
+one window. Repeated passages of fewer than three lines are beyond the method, as are those that begin or
+end in mid-line. With ``long_line``, which is off unless given, a line of more words than that is a window of its
+own as well, and so are two lines that have more words only together. Windows without a word are passed over. Windows are
 hashed to 128 bits; of equal windows in the whole corpus the first (by doc_id, then by a hash of the
 text, then by position) stays, and the lines that later ones cover are removed, covered positions of
 a text being merged. Where a later window overlaps the first one in its text (the same line four times in
@@ -35,22 +34,21 @@ from pyspark.sql import types as T
 from tagloom.llm.common import discard, materialize, sieve, sifted, slices
 
 WIDTH = 3
-LONG_LINE = 50
 SLICE = 4_000_000
 SPAN = "array<struct<pos:int,size:int>>"
 
 
-def window_spans(lines: list[bytes], width: int = WIDTH, long_line: int = LONG_LINE) -> list[tuple[int, int]]:
+def window_spans(lines: list[bytes], width: int = WIDTH, long_line: int | None = None) -> list[tuple[int, int]]:
     """(first line, number of lines) of each window that has a word."""
     blank = [not x or x.isspace() for x in lines]
     size = min(width, len(lines))
     spans = [(i, size) for i in range(len(lines) - size + 1) if not all(blank[i : i + size])]
-    if size > 1:
+    if long_line is not None and size > 1:
         # words are counted only where there is room for so many
         roomy = [len(x) > 2 * long_line for x in lines]
         long = [r and len(x.split()) > long_line for r, x in zip(roomy, lines, strict=True)]
         spans += [(i, 1) for i, x in enumerate(long) if x]
-    if size > 2:
+    if long_line is not None and size > 2:
         words: dict[int, int] = {}
         for i in range(len(lines) - 1):
             if not (long[i] or long[i + 1]) and len(lines[i]) + len(lines[i + 1]) >= 2 * long_line:
@@ -66,7 +64,7 @@ def _key() -> F.Column:
     return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
-def windows(docs: DataFrame, width: int = WIDTH, long_line: int = LONG_LINE) -> DataFrame:
+def windows(docs: DataFrame, width: int = WIDTH, long_line: int | None = None) -> DataFrame:
     """One row for each window: its hash (a, b), its document (doc_id, row) and its place (pos, size)."""
 
     def each(batches):
@@ -94,7 +92,7 @@ def _window_rows(batch: pa.RecordBatch, digests: list[bytes], owners: list[int],
     return pa.RecordBatch.from_arrays([pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), batch.column(0).take(own), batch.column(1).take(own), pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy())], ["a", "b", "doc_id", "row", "pos", "size"])
 
 
-def covered(docs: DataFrame, width: int = WIDTH, long_line: int = LONG_LINE) -> DataFrame:
+def covered(docs: DataFrame, width: int = WIDTH, long_line: int | None = None) -> DataFrame:
     """doc_id, row and the spans of lines to remove, for the documents that have any."""
     every = materialize(windows(docs, width, long_line), "line-windows")
     place = F.struct("doc_id", "row", "pos")
@@ -105,7 +103,7 @@ def covered(docs: DataFrame, width: int = WIDTH, long_line: int = LONG_LINE) ->
     return told
 
 
-def dedup(docs: DataFrame, width: int = WIDTH, long_line: int = LONG_LINE) -> DataFrame:
+def dedup(docs: DataFrame, width: int = WIDTH, long_line: int | None = None) -> DataFrame:
     """``docs`` with the lines of repeated windows removed from ``text``, n_lines and n_removed."""
     docs = docs.drop("n_lines", "n_removed")
     names = docs.columns
