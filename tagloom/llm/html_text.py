@@ -7,10 +7,14 @@ blocks on lines of their own, a blank line around paragraphs, headings, lists, t
 list items with markers and indentation, table cells in aligned columns, preformatted text as it
 stands. Formulas (math), the labels of drawings (svg) and the contents of a textarea stand in line.
 Visibility follows the elements that never show, the ``hidden`` attribute, and the inline
-styles ``display:none`` and ``visibility:hidden`` (which a child may lift by ``visible``).
-A select's options are not written, the chosen one included.
+styles ``display:none`` and ``visibility:hidden`` (which a child may lift by ``visible``). Of a closed
+``details`` only its summary shows, of a closed ``dialog`` nothing. Of a select the chosen option is written (the last
+that is marked, else the first), of one that shows several lines every option; of buttons the label.
 
-Both walks use explicit stacks, so that depth of nesting is no limit. A page is read whole.
+Both walks use explicit stacks, so that depth of nesting is no limit. A page is read whole. What grows with
+the layout rather than with the page is bounded: lines are indented by ``MOST_INDENT`` characters at most, a
+cell of more than ``MOST_WIDTH`` characters does not move the columns beside it, and a line is padded by at most
+``MOST_PADDING`` blanks (beyond that, cells stand two blanks apart). No text is left out for it.
 
 Defined results: null and empty pages, and pages that show nothing, give an empty text; broken markup
 is read as text or closed at the end; repeated rows give repeated results; an empty table gives an
@@ -31,7 +35,7 @@ from tagloom.llm.common import slices
 # Names of HTML's elements by what a renderer does with them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style title template noscript noembed noframes iframe object audio video canvas datalist area base link meta param source track select option optgroup input map annotation annotation-xml mphantom".split())
+UNSEEN = frozenset("head script style title template noscript noembed noframes iframe object audio video canvas datalist area base link meta param source track map annotation annotation-xml mphantom".split())
 #: Elements of a drawing that show no text where they stand; all other text of a drawing shows only inside DRAWN_TEXT.
 UNDRAWN = frozenset("defs symbol clippath mask pattern marker metadata desc".split())
 DRAWN_TEXT = frozenset(("text", "foreignobject"))
@@ -57,6 +61,8 @@ ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?"
 BLANKS = re.compile(r"[ \t\n\f\r]+")
 HIDES, UNSEES, SEES = (re.compile(p, re.I) for p in (r"(?:^|;)\s*display\s*:\s*none", r"(?:^|;)\s*visibility\s*:\s*(?:hidden|collapse)", r"(?:^|;)\s*visibility\s*:\s*visible"))
 MOST_COLUMNS = 1000  # what HTML allows a cell to span
+MOST_INDENT, MOST_WIDTH, MOST_PADDING = 40, 200, 1000
+BUTTONS = frozenset(("submit", "button", "reset"))
 ZEROS, HUGE = re.compile(r"&#0+(?=[0-9])"), re.compile(r"&#[0-9]{8,};?")
 SLICE = 4_000_000
 
@@ -162,7 +168,8 @@ class Writer:
         self.lines: list[str] = []
         self.line = ""
         self.space = self.blank = False
-        self.indent: list[str] = []
+        self.indent: list[int] = []
+        self.width = 0
         self.marker = ""
 
     def text(self, s: str) -> None:
@@ -179,6 +186,13 @@ class Writer:
         self.line += s
         self.space = trailing
 
+    def enter(self, width: int) -> None:
+        self.indent.append(width)
+        self.width += width
+
+    def leave(self) -> None:
+        self.width -= self.indent.pop()
+
     def close_line(self) -> None:
         if self.line:
             self.put(self.line)
@@ -188,10 +202,12 @@ class Writer:
         if self.blank and self.lines:
             self.lines.append("")
         self.blank = False
-        indent = "".join(self.indent)
+        width = self.width
         if self.marker:
-            indent = indent[: len(indent) - len(self.marker)] + self.marker
+            indent = " " * min(MOST_INDENT, width - len(self.marker)) + self.marker
             self.marker = ""
+        else:
+            indent = " " * min(MOST_INDENT, width)
         self.lines.append((indent + line).rstrip())
 
     def line_break(self) -> None:
@@ -221,37 +237,62 @@ class Table:
     def lines(self) -> list[str]:
         """Cells in aligned columns, two blanks apart; a cell of several lines makes its row higher."""
         grid: list[dict[int, list[str]]] = []
-        taken: dict[int, int] = {}  # columns that a cell from above still fills, and for how many rows
-        spans: set[tuple[int, int]] = set()
-        for r, row in enumerate(self.rows):
+        taken: list[tuple[int, int, int]] = []  # columns that cells from above still fill, as stretches with the rows that are left
+        width: dict[int, int] = {}
+        for row in self.rows:
             cells: dict[int, list[str]] = {}
-            col = 0
-            below = {c: n - 1 for c, n in taken.items() if n > 1}
+            col = k = 0
+            below = [(a, b, n - 1) for a, b, n in taken if n > 1]
             for lines, across, down in row:
-                while col in taken:
-                    col += 1
+                while k < len(taken) and taken[k][0] <= col:
+                    col = max(col, taken[k][1])
+                    k += 1
                 cells[col] = lines
-                if across > 1:
-                    spans.add((r, col))
+                if any(lines):
+                    longest = max(map(len, lines)) if across == 1 else 0
+                    width[col] = max(width.get(col, 0), longest if longest <= MOST_WIDTH else 0)
                 if down > 1:
-                    below |= dict.fromkeys(range(col, col + across), down - 1)
+                    below.append((col, col + across, down - 1))
                 col += across
             grid.append(cells)
-            taken = below
-        width: dict[int, int] = {}
-        for r, cells in enumerate(grid):
-            for c, lines in cells.items():
-                if (r, c) not in spans:
-                    width[c] = max(width.get(c, 0), *map(len, lines), 0)
-        columns = sorted({c for cells in grid for c in cells if any(cells[c])})
+            taken = sorted(below)
+        # where each column that has any text begins
+        start, place = {}, 0
+        for c in sorted(width):
+            start[c] = place
+            place += width[c] + 2
         out = []
         for cells in grid:
-            for k in range(max((len(x) for x in cells.values()), default=0)):
-                parts = [(cells.get(c, [])[k : k + 1] or [""])[0].ljust(width.get(c, 0)) for c in columns]
-                out.append("  ".join(parts).rstrip())
+            full = sorted((c, lines) for c, lines in cells.items() if any(lines))
+            for k in range(max((len(lines) for _, lines in full), default=0)):
+                line, room = "", MOST_PADDING
+                for c, lines in full:
+                    if k < len(lines) and lines[k]:
+                        wanted = start[c] - len(line)
+                        least = 2 if line else 0
+                        pad = max(least, wanted) if wanted <= room else least
+                        room -= pad
+                        line += " " * pad + lines[k]
+                out.append(line.rstrip())
         return [x for x in out if x]
 
 
+def shown_options(select: Node) -> list[Node]:
+    """The options that a select shows before anyone touches it."""
+    every, todo = [], [select]
+    while todo:
+        node = todo.pop()
+        if node.tag == "option" and "hidden" not in node.attrs:
+            every.append(node)
+        todo.extend(x for x in reversed(node.children) if isinstance(x, Node))
+    size = select.attrs.get("size", "").strip()
+    if "multiple" in select.attrs or size.isascii() and size.isdigit() and len(size) < 10 and int(size) > 1:
+        return every
+    marked = [x for x in every if "selected" in x.attrs]
+    free = [x for x in every if "disabled" not in x.attrs]
+    return marked[-1:] or free[:1] or every[:1]
+
+
 def _span(node: Node, name: str) -> int:
     value = node.attrs.get(name, "1").strip()
     return max(1, int(value) if len(value) < 5 and int(value) < MOST_COLUMNS else MOST_COLUMNS) if value.isascii() and value.isdigit() else 1
@@ -284,7 +325,7 @@ def render(page: str) -> str:
                 lists.pop()
             elif tag in ("li", "dd", "blockquote"):
                 w.close_line()
-                w.indent.pop()
+                w.leave()
                 w.marker = ""
             elif tag in DRAWN_TEXT and drawing:
                 w.text(" ")
@@ -302,8 +343,17 @@ def render(page: str) -> str:
                 visible = False
             elif style and SEES.search(style):
                 visible = True
-        if tag in UNSEEN or drawing and tag in UNDRAWN:
+        if tag in UNSEEN or drawing and tag in UNDRAWN or tag == "dialog" and "open" not in attrs:
+            continue
+        if tag == "input":
+            if visible and not drawing and attrs.get("type", "").strip().lower() in BUTTONS:
+                w.text(f" {attrs.get('value', '')} ")
             continue
+        children = node.children
+        if tag == "details" and "open" not in attrs:
+            children = [x for x in children if isinstance(x, Node) and x.tag == "summary"][:1]
+        elif tag == "select":
+            children = [x for option in shown_options(node) for x in (" ", *option.children, " ")]
         if tag == "br":
             if visible:
                 w.line_break()
@@ -330,10 +380,10 @@ def render(page: str) -> str:
             if lists and lists[-1]:
                 mark = f"{lists[-1][0]}. "
                 lists[-1][0] += 1
-            w.indent.append(" " * len(mark))
+            w.enter(len(mark))
             w.marker = mark
         elif tag in ("dd", "blockquote"):
-            w.indent.append("  ")
+            w.enter(2)
         elif tag in DRAWN_TEXT and drawing:
             w.text(" ")  # labels stand apart
         elif tag == "textarea" and visible:
@@ -341,7 +391,7 @@ def render(page: str) -> str:
         pre = pre or tag in ("pre", "xmp", "listing", "textarea")
         todo.append((node, True, visible, pre, drawing))
         drawing = tag == "svg" or drawing and tag not in DRAWN_TEXT
-        todo.extend((child, False, visible, pre, drawing) for child in reversed(node.children))
+        todo.extend((child, False, visible, pre, drawing) for child in reversed(children))
     w = writers[0]
     w.close_line()
     return "\n".join(w.lines).strip("\n")
