@@ -31,6 +31,7 @@ from tagloom.llm.common import labelled_sample, slices
 from tagloom.llm.lines import BLANK, LINE_FEATURES, SYMBOLS, line_features, lines_with_words
 
 TRAIN_ROWS = 1500
+PIECE = 300  # lines that training steps through
 SLICE = 4_000_000
 ROUNDS = 3
 MIN_WORDS = 50
@@ -71,25 +72,25 @@ def train(chains: list[tuple[np.ndarray, int | np.ndarray]], epochs: int = 150,
 
     linked: whether neighbouring lines bear on each other; else ``stay`` is 0.
 
-    Lines are laid out place by place, longer chains first, so that the chains that reach a place are
-    the first ones there and nothing is padded. Classes are weighed alike, so that the rarer one counts.
+    A chain is cut into pieces of ``PIECE`` lines, so that no text makes the steps many; all its lines count, and only
+    what lines on either side of a cut say of each other is left out. Lines are laid out place by place, longer
+    pieces first, so that the pieces that reach a place are the first ones there and nothing is padded.
+    Classes are weighed alike, so that the rarer one counts, and texts of a class too.
     """
-    chains = sorted(chains, key=lambda c: -len(c[0]))
-    sizes = np.array([len(x) for x, _ in chains])
-    reach = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left")  # chains that have a line at each place
+    good = np.array([np.mean(label) >= 0.5 for _, label in chains])
+    share = np.where(good, 0.5 / max(1, good.sum()), 0.5 / max(1, len(chains) - good.sum()))
+    cut = [(f[a : a + PIECE], np.broadcast_to(label, len(f))[a : a + PIECE], s / len(f)) for (f, label), s in zip(chains, share, strict=True) for a in range(0, len(f), PIECE)]
+    cut.sort(key=lambda c: -len(c[0]))
+    sizes = np.array([len(x) for x, _, _ in cut])
+    reach = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left")  # pieces that have a line at each place
     at = np.concatenate([[0], np.cumsum(reach)])
     longest, k = int(sizes[0]), len(LINE_FEATURES)
-    x = np.zeros((int(at[-1]), k))
-    for i, (f, _) in enumerate(chains):
-        x[at[: len(f)] + i] = f
+    x, y, weight = np.zeros((int(at[-1]), k)), np.zeros(int(at[-1])), np.zeros(int(at[-1]))
+    for i, (f, label, s) in enumerate(cut):
+        own = at[: len(f)] + i
+        x[own], y[own], weight[own] = f, label, s
     chain = np.arange(at[-1]) - np.repeat(at[:-1], reach)
-    y = np.zeros(int(at[-1]))
-    for i, (f, label) in enumerate(chains):
-        y[at[: len(f)] + i] = label
-    good = np.array([np.mean(label) >= 0.5 for _, label in chains])
-    share = np.where(good, 0.5 / max(1, good.sum()), 0.5 / max(1, len(chains) - good.sum())) / sizes
-    weight = share[chain]
-    ends = at[sizes - 1] + np.arange(len(chains))
+    ends = at[sizes - 1] + np.arange(len(cut))
     second = np.arange(at[1], at[-1])  # lines that follow one
     ahead = second - np.repeat(reach[:-1], reach[1:])  # the lines before them
     w, stay = np.zeros(k), 0.0
@@ -138,7 +139,7 @@ def learn(texts: list[tuple[np.ndarray, np.ndarray, int]], rounds: int = ROUNDS)
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Crf:
-    """Learn from all lines of at most ``rows`` texts that ``labels.quality`` marks, outside the held-out fold."""
+    """Learn from all lines of at most ``rows`` texts (and 64 MB of them) that ``labels.quality`` marks, outside the held-out fold."""
 
     def each(batches):
         for batch in batches:
