@@ -190,10 +190,10 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
 
 
 def _hits_of_blocks(docs: DataFrame, benchmark: DataFrame, n: int, window: int) -> DataFrame:
-    """__doc, __row, items, spans and cuts of the documents that any block hits; equal rows are searched once."""
-    keyed, every, parts = docs.select("doc_id", "text").distinct(), None, []
+    """__doc, __row, items, spans and cuts of the documents that any block hits; of equal rows one tells. Only hits are shuffled."""
+    every, parts = None, []
     for shared in benchmark_blocks(benchmark, n, window):
-        parts.append(materialize(find_in_block(keyed, shared).where("n_hit > 0"), "benchmark-hits"))
+        parts.append(materialize(find_in_block(docs, shared).where("n_hit > 0").dropDuplicates(["doc_id", "row"]), "benchmark-hits"))
         shared.destroy()
         every = parts[-1] if every is None else every.unionByName(parts[-1])
     merged = every.groupBy("doc_id", "row").agg(
