@@ -64,7 +64,7 @@ def plan_records(pages: DataFrame) -> DataFrame:
     met = rows.withColumn("__id", _id_text()).join(copies, keys, "left")
     # rows that agree in all three keys: the join has brought them together already
     nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(1)))
-    told = met.withColumn("revisit", F.coalesce(F.col("later") | (F.col("later").isNotNull() & (nth > 1)), F.lit(False)))
+    told = met.withColumn("nth", nth).withColumn("revisit", F.coalesce(F.col("later") | (F.col("later").isNotNull() & (F.col("nth") > 1)), F.lit(False)))
     return told.withColumn("first_id", F.when(F.col("revisit"), F.col("first_id"))).drop("later", "__id")
 
 
@@ -72,8 +72,9 @@ def _id_text() -> F.Column:
     return F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("__id")
 
 
-def _uuid(page_id: F.Column, url: F.Column) -> F.Column:
-    h = F.md5(F.concat_ws("|", page_id.cast("string"), url).cast("binary"))
+def _uuid(*parts: F.Column) -> F.Column:
+    """A name for what the parts, of which any may be null, tell together."""
+    h = F.md5(F.to_json(F.array(*[p.cast("string") for p in parts])).cast("binary"))
     return F.concat_ws("-", *(F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
 
 
@@ -82,7 +83,7 @@ def _record(r: DataFrame) -> F.Column:
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     one_line = F.regexp_replace("url", r"[\r\n]", "%0A")
     return F.concat(
-        F.lit(MAGIC), line("WARC-Type", F.when(F.col("revisit"), "revisit").otherwise("response")), line("WARC-Record-ID", F.concat(F.lit("<urn:uuid:"), _uuid(F.col("page_id"), F.col("url")), F.lit(">"))),
+        F.lit(MAGIC), line("WARC-Type", F.when(F.col("revisit"), "revisit").otherwise("response")), line("WARC-Record-ID", F.concat(F.lit("<urn:uuid:"), _uuid(F.col("page_id"), F.col("url"), F.col("digest"), F.col("nth")), F.lit(">"))),
         line("WARC-Date", F.lit(EPOCH)), line("WARC-Target-URI", one_line), line("X-Page-ID", F.coalesce(F.col("page_id").cast("string"), F.lit(""))),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))), line("X-Payload-Length", F.col("payload_bytes").cast("string")),
         F.when(F.col("revisit"), F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.0/revisit/identical-payload-digest")), line("WARC-Refers-To-Page", F.coalesce(F.col("first_id").cast("string"), F.lit(""))))).otherwise(""),
