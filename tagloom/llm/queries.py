@@ -84,6 +84,12 @@ def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_secret_scan, op3_bpe_round_trip, op4_line_dedup, op5_warc_round_trip, op6_ngram_jaccard_join, op7_quality_classifier, op8_quality_rules, op9_histogram_shards, op10_html_text, op11_exact_dedup, op12_spelling_variants, op13_phrase_collocations)}
 ORACLE_SQL: dict[str, str] = {
+    "op5_warc_round_trip": """
+        with p as (select page_id, coalesce(html, '') as h from pages),
+        q as (select *, strlen(h) >= 100 and page_id <> min(page_id) over (partition by h) as again, min(page_id) over (partition by h) as first from p)
+        select page_id, strlen(h)::bigint as payload_bytes, sha256(h) as payload_digest, case when again then 'revisit' else 'response' end as record_type, case when again then first end as refers_to
+        from q
+    """,
     "op11_exact_dedup": """
         with t as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as norm from documents)
         select doc_id, max(doc_id) over (partition by norm) as keep_id, count(*) over (partition by norm) as group_size,
