@@ -52,8 +52,8 @@ def cut(text, hit):
     return out + text[at:]
 
 
-def line_dedup(rows):
-    """{doc_id: (text, lines removed)} of rows with distinct doc_ids."""
+def line_dedup(rows, long_line=None):
+    """{doc_id: (text, lines removed)} of rows with distinct doc_ids. long_line: windows of one line, or of two, of more words count as well."""
     seen, out = set(), {}
     for i, t in sorted(rows, key=lambda r: r[0]):
         if t is None:
@@ -61,7 +61,12 @@ def line_dedup(rows):
             continue
         lines = t.split("\n")
         n = min(3, len(lines))
-        spans = [(k, n) for k in range(len(lines) - n + 1)] + ([(k, 1) for k in range(len(lines)) if len(lines[k].encode().split()) > 50] if n > 1 else [])
+        spans = [(k, n) for k in range(len(lines) - n + 1)]
+        if long_line is not None:
+            size = [len(x.encode().split()) for x in lines]
+            long = [k for k in range(len(lines)) if size[k] > long_line] if n > 1 else []
+            spans += [(k, 1) for k in long]
+            spans += [(k, 2) for k in range(len(lines) - 1) if n > 2 and k not in long and k + 1 not in long and size[k] + size[k + 1] > long_line]
         gone = set()
         for k, m in sorted(spans):
             key = tuple(lines[k : k + m])

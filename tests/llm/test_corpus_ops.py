@@ -2,11 +2,13 @@
 
 import hashlib
 import random
+import re
 import struct
 from collections import Counter
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 from pyspark.sql import functions as F
 
 from tagloom.llm import bpe, components, decontaminate, fm_index, jaccard, line_dedup, sharding, warc
@@ -93,8 +95,6 @@ def strange_texts():
 
 
 def test_bpe_equals_the_library(spark):
-    from tokenizers import Tokenizer
-
     lib = Tokenizer.from_file(vocabulary_path())
     texts = strange_texts() + [r.text for r in table(spark, SF, "documents").collect()]
     d = docs(spark, list(enumerate(texts))).withColumns({"ids": F.lit(1), "decoded": F.lit(2)})
@@ -120,11 +120,12 @@ def lined():
     return [(i, "\n".join(line() for _ in range(r.randrange(1, 9)))) for i in range(60)] + [(70, None), (71, ""), (72, "\n\n"), (73, "same\ntwo"), (74, "same\ntwo"), (75, "\n".join(str(k) for k in range(5000)))]
 
 
-def test_line_dedup(spark):
+@pytest.mark.parametrize("long_line", [None, 50, 3])
+def test_line_dedup(spark, long_line):
     rows = lined()
     d = docs(spark, rows).withColumn("n_removed", F.lit("old"))
-    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.dedup(d).collect()}
-    assert got == helpers.line_dedup(rows)
+    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.dedup(d, long_line=long_line).collect()}
+    assert got == helpers.line_dedup(rows, long_line)
     assert line_dedup.dedup(docs(spark, [])).count() == 0
     twice = line_dedup.dedup(docs(spark, [(1, "a\nb\nc"), (1, "a\nb\nc"), (None, "a\nb\nc"), (2, "a\nb\nc")])).collect()
     assert sorted((str(r.doc_id), r.text) for r in twice) == [("1", ""), ("1", ""), ("2", ""), ("None", "a\nb\nc")]
@@ -141,7 +142,8 @@ def test_line_dedup_of_two_line_passages(spark):
     passage = "\n".join(" ".join(f"{c}{k}" for k in range(26)) for c in "pq")  # 52 words
     short = "\n".join(" ".join(f"{c}{k}" for k in range(25)) for c in "rs")  # 50 words
     rows = [(i, f"top {i}\n{passage}\nmid {i}\n{short}\nend {i}") for i in range(3)] + [(3, passage), (4, f"{passage}\nlast")]
-    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.dedup(docs(spark, rows)).collect()}
+    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.dedup(docs(spark, rows), long_line=50).collect()}
+    assert got == helpers.line_dedup(rows, 50)
     assert got == {0: (rows[0][1], 0)} | {i: (f"top {i}\nmid {i}\n{short}\nend {i}", 2) for i in (1, 2)} | {3: ("", 2), 4: ("last", 2)}
 
 
@@ -180,6 +182,14 @@ def test_warc_repeated_and_null_ids(spark):
     assert told == Counter({(5, 120, "response", None): 1, (5, 120, "revisit", 5): 2, (None, 120, "revisit", 5): 1, (7, 120, "revisit", 5): 1, (None, 150, "response", None): 1, (None, 150, "revisit", None): 1, (1, 1, "response", None): 1, (2, 30_000, "response", None): 1})
 
 
+def test_warc_record_ids_are_unique(spark, tmp_path):
+    copy = "c" * 120
+    pages = [(5, "u", copy), (5, "u", copy), (5, "u", "x"), (5, "u", "x"), (None, "u", copy), (None, None, copy), (5, None, "x"), (51, "", "x")]
+    warc.write(spark.createDataFrame(pages, PAGE), f"{tmp_path}/w", "none")
+    text = "".join(p.read_text() for p in (tmp_path / "w").glob("part-*"))
+    assert len(set(re.findall("WARC-Record-ID: (.*)", text))) == len(pages)
+
+
 def test_warc_edges(spark, tmp_path):
     assert warc.round_trip(spark.createDataFrame([], PAGE)).count() == 0
     head = "WARC/1.0\r\nWARC-Type: response\r\nX-Page-ID: {}\r\nContent-Length: {}\r\n\r\n"
@@ -317,3 +327,34 @@ def test_pipeline_by_brute_force(spark):
     got = corpus_pipeline.run(spark, SF).collect()
     assert {r.doc_id: r.text for r in got} == {i: t for i, t in want.items() if t.encode().split()}
     assert all(r.round_trip and r.n_chars == len(r.text) for r in got)
+    lib = Tokenizer.from_file(vocabulary_path())
+    assert all(list(struct.unpack(f"<{r.n_tokens}I", r.ids)) == lib.encode(r.text, add_special_tokens=False).ids for r in got)
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """Null and empty values in every column, repeated rows, clashing columns; then tables without rows."""
+    import corpus_pipeline
+
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("aeioustrnlm") for _ in range(r.randrange(2, 9)))
+    line = lambda: " ".join(word() for _ in range(14)).capitalize() + "."
+    good, other, third = ("\n".join(line() for _ in range(9)) for _ in range(3))
+    rows = [(1, good, None, None, None), (1, good, "en", "s", 5), (2, other, "en", "s", 5), (None, third, None, "", -1), (3, None, "en", "s", 0), (4, "", "en", "s", 0), (5, " \n\t", "en", "s", 3), (6, "short", None, None, None)]
+    d = spark.createDataFrame(rows, helpers.DOC).withColumns({c: F.lit("old") for c in ("row", "spans", "ids", "n_tokens", "size", "cid")})
+    none = spark.createDataFrame([], helpers.DOC)
+    labels, items = spark.createDataFrame([(1, None, 0), (None, 1, None), (2, 1, 1), (2, 0, 1)], "doc_id bigint, quality int, toxic int"), spark.createDataFrame([(None, good[:90]), (1, None), (2, "")], "item_id bigint, text string")
+    for name, (docs_, labels_, items_) in {"odd": (d, labels, items), "none": (none, labels.limit(0), items.limit(0)), "no_labels": (d, labels.limit(0), items.limit(0))}.items():
+        for table_name, df in (("documents", docs_), ("labels", labels_), ("benchmark", items_)):
+            df.coalesce(1).write.parquet(f"{tmp_path}/{name}/{table_name}.parquet")
+        got = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert {r.doc_id for r in got} <= {1, 2, None} and all(r.round_trip and r.text.strip() and r.n_chars == len(r.text) for r in got)
+        assert (name == "none") == (not got)
+
+
+def test_pipeline_deletes_its_stages(spark):
+    import corpus_pipeline
+    from tagloom.llm.common import _left, clear
+
+    clear(spark)
+    out = corpus_pipeline.run(spark, SF)
+    assert sum("/stage-" in p for p in _left[spark.sparkContext.applicationId]) == 1 and out.count() > 0

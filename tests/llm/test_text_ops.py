@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tagloom.llm import common, gam, html_text, quality_rules, secrets, sharding
 from tagloom.llm.common import held_out, table
@@ -66,6 +67,24 @@ def test_secrets_joined_to_names(text, want):
         assert want in f"see {text}, ok"[a:b]
 
 
+def test_a_span_is_cut_where_base_spans_lie():
+    hexes, tail = "0123456789abcdef" * 2, "Zq3Xw9Lm2PvR7tYw5BnC8dFgH1jK4sDaU6iOpE0rTyVb8N"
+    text = f"x {hexes}{tail} y"
+    spans = secrets.spans_of(text, [])
+    assert ("hex", 2, 34) in spans and {i for _, a, b in spans for i in range(a, b)} >= set(range(2, 34 + len(tail)))
+    assert all(a < b and (k != "entropy" or b <= 2 or a >= 34) for k, a, b in spans)
+    # a base span inside a long one leaves a part on either side
+    text = f"{tail}{hexes}{tail}"
+    kinds = [k for k, _, _ in secrets.spans_of(text, [])]
+    assert kinds == ["entropy", "hex", "entropy"] and [b - a for _, a, b in secrets.spans_of(text, [])] == [len(tail), 32, len(tail)]
+
+
+def test_secret_scan_columns(spark):
+    d = docs(spark, [(1, "token: abcdefgh1"), (None, None), (2, "")]).withColumns({c: F.lit(7) for c in ("spans", "kind", "start", "n_hex", "n_entropy")})
+    got = {r.doc_id: r for r in secrets.digest(secrets.scan(d)).collect()}
+    assert set(got) == {1, 2, None} and (got[1].n_assign, got[1].n_hex, got[1].spans) == (1, 0, "assign:0:16") and got[None].spans == got[2].spans == ""
+
+
 def test_a_base_span_hides_only_what_it_covers():
     text = "aK3xZ9qLm2PvR7tYw5BnC8dF/" + "0123456789abcdef" * 2
     assert [(k, text[a:b]) for k, a, b in secrets.spans_of(text, [])] == [("entropy", text[:24]), ("hex", text[25:])]
@@ -194,7 +213,7 @@ def test_held_out_is_crc32(spark):
     ("a<div hidden>no</div><span style='color:red;display: none'>no</span><p style='visibility:hidden'>no<b style='visibility:visible'>yes</b>", "a\n\nyes"),
     ("<script>if (a < b) x('</p>')</script>ok<style>p{}</style><!-- c --><noscript>n</noscript>", "ok"), ("<pre>  a\n   b</pre>c", "  a\n   b\n\nc"),
     ("1 < 2 & 3", "1 < 2 & 3"), ('<a href="x>y">z</a>', "z"), ("", ""), (None, ""), ("<p></p> <div> </div>", ""), ("<dl><dt>t<dd>d</dl>", "t\n  d"), ("<![CDATA[x]]>y", "xy"), ("a<b", "a<b"),
-    ("<select><option>one<option>two</select>x<blockquote>q</blockquote>", "x\n\n  q"),
+    ("<select><option>one<option>two</select>x<blockquote>q</blockquote>", "one x\n\n  q"),
 ])
 def test_html(page, want):
     assert html_text.render(page or "") == want
@@ -252,3 +271,52 @@ def test_shards_of_any_ids(spark):
     ids = [-(1 << 63), (1 << 63) - 1, None, 0, -(1 << 62), 1 << 62] * 5
     got = sharding.shard(docs(spark, [(i, "same text") for i in ids]), 4, tolerance=0.0).collect()
     assert len(got) == 30 and sorted((r.shard, r.slot) for r in got) == [(s, k) for s in sorted({r.shard for r in got}) for k in range(sum(r.shard == s for r in got))]
+
+
+def test_html_of_controls():
+    shown = {
+        "<select><option>one<option selected>two<option>three</select>": "two", "<select><optgroup label=g><option disabled>a<option>b</optgroup></select>": "b", "<select multiple><option>a<option>b</select>": "a b",
+        "<select size=2><option>a<option hidden>h<option>b</select>": "a b", "<select></select>x": "x", "<select hidden><option>a</select>x": "x",
+        "Size <input type=submit value=Buy> <input value=typed><input type=hidden value=h><button>Go</button>": "Size Buy Go", "<input type=RESET value='Start again'>": "Start again",
+        "<details><summary>s</summary>hid<p>den</details>": "s", "<details open><summary>s</summary>seen</details>": "s\nseen", "<details>no summary</details>x": "x", "<dialog>d</dialog>x": "x", "<dialog open>d</dialog>x": "d\nx",
+    }
+    assert {k: html_text.render(k) for k in shown} == shown
+
+
+def test_html_of_pages_that_grow_when_drawn():
+    """Deep nesting, a wide cell over many rows, and cells that span thousands of columns and rows: bounded time and text."""
+    deep = html_text.render("<blockquote>x" * 4000)
+    assert deep.count("x") == 4000 and len(deep) < 4000 * (html_text.MOST_INDENT + 3)
+    assert html_text.render("<ol><li>" * 40 + "end").endswith("1. end")
+    wide = html_text.render("<table><tr><td>" + "w" * 4000 + "<td>y" + "<tr><td>a<td>b" * 4000 + "</table>")
+    assert wide.count("a  b") == 4000 and "w" * 4000 + "  y" in wide and len(wide) < 60_000
+    began = time.process_time()
+    for n in (100, 200):
+        text = html_text.render("<table>" + ("<tr>" + "<td colspan=1000 rowspan=1000>c" * 100) * n + "</table>")
+        assert text.count("c") == 100 * n and len(text) < 100 * n * 12
+    assert time.process_time() - began < 8
+    # cells under spans keep their places
+    assert html_text.render("<table><tr><td rowspan=2 colspan=2>ab<td>c<tr><td>d<tr><td>x<td>y<td>z</table>") == "ab    c\n      d\nx  y  z"
+
+
+def test_training_takes_every_line_of_long_texts(monkeypatch):
+    rng = np.random.default_rng(1)
+    chains = [(rng.normal(size=(n, len(quality_rules.LINE_FEATURES))) + (0.5 if k % 2 else -0.5), k % 2) for k, n in enumerate([3, 700, 12, 1500, 1, 40])]
+    whole = quality_rules.train(chains, epochs=20)
+    monkeypatch.setattr(quality_rules, "PIECE", 10**9)
+    uncut = quality_rules.train(chains, epochs=20)
+    assert np.allclose(whole.emission, uncut.emission, rtol=0.05, atol=0.01) and abs(whole.stay - uncut.stay) < 0.05
+    monkeypatch.setattr(quality_rules, "PIECE", 300)
+    began = time.process_time()
+    quality_rules.train([(np.tile(x, (40, 1)), y) for x, y in chains], epochs=20)  # 60,000 lines in one text
+    assert time.process_time() - began < 20
+
+
+def test_labelled_sample_is_bounded(spark):
+    from tagloom.llm.common import labelled_sample
+
+    d = docs(spark, [(k, "x" * 100) for k in range(60)] + [(99, "y" * 5000)])
+    labels = spark.createDataFrame([(k, 1) for k in [*range(60), 99]], "doc_id bigint, quality int")
+    got = labelled_sample(d, labels, "quality", 40, 1000).collect()
+    assert len(got) == 10 and all(len(r.text) == 100 for r in got)
+    assert labelled_sample(d, labels, "quality", 5).count() <= 5
