@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.llm import bpe, decontaminate, jaccard, line_dedup, quality_rules
-from tagloom.llm.common import materialize, table, without
+from tagloom.llm.common import discard, materialize, table, without
 from tagloom.llm.queries import vocabulary_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -67,7 +67,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage, in a table in the shared folder; those of the others are deleted once they are read."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), "stage")
+    for k, (_, stage) in enumerate(STAGES):
+        kept = materialize(stage(spark, docs, sf_dir), "stage")
+        if k:
+            discard(docs)
+        docs = kept
     return docs
