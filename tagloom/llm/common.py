@@ -77,6 +77,11 @@ def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(BATCH, before)
 
 
+def in_small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """From now on in this session at most so many rows go to Python at once, since texts may be long."""
+    spark.conf.set(BATCH, min(rows, int(spark.conf.get(BATCH))))
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
