@@ -9,11 +9,14 @@ near duplicate; columns other than those of ``documents`` are dropped; empty tab
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.llm import bpe, decontaminate, jaccard, line_dedup, quality_rules
-from tagloom.llm.common import discard, materialize, table, without
+from tagloom.llm.common import discard, in_small_batches, materialize, table, without
 from tagloom.llm.queries import vocabulary_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -24,18 +27,32 @@ def _documents(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
+def _stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage hands its texts to Python some hundreds at a time, whenever its rows are read: this setting of the session stays."""
+
+    @wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        in_small_batches(spark)
+        return f(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     model = quality_rules.fit(docs, table(spark, sf_dir, "labels"))
     return _documents(quality_rules.keep_documents(docs, model))
 
 
+@_stage
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without repeated windows of lines; a document that loses all its words goes."""
     kept = line_dedup.dedup(docs)
     return _documents(kept.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")))
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one of the smallest doc_id, for each group of linked documents."""
     found = jaccard.join(docs)
@@ -43,12 +60,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return _documents(without(docs, goes, "doc_id"))
 
 
+@_stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the benchmark's passages; a document that has no word left goes."""
     cleaned = decontaminate.clean(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
     return _documents(cleaned.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")))
 
 
+@_stage
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, and whether they decode to it."""
     coded = bpe.encode(spark, docs.select(*COLUMNS), vocabulary_path(), decoded=True)
