@@ -11,6 +11,8 @@ import numpy as np
 import pytest
 
 from tagloom.operators import catalog as C
+from tagloom.operators import evaluate as E
+from tagloom.operators import joins, tracks
 from tagloom.operators.tracks import Follower
 from tagloom.plans.catalog_queries import prefix_complete
 from tagloom.sources.adapters import view
@@ -72,3 +74,35 @@ def test_many_boxes_a_frame():
     begun = time.process_time()
     ids = Follower().run(frame, boxes)
     assert len(ids) == 20_000 and time.process_time() - begun < 5
+
+
+def copies(spark, times: int):
+    """Boxes at 20 places, each ``times`` times under another pos."""
+    return spark.range(20 * times).selectExpr(
+        "cast(id % 2 as int) as video", "id as pos", "(id % 20) * 97 as frame_timestamp", "cast(id % 20 * 40 as int) as x_min", "cast(id % 20 * 15 as int) as y_min",
+        "cast(id % 20 * 40 + 90 as int) as x_max", "cast(id % 20 * 15 + 60 as int) as y_max", "cast(id * 7 % 10 as int) as confidence", "'' as barcode",
+    )
+
+
+def test_copies_of_boxes_meet_once(spark):
+    """Copies are not multiplied with copies where one of them tells the answer."""
+    d = copies(spark, 60).localCheckpoint()
+    g = d.where("pos % 3 = 0").localCheckpoint()
+    assert E.like_boxes(d, g, 3000, 0.2).count() == E.like_boxes(copies(spark, 1), g, 3000, 0.2).count()
+    assert tracks.suppress(d, 3000).count() == tracks.suppress(copies(spark, 10), 3000).count()
+    best = {r.pos: (r.r_pos, r.iou) for r in joins.best_overlap(g, d, ["video"], 0.25).collect()}
+    assert best == {p: (p % 20, 1.0) for p in range(0, 1200, 3)}
+
+
+def test_nearest_point_equals_all_pairs(spark):
+    rng = np.random.default_rng(5)
+    make = lambda n: [(int(p), int(v), int(t), int(x), int(y)) for p, v, t, x, y in zip(rng.integers(0, n, n), rng.integers(0, 2, n), rng.integers(0, 9000, n) // 9 * 9, rng.integers(0, 3000, n), rng.integers(0, 40, n), strict=True)]
+    a, b = make(150), make(25)
+    schema = "pos bigint, video int, t bigint, x int, y int"
+    got = {r.pos: (r.distance, r.r_pos) for r in joins.nearest_point(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), ["video"], "t", 3000, ["x", "y"]).collect()}
+    want: dict = {}
+    for p, v, t, x, y in a:
+        for q, w, u, z, s in b:
+            if v == w and abs(t - u) <= 3000:
+                want[p] = min(want.get(p, (10**9, 0)), (abs(t - u) + abs(x - z) + abs(y - s), q))
+    assert got == want
