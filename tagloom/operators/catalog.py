@@ -96,29 +96,35 @@ def recover_one_digit(codes: DataFrame, catalog: DataFrame, keys: list[str], cod
 
 
 UNREAD = "?"
+TAIL = 7  # the last places of a code, by whose read ones codes and catalog meet
 
 
-def _digits_at(code: Column, places: Column) -> Column:
-    return F.array_join(F.transform(places, lambda i: F.substring(code, i, F.lit(1))), "")
+def _digit(code: Column, place: int) -> Column:
+    return F.substring(code, place, 1)
 
 
 def complete_unread(codes: DataFrame, catalog: DataFrame, keys: list[str], code: str, least_known: int = 6) -> DataFrame:
     """keys, code, barcode: codes of 13 places, some of them unread (``?``), as the one catalog code that agrees in all places read.
 
     At least ``least_known`` places must be read, and the catalog's code must have a right check digit; a code that
-    none or several agree with is left out. The catalog is indexed by the masks of read places that occur, of
-    which the last six read places count: at most 1716 masks, however many codes there are, and one equi-join
-    on (mask, digits there). Places before those are compared afterwards.
+    none or several agree with is left out. The catalog is indexed by the masks of read places among the last seven that
+    occur, at most 128 a code, and codes that agree there are counted by the places before those: a read code meets
+    each such beginning once, however many codes have it. Mask and digits are one number, so that the index stays narrow.
     """
-    told = codes.where(F.col(code).rlike(r"^[\d?]{13}$")).select(F.col(code).alias("read")).distinct()
-    known = F.filter(F.sequence(F.lit(1), F.lit(13)), lambda i: F.substring(F.col("read"), i, F.lit(1)) != UNREAD)
-    told = told.withColumn("known", known).where(F.size("known") >= least_known).withColumn("mask", F.slice("known", -min(6, least_known), min(6, least_known)))
-    told = saved(told.withColumn("digits", _digits_at(F.col("read"), F.col("mask"))))
-    masks = [r.mask for r in told.select("mask").distinct().orderBy("mask").collect()]
+    told = codes.where(F.col(code).rlike(r"^[\d?]{13}$")).select(F.col(code).alias("read")).distinct().where(F.length(F.replace("read", F.lit(UNREAD), F.lit(""))) >= least_known)
+    size, tail = 10**TAIL, range(13 - TAIL + 1, 14)
+    bits = [2 ** (13 - i) for i in tail]
+    mask = sum((F.when(_digit(F.col("read"), i) != UNREAD, bit).otherwise(0) for i, bit in zip(tail, bits, strict=True)), F.lit(0))
+    digits = F.translate(F.substring("read", tail[0], TAIL), UNREAD, "0").cast("int")
+    told = saved(told.withColumn("mask", mask).withColumn("key", F.col("mask") * size + digits).select("read", "mask", "key"))
     valid = catalog.where(ean_ok(F.col("barcode"))).select("barcode").distinct()
-    every = F.explode(F.array(*[F.array(*map(F.lit, m)) for m in masks]).cast("array<array<int>>"))
-    index = valid.withColumn("mask", every).withColumn("digits", _digits_at(F.col("barcode"), F.col("mask")))
-    met = told.join(index, ["mask", "digits"])
-    agree = F.forall("known", lambda i: F.substring(F.col("read"), i, F.lit(1)) == F.substring(F.col("barcode"), i, F.lit(1)))
-    one = met.where(agree).groupBy("read").agg(F.count("*").alias("n"), F.min("barcode").alias("barcode")).where("n = 1")
-    return codes.select(*keys, F.col(code).alias("read")).join(one.select("read", "barcode"), "read").select(*keys, F.col("read").alias(code), "barcode")
+    valid = valid.select(F.substring("barcode", 1, 13 - TAIL).alias("head"), F.substring("barcode", tail[0], TAIL).cast("int").alias("tail"), *[_digit(F.col("barcode"), i).cast("int").alias(f"d{i}") for i in tail])
+    shown = sum((F.when(F.col("mask").bitwiseAND(bit) > 0, F.col(f"d{i}") * 10 ** (13 - i)).otherwise(0) for i, bit in zip(tail, bits, strict=True)), F.lit(0))
+    every = valid.crossJoin(F.broadcast(told.select("mask").distinct())).select((F.col("mask") * size + shown).alias("key"), "head", "tail")
+    index = every.groupBy("key", "head").agg(F.count("*").alias("n"), F.min("tail").alias("tail"))
+    met = told.select("key", "read").hint("merge").join(index.hint("merge"), "key")
+    for i in range(1, tail[0]):
+        met = met.where((_digit(F.col("read"), i) == UNREAD) | (_digit(F.col("read"), i) == _digit(F.col("head"), i)))
+    full = F.concat("head", F.lpad(F.col("tail").cast("string"), TAIL, "0"))
+    one = met.groupBy("key", "read").agg(F.sum("n").alias("n"), F.min(full).alias("barcode")).where("n = 1")
+    return codes.select(*keys, F.col(code).alias("read")).hint("merge").join(one.select("read", "barcode").hint("merge"), "read").select(*keys, F.col("read").alias(code), "barcode")

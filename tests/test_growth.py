@@ -106,3 +106,20 @@ def test_nearest_point_equals_all_pairs(spark):
             if v == w and abs(t - u) <= 3000:
                 want[p] = min(want.get(p, (10**9, 0)), (abs(t - u) + abs(x - z) + abs(y - s), q))
     assert got == want
+
+
+def test_unread_codes_meet_the_catalog_by_narrow_keys(spark, tmp_path):
+    """The exploded index is not broadcast, and of many codes that agree in the last places only beginnings are met."""
+    rng = np.random.default_rng(3)
+    check = lambda b: str((10 - sum(int(d) * (3 if i % 2 else 1) for i, d in enumerate(b)) % 10) % 10)
+    bodies = sorted({"46" + "".join(map(str, rng.integers(0, 3, 10))) for _ in range(400)})
+    known = [b + check(b) for b in bodies]
+    blank = lambda c, n: "".join("?" if i in set(rng.choice(13, n, replace=False)) else d for i, d in enumerate(c))
+    reads = [blank(known[int(rng.integers(len(known)))], int(rng.integers(0, 9))) for _ in range(600)]
+    spark.createDataFrame([(c,) for c in known], "barcode string").write.parquet(f"{tmp_path}/catalog")
+    spark.createDataFrame(list(enumerate(reads)), "pos int, code string").write.parquet(f"{tmp_path}/codes")
+    found = C.complete_unread(spark.read.parquet(f"{tmp_path}/codes"), spark.read.parquet(f"{tmp_path}/catalog"), ["pos"], "code")
+    assert "head" not in "".join(x for x in plan(found).splitlines() if "BroadcastExchange" in x) and "explode" not in plan(found)
+    agree = lambda r: [c for c in known if all(x in ("?", y) for x, y in zip(r, c, strict=True))]
+    want = {(i, r, agree(r)[0]) for i, r in enumerate(reads) if 13 - r.count("?") >= 6 and len(agree(r)) == 1}
+    assert {tuple(r) for r in found.collect()} == want and len(want) > 100
