@@ -10,6 +10,7 @@ from pathlib import Path
 import numpy as np
 import pytest
 
+from tagloom.functions.prices import with_prices
 from tagloom.operators import catalog as C
 from tagloom.operators import evaluate as E
 from tagloom.operators import joins, tracks
@@ -123,3 +124,16 @@ def test_unread_codes_meet_the_catalog_by_narrow_keys(spark, tmp_path):
     agree = lambda r: [c for c in known if all(x in ("?", y) for x, y in zip(r, c, strict=True))]
     want = {(i, r, agree(r)[0]) for i, r in enumerate(reads) if 13 - r.count("?") >= 6 and len(agree(r)) == 1}
     assert {tuple(r) for r in found.collect()} == want and len(want) > 100
+
+
+def test_tokens_are_read_once(spark):
+    """A tag's tokens were cleaned some ten times each; odd heights and absent tokens have the prices that they had."""
+    rows = [
+        (1, [("2499", 10.0), ("99", 9.0), ("1.00", 5.0)]), (2, [("1.00 2.00", float("nan")), ("199", -1.0), ("1O", 12.0), ("2499", float("nan"))]),
+        (3, None), (4, [None, (None, 1.0), ("l2,5O", None)]), (5, [("99", 1.0), ("199", 5.0), ("45", 5.5), ("299", 5.0)]), (6, []),
+    ]
+    df = spark.createDataFrame(rows, "pos int, tokens array<struct<text:string,height:double>>")
+    told = with_prices(df, "tokens")
+    assert plan(told).count("translate(") == 0 and "ArrowEvalPython" in plan(told)
+    got = {r.pos: (r.price_default, r.price_card) for r in told.collect()}
+    assert got == {1: (249999, 100), 2: (249900, 19910), 3: (None, None), 4: (None, 1250), 5: (29945, 19999), 6: (None, None)}
