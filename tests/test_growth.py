@@ -9,7 +9,9 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from tagloom.functions import text as T
 from tagloom.functions.prices import with_prices
 from tagloom.operators import catalog as C
 from tagloom.operators import evaluate as E
@@ -137,3 +139,15 @@ def test_tokens_are_read_once(spark):
     assert plan(told).count("translate(") == 0 and "ArrowEvalPython" in plan(told)
     got = {r.pos: (r.price_default, r.price_card) for r in told.collect()}
     assert got == {1: (249999, 100), 2: (249900, 19910), 3: (None, None), 4: (None, 1250), 5: (29945, 19999), 6: (None, None)}
+
+
+def test_texts_are_read_once(spark):
+    """What a parser finds stands in its result several times, and was looked for as often."""
+    said = spark.createDataFrame([("12_012345 - 067890 12.05.25 9:07 270 102 162817",)], "x string")
+    x = F.col("x")
+    for told, most in ((T.parse_code(x), 1), (T.parse_print_datetime(x), 1), (T.parse_id_sku(x), 1), (T.number_in_token(x), 1)):
+        lines = [line for line in plan(said.select(told.alias("v"))).splitlines() if "Project" in line]
+        assert max(line.count("translate(") for line in lines) <= most
+    assert said.select(T.parse_code(x), T.parse_print_datetime(x), T.parse_id_sku(x)).first()[:] == ("12_012345 - 067890", "12.05.2025 09:07", "270102162817")
+    qr = lambda text: said.select(T.parse_qr_field(F.lit(text), "qr_code_barcode"), T.parse_qr(F.lit(text))["qr_code_barcode"]).first()[:]
+    assert [qr(t) for t in (None, "", " {\"barcode\": 5}", "[1]", "b= ;p1=3", "b=1&b=2", "x{b=4")] == [("", ""), ("", ""), ("5", "5"), ("", ""), ("нет", "нет"), ("2", "2"), ("", "")]
