@@ -94,10 +94,14 @@ def busiest(gt: DataFrame) -> DataFrame:
 
 
 def longest_words(rows: DataFrame, key: str, text: str, most: int = 5) -> DataFrame:
-    """key, words: a text's longest words of four letters and more, of equal length the earlier ones; numbers and stop words are left out."""
-    found = rows.select(key, F.posexplode(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"([A-Za-zА-Яа-яЁё0-9]{4,})"))).alias("i", "w"))
-    low = F.lower("w")
-    once = found.where(~F.col("w").rlike(r"^\d+$") & ~low.isin(*STOP_WORDS)).groupBy(key, low.alias("low")).agg(F.min(F.struct("i", "w")).alias("f")).select(key, "f.*")
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.length("w").desc(), "i"))
-    top = once.withColumn("r", rank).where(F.col("r") <= most).groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "w"))), lambda s: s["w"]), " ").alias("words"))
-    return rows.select(key).join(top, key, "left").fillna("", ["words"])
+    """key, words: a text's longest words of four letters and more, of equal length the earlier ones; numbers and stop words are left out.
+
+    Each row is read by itself: its words are sorted and the first are taken that differ in more than case.
+    """
+    words = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"([A-Za-zА-Яа-яЁё0-9]{4,})"))
+    # a word's later occurrences go before the words are told apart by case
+    told = F.filter(F.array_distinct(words), lambda w: ~w.rlike(r"^\d+$") & ~F.lower(w).isin(*STOP_WORDS))
+    longest = F.array_sort(F.transform(told, lambda w, i: F.struct((-F.length(w)).alias("size"), i.alias("i"), w.alias("w"))))
+    new = lambda kept, x: (F.size(kept) < most) & ~F.exists(kept, lambda k: F.lower(k) == F.lower(x["w"]))
+    first = F.aggregate(longest, F.array().cast("array<string>"), lambda kept, x: F.when(new(kept, x), F.array_append(kept, x["w"])).otherwise(kept))
+    return rows.select(key, F.array_join(first, " ").alias("words"))

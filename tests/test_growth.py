@@ -16,6 +16,7 @@ from tagloom.functions.prices import with_prices
 from tagloom.operators import catalog as C
 from tagloom.operators import evaluate as E
 from tagloom.operators import joins, tracks
+from tagloom.operators.reporting import longest_words
 from tagloom.operators.tracks import Follower
 from tagloom.plans.catalog_queries import prefix_complete
 from tagloom.sources.adapters import view
@@ -151,3 +152,11 @@ def test_texts_are_read_once(spark):
     assert said.select(T.parse_code(x), T.parse_print_datetime(x), T.parse_id_sku(x)).first()[:] == ("12_012345 - 067890", "12.05.2025 09:07", "270102162817")
     qr = lambda text: said.select(T.parse_qr_field(F.lit(text), "qr_code_barcode"), T.parse_qr(F.lit(text))["qr_code_barcode"]).first()[:]
     assert [qr(t) for t in (None, "", " {\"barcode\": 5}", "[1]", "b= ;p1=3", "b=1&b=2", "x{b=4")] == [("", ""), ("", ""), ("5", "5"), ("", ""), ("нет", "нет"), ("2", "2"), ("", "")]
+
+
+def test_longest_words_need_no_shuffle(spark):
+    """Words were exploded, grouped and ranked over shuffles, though each text is read by itself."""
+    rows = [(1, "wine Wine WINE Riesling 12345 цена bordeaux Вино riesling 123a vino"), (2, None), (3, "abc"), (4, "aaaa bbbb cccc dddd eeee ffff ggggg"), (None, "Margaux")]
+    told = longest_words(spark.createDataFrame(rows, "k int, text string"), "k", "text")
+    assert "Exchange" not in plan(told)
+    assert {r.k: r.words for r in told.collect()} == {1: "Riesling bordeaux Вино 123a", 2: "", 3: "", 4: "ggggg aaaa bbbb cccc dddd", None: "Margaux"}
