@@ -77,19 +77,20 @@ def catalog_cp1251(spark, sf_dir):
 def tagged_files(spark, sf_dir):
     """Files of a folder that match a pattern, with the name of each row's file; those of another kind are left out."""
     path = work_path(spark, "tagged")
-    gt = view(spark, sf_dir, "gt").select("barcode", "video", "product_name")
+    gt = saved(view(spark, sf_dir, "gt").select("barcode", "video", "product_name"))
     for k in range(4):
-        gt.where(F.col("video") % 4 == k).coalesce(1).write.csv(f"{path}/{k}/tag_{k}", header=True, escape='"')
+        gt.where(F.col("video") % 4 == k).write.csv(f"{path}/{k}/tag_{k}", header=True, escape='"')
     gt.write.csv(f"{path}/0/other", header=True, escape='"')
-    rows = readers.read_many(spark, f"{path}/*/tag_*", "*.csv", "barcode string, video int, product_name string", without="crc")
-    return _then_deleted(spark, path, rows.groupBy((F.col("video") % 4).cast("string").alias("part")).agg(F.count("*").alias("rows"), F.count_distinct("source_file").alias("files")))
+    rows = readers.read_many(spark, f"{path}/*/tag_*", "*.csv", "barcode string, video int, product_name string", without="crc", in_parts=True)
+    counted = rows.groupBy((F.col("video") % 4).cast("string").alias("part")).agg(F.count("*").alias("rows"), F.count_distinct("source_file").alias("files"))
+    return _then_deleted(spark, path, counted)
 
 
 @query("select 'gt:v' || (video % 6) as source, count(*) as rows, min(barcode) as least from gt where video % 6 <> 0 and barcode <> '' group by 1", "gt")
 def gt_folders(spark, sf_dir):
     """Ground truth in a folder for each video; that of unlabelled videos takes no part."""
     path = work_path(spark, "gt-folders")
-    rows = view(spark, sf_dir, "gt").where("barcode <> ''").select("video", "barcode", "product_name")
+    rows = saved(view(spark, sf_dir, "gt").where("barcode <> ''").select("video", "barcode", "product_name"))
     for k in range(6):
         rows.where(F.col("video") % 6 == k).drop("video").write.csv(f"{path}/{f'v{k}' if k else 'Unlabeled'}", header=True, escape='"')
     read = readers.read_ground_truth(spark, path, "barcode string, product_name string")

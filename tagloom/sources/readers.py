@@ -83,10 +83,10 @@ def read_catalog_any(spark: SparkSession, path: str, sep: str = ";", limit: int
     return rows if details else rows.select(*columns)
 
 
-def read_many(spark: SparkSession, folder: str, glob: str, schema: str = DETECTIONS, without: str | None = None) -> DataFrame:
-    """All files of a folder that match, with ``source_file``, the name of each row's file."""
+def read_many(spark: SparkSession, folder: str, glob: str, schema: str = DETECTIONS, without: str | None = None, in_parts: bool = False) -> DataFrame:
+    """All files of a folder that match, with ``source_file``, the name of each row's file: of files that Spark has written ``in_parts``, that of the folder of the parts."""
     df = spark.read.schema(schema).option("pathGlobFilter", glob).option("ignoreCorruptFiles", True).csv(folder, header=True)
-    df = df.withColumn("source_file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
+    df = df.withColumn("source_file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2 if in_parts else -1))
     return df.where(~F.col("source_file").contains(without)) if without else df
 
 

@@ -18,7 +18,9 @@ from tagloom.operators import evaluate as E
 from tagloom.operators import joins, tracks
 from tagloom.operators.reporting import longest_words
 from tagloom.operators.tracks import Follower
+from tagloom.plans import file_queries
 from tagloom.plans.catalog_queries import prefix_complete
+from tagloom.sources import readers
 from tagloom.sources.adapters import view
 
 SF = "/root/testdata/sf0.001"
@@ -160,3 +162,20 @@ def test_longest_words_need_no_shuffle(spark):
     told = longest_words(spark.createDataFrame(rows, "k int, text string"), "k", "text")
     assert "Exchange" not in plan(told)
     assert {r.k: r.words for r in told.collect()} == {1: "Riesling bordeaux Вино 123a", 2: "", 3: "", 4: "ggggg aaaa bbbb cccc dddd", None: "Margaux"}
+
+
+def test_files_in_parts_are_one_file(spark, tmp_path):
+    """A file was made of one part by one task that did all joins before it."""
+    for k in range(2):
+        spark.range(40).selectExpr("id as n").repartition(3).write.csv(f"{tmp_path}/{k}/tag_{k}", header=True)
+    read = readers.read_many(spark, f"{tmp_path}/*/tag_*", "*.csv", "n bigint", without="crc", in_parts=True)
+    assert sorted((r.source_file, r["count"]) for r in read.groupBy("source_file").count().collect()) == [("tag_0", 40), ("tag_1", 40)]
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
+def test_ground_truth_is_made_once_for_all_folders(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(file_queries, "saved", lambda df: kept.append(df.columns) or joins.saved(df))
+    for ask in (file_queries.gt_folders, file_queries.tagged_files):
+        kept.clear()
+        assert ask(spark, SF).count() > 0 and "product_name" in kept[0]
