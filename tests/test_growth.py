@@ -179,3 +179,15 @@ def test_ground_truth_is_made_once_for_all_folders(spark, monkeypatch):
     for ask in (file_queries.gt_folders, file_queries.tagged_files):
         kept.clear()
         assert ask(spark, SF).count() > 0 and "product_name" in kept[0]
+
+
+def test_fields_go_with_their_barcodes(spark):
+    """Both tables are read once; the hits are those of the rows looked up again by their positions."""
+    fields = {"name": "name", "price": "price", "code": "code", "color": "text", "ean": "ean", "level": "count"}
+    make = lambda n, s: [(s * i % 97, i % 3, f"46012345678{i % 23:02d}" if i % 5 else "", ["Вино", " нет", None, "N/A", "вино  сухое"][i * s % 5], i * s % 400 or None, ["1", "", "нет", "x 2.0"][i % 4], ["Red ", "red", None][i * s % 3], ["4.6E12", "4600000000000", None][i * s % 3], ["3", "3.0", "x", ""][i * s % 4]) for i in range(90)]
+    schema = "pos int, video int, barcode string, name string, price bigint, code string, color string, ean string, level string"
+    gt, pred = spark.createDataFrame(make(90, 2), schema), spark.createDataFrame(make(90, 5), schema)
+    told = E.barcode_hits(gt, pred, fields)
+    assert plan(told).count("Scan ExistingRDD") == 2
+    asked = E.field_hits(E.match_by_barcode(gt, pred), gt, pred, fields)
+    assert sorted(map(tuple, told.collect())) == sorted(map(tuple, asked.collect())) and told.count() > 10
