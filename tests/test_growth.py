@@ -15,7 +15,7 @@ from tagloom.functions import text as T
 from tagloom.functions.prices import with_prices
 from tagloom.operators import catalog as C
 from tagloom.operators import evaluate as E
-from tagloom.operators import joins, tracks
+from tagloom.operators import fuzzy, joins, tracks
 from tagloom.operators.reporting import longest_words
 from tagloom.operators.tracks import Follower
 from tagloom.plans import file_queries
@@ -191,3 +191,20 @@ def test_fields_go_with_their_barcodes(spark):
     assert plan(told).count("Scan ExistingRDD") == 2
     asked = E.field_hits(E.match_by_barcode(gt, pred), gt, pred, fields)
     assert sorted(map(tuple, told.collect())) == sorted(map(tuple, asked.collect())) and told.count() > 10
+
+
+def test_sets_of_words_meet_once(spark, monkeypatch):
+    """Every row was met by every row before words in common were counted; a pos that came twice was told too many."""
+    kept = []
+    monkeypatch.setattr(fuzzy, "saved", lambda df: kept.append(joins.saved(df)) or kept[-1])
+    monkeypatch.setattr(fuzzy, "ROWS_PER_TASK", 100)
+    monkeypatch.setattr(fuzzy, "HELD_PER_TASK", 7)
+    names = ["red gear brand", "red gear", "old ring brand", "red", "gear red старое brand", None]
+    rows = lambda times, c: spark.createDataFrame([(k, names[k % 6]) for k in range(6 * times)], f"{c} string")
+    words = lambda n: {w for w in (n or "").split() if len(w) > 2}
+    for times in (2, 20):
+        got = fuzzy.candidates(rows(times, "pos int, text").unionByName(spark.createDataFrame([(0, names[0]), (3, "gear")], "pos int, text string")), rows(times, "part_id int, name"), "text", least_shared=2)
+        own = {k: words(names[k % 6]) | ({"gear"} if k == 3 else set()) for k in range(6 * times)}
+        want = sorted((i, j, n) for i, w in own.items() for j in range(6 * times) if (n := len(w & words(names[j % 6]))) >= 2)
+        assert sorted(map(tuple, got.collect())) == want
+    assert kept[0].count() == kept[1].count() == 10
