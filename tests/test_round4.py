@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tagloom.operators import joins
+from tagloom.operators import joins, tracks
 from tests.test_growth import copies, plan
 
 
@@ -31,3 +32,21 @@ def test_boxes_do_not_pass_the_driver(spark, tmp_path):
     d = spark.read.parquet(f"{tmp_path}/d")
     best = joins.best_overlap(d.where("pos % 3 = 0"), d, ["video"], 0.25)
     assert "BroadcastExchange" not in plan(best) and best.count() == 400
+
+
+def test_crowds_are_decided_in_turns(spark, monkeypatch):
+    """All tags that overlap were paired at once: pairs grew with the square of the boxes in a place."""
+    rng = np.random.default_rng(11)
+    n = 1500
+    x, y, t = rng.integers(0, 120, n), rng.integers(0, 60, n), rng.integers(0, 900, n)
+    rows = [(int(i % 2), int(i), int(t[i]), int(x[i]), int(y[i]), int(x[i] + rng.integers(0, 60)), int(y[i] + 20), int(rng.integers(0, 4)), "460123456789" if i % 3 else "") for i in range(n)]
+    tags = spark.createDataFrame(rows, "video int, pos bigint, frame_timestamp bigint, x_min int, y_min int, x_max int, y_max int, confidence int, barcode string").localCheckpoint()
+    pairs, told = [], {}
+    meeting = tracks.overlapping
+    monkeypatch.setattr(tracks, "overlapping", lambda *a: pairs.append(meeting(*a).count()) or meeting(*a))
+    for crowd in (10**6, 20):
+        monkeypatch.setattr(tracks, "CROWD", crowd)
+        pairs.clear()
+        told[crowd] = sorted(map(tuple, tracks.suppress(tags, 200).collect())), sum(pairs), len(pairs)
+    assert told[20][0] == told[10**6][0] and told[20][2] > 2
+    assert 5 * told[20][1] < told[10**6][1]
