@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tagloom.operators import joins, recovery, tracks
+from tagloom.operators import evaluate, joins, recovery, tracks
 from tests.test_growth import copies, plan
 
 
@@ -70,3 +70,40 @@ def test_votes_are_shuffled_as_lists(spark):
     told = recovery.partial_votes(rows, catalog, ["pos"], "text")
     assert {(r.pos, r.barcode): r.votes for r in told.collect()} == want and len(want) > 100
     assert plan(told).split("Union")[0].count("Exchange") == 1
+
+
+@pytest.mark.parametrize("first", ["largest", "earliest"])
+def test_copies_of_boxes_are_matched_as_groups(spark, monkeypatch, first):
+    """Each copy of a prediction was paired with each copy of ground truth, and all pairs were written."""
+    rng = np.random.default_rng(4)
+
+    def make(n, places):
+        k = rng.integers(0, places, n)
+        return [(int(v), int(p), int(i % 3 * 900), int(i * 9), 10, int(i * 9 + 40 + i % 2 * 8), 40) for p, v, i in zip(rng.permutation(n), k % 2, k, strict=True)]
+
+    schema = "video int, pos bigint, frame_timestamp bigint, x_min int, y_min int, x_max int, y_max int"
+    gt, pred = make(60, 12), make(90, 14)
+    kept, write = [], joins.saved
+    monkeypatch.setattr(evaluate, "saved", lambda df: kept.append(write(df)) or kept[-1])
+    got = evaluate.match_by_place(spark.createDataFrame(gt, schema), spark.createDataFrame(pred, schema), first=first)
+    size = lambda r: (r[5] - r[3]) * (r[6] - r[4])
+    want, free, pairs = [], set(range(len(gt))), 0
+    for p in sorted(pred, key=lambda r: (-size(r) if first == "largest" else 0, r[1])):
+        wishes = []
+        for j, g in enumerate(gt):
+            share = max(min(p[5], g[5]) - max(p[3], g[3]), 0) * 30
+            overlap = share / (size(p) + size(g) - share)
+            if g[0] == p[0] and abs(g[2] - p[2]) <= 3000 and overlap >= 0.2:
+                pairs += 1
+                wishes += [(-overlap, g[1], j)] if j in free else []
+        if wishes:
+            free.discard(min(wishes)[2])
+            want.append((p[0], min(wishes)[1], p[1]))
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 50
+    assert 3 * kept[1].count() < pairs
+
+
+def test_pairs_of_rows_are_not_shuffled(spark):
+    d = copies(spark, 60).localCheckpoint()
+    told = plan(evaluate.candidate_pairs(d.where("pos % 3 = 0"), d))
+    assert told.count("SortMergeJoin") == 1 and evaluate.candidate_pairs(d.where("pos % 3 = 0"), d).where("gt_pos = 0").count() % 60 == 0
