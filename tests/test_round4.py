@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tagloom.operators import evaluate, joins, recovery, tracks
-from tests.test_growth import copies, plan
+from tagloom.sources import adapters
+from tagloom.sources.adapters import view
+from tests.test_growth import SF, copies, plan
 
 
 @pytest.fixture
@@ -107,3 +111,13 @@ def test_pairs_of_rows_are_not_shuffled(spark):
     d = copies(spark, 60).localCheckpoint()
     told = plan(evaluate.candidate_pairs(d.where("pos % 3 = 0"), d))
     assert told.count("SortMergeJoin") == 1 and evaluate.candidate_pairs(d.where("pos % 3 = 0"), d).where("gt_pos = 0").count() % 60 == 0
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
+def test_keys_of_many_parts_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(adapters, "MOST_PARTS", 100)
+    for name in ("detections", "gt"):
+        told = view(spark, SF, name).select("pos", "video")
+        assert "BroadcastExchange" not in plan(told)
+    monkeypatch.undo()
+    assert told.count() == view(spark, SF, "gt").count() > 0
