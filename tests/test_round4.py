@@ -121,3 +121,20 @@ def test_keys_of_many_parts_are_not_broadcast(spark, monkeypatch):
         assert "BroadcastExchange" not in plan(told)
     monkeypatch.undo()
     assert told.count() == view(spark, SF, "gt").count() > 0
+
+
+def test_blocks_are_read_one_by_one(spark, tmp_path):
+    """Blocks went to Python one by one, but 4096 of them were read from a file at once."""
+    from tagloom.llm import collocations, common
+
+    seen = []
+    write = collocations.materialize
+    collocations.materialize = lambda df, name: seen.append((name, spark.conf.get("spark.sql.parquet.columnarReaderBatchSize"))) or write(df, name)
+    try:
+        docs = spark.createDataFrame([("en", "red wine of the old town " * 3)] * 40, "lang string, text string")
+        assert collocations.mine(docs, least=30).count() > 0
+    finally:
+        collocations.materialize = write
+    assert {size for name, size in seen if name.startswith("counted")} == {"1"} and seen[-1][1] == "4096"
+    with common.small_batches(spark, 10_000):
+        assert spark.conf.get("spark.sql.parquet.columnarReaderBatchSize") == "4096"
